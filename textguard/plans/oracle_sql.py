@@ -188,3 +188,146 @@ def sanitize_expr(text: str) -> str:
 def kwfold_select(text: str) -> str:
     """Column ``_kwfold``: the keyword pass of the censor strategy (used by ``censor_expr``)."""
     return f"(CASE WHEN tox_det THEN {censor_fold(text)} ELSE {text} END) AS _kwfold"
+
+
+# ---------------------------------------------------------------- PII spans, masking, secrets
+
+SPAN_T = "STRUCT(s INTEGER, e INTEGER, t VARCHAR, v VARCHAR, c DOUBLE)"
+
+
+def regex_spans(text: str, pattern: str, span_type: str, conf: float) -> str:
+    """Match spans of one pattern: start = summed lengths of the pieces and matches before it."""
+    m = f"regexp_extract_all({text}, {q(pattern)})"
+    pc = f"regexp_split_to_array({text}, {q(pattern)})"
+    start = (f"(coalesce(list_sum(list_transform({pc}[1:i], lambda x: length(x))), 0)"
+             f" + coalesce(list_sum(list_transform({m}[1:i - 1], lambda x: length(x))), 0))")
+    return (f"list_transform(generate_series(1, len({m})), lambda i: struct_pack("
+            f"s := CAST({start} AS INTEGER), e := CAST({start} + length({m}[i]) AS INTEGER), "
+            f"t := {q(span_type)}, v := {m}[i], c := CAST({conf} AS DOUBLE)))")
+
+
+def zip_ok(text: str, s: str) -> str:
+    lo = f"greatest({s}.s - {L.ZIP_CONTEXT_CHARS}, 0)"
+    hi = f"least({s}.e + {L.ZIP_CONTEXT_CHARS}, length({text}))"
+    ctx = f"lower(substr({text}, {lo} + 1, {hi} - {lo}))"
+    math_near = " OR ".join(f"contains({ctx}, {q(op)})" for op in L.MATH_INDICATORS)
+    prev_d = f"({s}.s > 0 AND regexp_matches(substr({text}, {s}.s, 1), '^\\p{{Nd}}$'))"
+    next_d = f"({s}.e < length({text}) AND regexp_matches(substr({text}, {s}.e + 1, 1), '^\\p{{Nd}}$'))"
+    return f"NOT ({math_near} OR {prev_d} OR {next_d})"
+
+
+PLACEHOLDER_RX = "(?i)(" + "|".join(L.PLACEHOLDER_VALUE_PATTERNS) + ")"
+
+
+def rule_pii_spans(text: str) -> str:
+    parts = [regex_spans(text, ci(p), t, c) for t, p, c in L.PII_RULES]
+    allspans = "list_concat(" + ", ".join(parts) + ")"
+    return (f"list_filter({allspans}, lambda s: NOT regexp_matches(s.v, {q(PLACEHOLDER_RX)}) "
+            f"AND (s.t <> 'zip_code' OR ({zip_ok(text, 's')})))")
+
+
+def type_priority(t: str) -> str:
+    whens = " ".join(f"WHEN {t} = {q(k)} THEN {v}" for k, v in L.TYPE_PRIORITY.items())
+    return f"(CASE {whens} ELSE {L.DEFAULT_TYPE_PRIORITY} END)"
+
+
+def sig_overlap(a: str, b: str) -> str:
+    ov = f"(least({a}.e, {b}.e) - greatest({a}.s, {b}.s))"
+    return f"({ov} > 0 AND ({ov} * 10 > ({b}.e - {b}.s) * 3 OR {ov} * 10 > ({a}.e - {a}.s) * 3))"
+
+
+def resolve_spans(rule_spans: str) -> str:
+    first = f"list_filter(acc, lambda x: {sig_overlap('x', 'e')})[1]"
+    pe, pf = type_priority("e.t"), type_priority(f"({first}).t")
+    wins = f"({pe} > {pf} OR ({pe} = {pf} AND e.c > ({first}).c))"
+    body = (f"CASE WHEN len(list_filter(acc, lambda x: {sig_overlap('x', 'e')})) = 0 THEN list_append(acc, e) "
+            f"WHEN {wins} THEN list_append(list_filter(acc, lambda x: x <> {first}), e) ELSE acc END")
+    return f"list_sort(list_reduce({rule_spans}, lambda acc, e: {body}, []::{SPAN_T}[]))"
+
+
+def default_strategy(t: str) -> str:
+    whens = " ".join(f"WHEN {t} = {q(k)} THEN {q(v)}" for k, v in L.DEFAULT_MASK_STRATEGY.items())
+    return f"(CASE {whens} ELSE 'token' END)"
+
+
+def mask_value(t: str, v: str, strategy: str, idx: str) -> str:
+    tok = "(CASE " + " ".join(f"WHEN {t} = {q(k)} THEN {q(x)}" for k, x in L.TOKEN_LABEL.items()) + f" ELSE upper({t}) END)"
+    hsh = "(CASE " + " ".join(f"WHEN {t} = {q(k)} THEN {q(x)}" for k, x in L.HASH_LABEL.items()) + f" ELSE upper({t}) || '_HASH' END)"
+    d = f"regexp_replace({v}, '\\D', '', 'g')"
+    last4 = f"right({d}, 4)"
+    local = f"split_part({v}, '@', 1)"
+    domain = f"substr({v}, strpos({v}, '@') + 1)"
+    masked_local = f"(CASE WHEN length({local}) > 1 THEN left({local}, 1) || repeat('*', least(3, length({local}) - 1)) ELSE '*' END)"
+    ip = f"string_split({v}, '.')"
+    partial = (f"(CASE WHEN {t} = 'email' THEN (CASE WHEN strpos({v}, '@') > 0 THEN {masked_local} || '@' || {domain} ELSE '[EMAIL]' END) "
+               f"WHEN {t} = 'phone' THEN (CASE WHEN length({d}) >= 4 THEN repeat('*', length({d}) - 4) || {last4} ELSE '[PHONE]' END) "
+               f"WHEN {t} = 'ssn' THEN (CASE WHEN length({d}) = 9 THEN 'XXX-XX-' || {last4} ELSE '[SSN]' END) "
+               f"WHEN {t} = 'credit_card' THEN (CASE WHEN length({d}) >= 4 THEN '****-****-****-' || {last4} ELSE '[CREDIT_CARD]' END) "
+               f"WHEN {t} = 'ip_address' THEN (CASE WHEN len({ip}) = 4 THEN {ip}[1] || '.' || {ip}[2] || '.*.*' ELSE '[IP]' END) "
+               f"ELSE {q(L.REDACTED)} END)")
+    return (f"(CASE WHEN {strategy} = 'token' THEN '[' || {tok} || '_' || CAST({idx} AS VARCHAR) || ']' "
+            f"WHEN {strategy} = 'partial' THEN {partial} "
+            f"WHEN {strategy} = 'hash' THEN '[' || {hsh} || '_' || sha256({v})[1:{L.HASH_HEX_CHARS}] || ']' "
+            f"ELSE {q(L.REDACTED)} END)")
+
+
+MSPAN_T = "STRUCT(s INTEGER, e INTEGER, t VARCHAR, v VARCHAR, c DOUBLE, idx BIGINT, strategy VARCHAR, mask VARCHAR)"
+
+
+def with_masks(spans: str) -> str:
+    idx = f"len(list_filter({spans}[i:], lambda x: x.t = {spans}[i].t))"
+    strat = default_strategy(f"{spans}[i].t")
+    return (f"list_transform(generate_series(1, len({spans})), lambda i: struct_pack("
+            f"s := {spans}[i].s, e := {spans}[i].e, t := {spans}[i].t, v := {spans}[i].v, c := {spans}[i].c, "
+            f"idx := {idx}, strategy := {strat}, mask := {mask_value(f'{spans}[i].t', f'{spans}[i].v', strat, idx)}))")
+
+
+def splice(text: str, ms: str) -> str:
+    return f"list_reduce(list_reverse({ms}), lambda acc, x: substr(acc, 1, x.s) || x.mask || substr(acc, x.e + 1), {text})"
+
+
+def mapping_texts(ms: str) -> str:
+    """Entries ``k=>original|type|strategy`` where the leftmost span wins per placeholder."""
+    first = f"list_filter({ms}, lambda y: y.mask = k)[1]"
+    return (f"list_transform(list_distinct(list_transform({ms}, lambda x: x.mask)), lambda k: "
+            f"k || '=>' || {first}.v || '|' || {first}.t || '|' || {first}.strategy)")
+
+
+def entropy(s: str) -> str:
+    chs = f"regexp_extract_all({s}, '(?s).')"
+    n = f"CAST(len({chs}) AS DOUBLE)"
+    p = f"(len(list_filter({chs}, lambda x: x = ch)) / {n})"
+    return (f"(CASE WHEN {s} IS NULL OR length({s}) = 0 THEN 0.0 ELSE "
+            f"-list_sum(list_transform(list_distinct({chs}), lambda ch: {p} * log2({p}))) END)")
+
+
+def api_keys(text: str) -> str:
+    parts = ", ".join(f"regexp_extract_all({text}, {q(ci(p))})" for p in L.API_KEY_PATTERNS)
+    return f"list_filter(list_concat({parts}), lambda k: {entropy('k')} > {L.API_KEY_MIN_ENTROPY})"
+
+
+def passwords(text: str) -> str:
+    parts = ", ".join(f"regexp_extract_all({text}, {q(ci(p))}, 1)" for p in L.PASSWORD_PATTERNS)
+    triv = ", ".join(q(x) for x in L.TRIVIAL_PASSWORDS)
+    return (f"list_filter(list_concat({parts}), lambda p: NOT (lower(p) IN ({triv}) "
+            f"OR length(p) < {L.TRIVIAL_PASSWORD_MIN_LEN}))")
+
+
+def privacy_ctes(src: str, text: str = "text") -> str:
+    """CTEs pv1..pv3 over ``src``: rule spans, resolved spans with masks, masked text,
+    mapping texts, secrets (api_keys, passwords) and the final masked text."""
+    return f"""
+pv0 AS (SELECT *, coalesce({text}, '') AS _pt FROM {src}),
+pv1 AS (SELECT *, {rule_pii_spans('_pt')} AS rule_spans FROM pv0),
+pv2 AS (SELECT *, {resolve_spans('rule_spans')} AS spans FROM pv1),
+pv3 AS (SELECT *, {with_masks('spans')} AS mspans, {api_keys('_pt')} AS api_keys, {passwords('_pt')} AS passwords
+        FROM pv2),
+pv4 AS (SELECT *, {splice('_pt', 'mspans')} AS pii_masked, {mapping_texts('mspans')} AS map_texts FROM pv3),
+pv5 AS (SELECT *,
+    list_reduce(list_prepend(list_reduce(list_prepend(pii_masked, api_keys), lambda a, k: replace(a, k, {q(L.API_KEY_MASK)})),
+                             passwords), lambda a, p: replace(a, p, {q(L.PASSWORD_MASK)})) AS full_masked,
+    list_concat(map_texts,
+      CASE WHEN len(api_keys) > 0 THEN [{q(L.API_KEY_MASK)} || '=>' || api_keys[-1] || '|api_key|full'] ELSE []::VARCHAR[] END,
+      CASE WHEN len(passwords) > 0 THEN [{q(L.PASSWORD_MASK)} || '=>' || passwords[-1] || '|password|full'] ELSE []::VARCHAR[] END
+    ) AS all_map_texts
+  FROM pv4)"""
