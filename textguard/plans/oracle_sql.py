@@ -331,3 +331,103 @@ pv5 AS (SELECT *,
       CASE WHEN len(passwords) > 0 THEN [{q(L.PASSWORD_MASK)} || '=>' || passwords[-1] || '|password|full'] ELSE []::VARCHAR[] END
     ) AS all_map_texts
   FROM pv4)"""
+
+
+# ---------------------------------------------------------------- normalisation and screens
+
+def decode_chain(z: str) -> str:
+    s = f"lower(replace({py_strip(z)}, ' ', ''))"
+    esc = f"array_to_string(regexp_extract_all({s}, '\\\\x([0-9a-f]{{2}})', 1), '')"
+    hx = (f"(CASE WHEN regexp_matches({s}, '\\\\x[0-9a-f]{{2}}') THEN try(decode(unhex({esc}))) "
+          f"WHEN length({s}) % 2 = 0 AND length({s}) >= 6 AND regexp_matches({s}, '^[0-9a-f]+$') "
+          f"THEN try(decode(unhex({s}))) ELSE {z} END)")
+    b = py_strip(z)
+    dec = f"try(decode(from_base64({b})))"
+    printable = f"(length({dec}) - length(regexp_replace({dec}, '[^\\p{{C}}\\p{{Z}}]| ', '', 'g')))"
+    b64 = (f"(CASE WHEN length({b}) >= 8 AND length({b}) % 4 = 0 AND regexp_matches({b}, '^[A-Za-z0-9+/]*={{0,2}}$') "
+           f"AND length({dec}) > 0 AND {printable} * 5 > length({dec}) * 4 THEN {dec} ELSE {z} END)")
+    return f"(CASE WHEN {hx} <> {z} THEN {hx} ELSE {b64} END)"
+
+
+def normalize_ctes(src: str, text: str = "text", out: str = "_norm") -> str:
+    """CTEs nz1..nz3 over ``src`` adding ``_t`` (text, NULL as ''), ``_low`` and ``out``."""
+    u = f"(CASE WHEN strpos(_t, '%') > 0 THEN coalesce(try(url_decode(_t)), _t) ELSE _t END)"
+    z = f"regexp_replace({u}, '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}]', '', 'g')"
+    folded = f"lower(translate(_dec, {q(L.LEET_FROM)}, {q(L.LEET_TO)}))"
+    return f"""
+nz1 AS (SELECT *, coalesce({text}, '') AS _t FROM {src}),
+nz2 AS (SELECT *, lower(_t) AS _low, {z} AS _z FROM nz1),
+nz3 AS (SELECT *, {decode_chain('_z')} AS _dec FROM nz2),
+nz4 AS (SELECT * EXCLUDE (_z, _dec), CASE WHEN _t = '' THEN _t
+          ELSE trim(regexp_replace({folded}, '[^\\pL\\pN]+', ' ', 'g')) END AS {out} FROM nz3)"""
+
+
+def placeholder_email(email: str, ctx: str) -> str:
+    local = f"lower(split_part({email}, '@', 1))"
+    domain = f"lower(substr({email}, strpos({email}, '@') + 1))"
+    toks = ", ".join(q(x) for x in L.PLACEHOLDER_TOKENS)
+    doms = ", ".join(q(x) for x in L.PLACEHOLDER_EMAIL_DOMAINS)
+    ctxw = " OR ".join(f"contains(lower({ctx}), {q(w)})" for w in L.PLACEHOLDER_CONTEXT_WORDS)
+    disp = " OR ".join(f"ends_with({domain}, {q(d)})" for d in L.DISPOSABLE_EMAIL_DOMAINS)
+    return (f"(strpos({email}, '@') > 0 AND ({local} IN ({toks}) OR {domain} IN ({doms}) "
+            f"OR ends_with({domain}, '.example') OR starts_with({domain}, 'example.') OR {ctxw} OR {disp}))")
+
+
+def trivial_prompt_password(pw: str, ctx: str) -> str:
+    subs = " OR ".join(f"contains(lower({pw}), {q(s)})" for s in L.TRIVIAL_PASSWORD_SUBSTRINGS)
+    ctxw = " OR ".join(f"contains(lower({ctx}), {q(w)})" for w in L.PLACEHOLDER_CONTEXT_WORDS)
+    return (f"(length({pw}) < {L.PROMPT_PASSWORD_MIN_LEN} OR {subs} OR {entropy(pw)} < {L.PROMPT_PASSWORD_MIN_ENTROPY} "
+            f"OR {ctxw})")
+
+
+def prompt_pii_found(t: str, norm: str) -> str:
+    pw_rx = q("(?i)" + L.PROMPT_PASSWORD_PATTERN)
+    pw_present = f"regexp_matches({t}, {pw_rx})"
+    pw_ok = f"NOT {trivial_prompt_password(f'regexp_extract({t}, {pw_rx}, 1)', t)}"
+    parts = []
+    for ptype, pat in L.PROMPT_PII_RULES:
+        mo = f"regexp_extract({t}, {q(pat)})"
+        mn = f"regexp_extract({norm}, {q(pat)})"
+        matched = f"(CASE WHEN {mo} <> '' THEN {mo} WHEN {mn} <> '' THEN {mn} END)"
+        skip = placeholder_email(matched, t) if ptype == "email" else "FALSE"
+        parts.append(f"CASE WHEN {matched} IS NULL OR coalesce({skip}, FALSE) THEN []::VARCHAR[] "
+                     f"WHEN {pw_present} THEN (CASE WHEN {pw_ok} THEN ['password'] ELSE []::VARCHAR[] END) "
+                     f"ELSE [{q(ptype)}] END")
+    return "list_concat(" + ", ".join(parts) + ")"
+
+
+def prompt_ctes(src: str, text: str = "text") -> str:
+    """normalize_ctes + pa1/pa2: jailbreak hits, PII found, flags and explanation."""
+    jb = regex_hits(["_low", "_norm"], L.JAILBREAK_PATTERNS, case_insensitive=False)
+    pii_txt = f"{q(L.EXPL_PII)} || array_to_string(pii_found, {q(L.LIST_SEP)})"
+    e1 = f"(CASE WHEN len(jb_hits) > 0 THEN {q(L.EXPL_JAILBREAK)} || array_to_string(jb_hits[1:3], {q(L.LIST_SEP)}) END)"
+    return normalize_ctes(src, text) + f""",
+pa1 AS (SELECT *, {jb} AS jb_hits, {prompt_pii_found('_t', '_norm')} AS pii_found FROM nz4),
+pa2 AS (SELECT *, len(jb_hits) > 0 AS pa_flagged, len(pii_found) > 0 AS pa_pii,
+    CASE WHEN len(jb_hits) > 0 THEN round(len(jb_hits) * {L.JAILBREAK_WEIGHT_TENTHS} / 10.0, 4) END AS pa_jb_score,
+    CASE WHEN len(pii_found) > 0 THEN (CASE WHEN {e1} IS NULL THEN {pii_txt} ELSE {e1} || {q(L.EXPL_SEP)} || {pii_txt} END)
+         ELSE {e1} END AS pa_expl
+  FROM pa1)"""
+
+
+def response_ctes(src: str, text: str = "text") -> str:
+    """normalize_ctes + ra1/ra2: lexicon hits, harmful rule, flags and explanation."""
+    lex = substring_hits(["_low", "_norm"], L.LEXICON_KEYWORDS)
+    phr = " OR ".join(f"contains(_low, {q(p)})" for p in L.HARMFUL_PHRASES)
+    wrd = " OR ".join(f"contains(_low, {q(w)})" for w in L.HARMFUL_WORDS)
+    return normalize_ctes(src, text) + f""",
+ra1 AS (SELECT *, {lex} AS lex_hits, (({phr}) AND ({wrd})) AS harmful FROM nz4),
+ra2 AS (SELECT *, len(lex_hits) > 0 AS ra_tox, (len(lex_hits) > 0 OR harmful) AS ra_flagged,
+    CASE WHEN len(lex_hits) > 0 THEN round(len(lex_hits) * 2 / 10.0, 4) END AS ra_score,
+    CASE WHEN harmful THEN {q(L.EXPL_HARMFUL)}
+         WHEN len(lex_hits) > 0 THEN {q(L.EXPL_LEXICON)} || array_to_string(lex_hits[1:3], {q(L.LIST_SEP)}) END AS ra_expl
+  FROM ra1)"""
+
+
+def prompt_intent(t: str) -> str:
+    low = f"lower(coalesce({t}, ''))"
+    whens = []
+    for intent, words in L.INTENT_WORDS:
+        cond = " OR ".join(f"contains({low}, {q(w)})" for w in words)
+        whens.append(f"WHEN {cond} THEN {q(intent)}")
+    return "(CASE " + " ".join(whens) + " ELSE 'other' END)"
