@@ -431,3 +431,104 @@ def prompt_intent(t: str) -> str:
         cond = " OR ".join(f"contains({low}, {q(w)})" for w in words)
         whens.append(f"WHEN {cond} THEN {q(intent)}")
     return "(CASE " + " ".join(whens) + " ELSE 'other' END)"
+
+
+# ---------------------------------------------------------------- pipeline (P1-P5) and derived tables
+
+import re as _re  # noqa: E402
+
+
+def namespaced(ctes: str, prefix: str) -> str:
+    """Give a CTE chain its own names so several chains can share one WITH clause."""
+    return _re.sub(r"\b(of|pv|nz|pa|ra)(\d)\b", prefix + r"_\1\2", ctes)
+
+
+def ts_of(conv: str, turn: str) -> str:
+    return f"(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST({conv} AS BIGINT)) + to_minutes(CAST({turn} AS BIGINT)))"
+
+
+def tstr(ts: str) -> str:
+    return f"strftime({ts}, '%Y-%m-%d %H:%M:%S')"
+
+
+def pipeline_ctes(planted_sql: str) -> str:
+    """CTEs ``turns``, ``pairs``, ``ex`` (one row per user turn), ``msgs`` (stored
+    messages), ``evts`` (security events) and ``convs`` (conversation roll-up)."""
+    turns = (f"turns AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL "
+             f"SELECT doc_id, 0::BIGINT, 'user', text FROM {planted_sql} UNION ALL "
+             f"SELECT doc_id, 1::BIGINT, 'assistant', text FROM {planted_sql})")
+    pairs = ("pairs AS (SELECT t.conv_id, t.turn, t.role, t.text, n.role AS next_role, n.text AS next_text, "
+             "CASE WHEN n.role = 'assistant' THEN n.text END AS reply FROM turns t LEFT JOIN turns n "
+             "ON n.conv_id = t.conv_id AND n.turn = t.turn + 1 WHERE t.role = 'user')")
+    chains = [
+        namespaced(prompt_ctes("pairs").strip(), "p"),
+        namespaced(response_ctes("pairs").strip(), "q"),
+        namespaced(privacy_ctes("pairs").strip(), "v"),
+        namespaced(output_filter_ctes("pairs", "reply").strip(), "o"),
+        namespaced(response_ctes("pairs", "reply").strip(), "r"),
+    ]
+    ex = """ex AS (SELECT x.conv_id, x.turn, x.text, x.reply,
+    p.pa_flagged AS refused, p.pa_pii, p.pa_jb_score, p.pa_expl,
+    q.ra_tox AS ptox, q.ra_score AS ptox_score, q.ra_expl AS ptox_expl,
+    (len(v.mspans) > 0 OR len(v.api_keys) > 0 OR len(v.passwords) > 0) AS pii_found,
+    CASE WHEN x.text IS NULL THEN NULL ELSE v.full_masked END AS masked, len(v.all_map_texts) AS n_mappings,
+    o.of_flagged, o.tox_det, o.bias_det, o.jb_det, o.tox_score, o.bias_score, o.jb_score, o.of_sev, o.of_expl,
+    o.of_strategy, o.of_filtered,
+    r.ra_flagged AS r_flagged, r.ra_tox AS r_tox, r.ra_score AS r_score, r.ra_expl AS r_expl
+  FROM pairs x JOIN p_pa2 p USING (conv_id, turn) JOIN q_ra2 q USING (conv_id, turn)
+  JOIN v_pv5 v USING (conv_id, turn) JOIN o_of6 o USING (conv_id, turn) JOIN r_ra2 r USING (conv_id, turn)),
+ex2 AS (SELECT *, CASE WHEN pii_found THEN (CASE WHEN pa_expl IS NULL THEN 'PII detected and masked'
+                        ELSE pa_expl || ' | PII detected and masked' END) ELSE pa_expl END AS prompt_expl,
+        (of_flagged OR tox_det OR bias_det OR jb_det) AS any_det FROM ex)"""
+    blocked = q(L.MSG_BLOCKED)
+    final = (f"CASE WHEN of_flagged AND (of_filtered IS NULL OR of_filtered = '') THEN {blocked} "
+             f"WHEN of_filtered IS NOT NULL AND of_filtered <> '' THEN of_filtered ELSE reply END")
+    msgs = f"""msgs AS (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, conv_id AS conversation_id, turn,
+    'USER' AS role, masked AS content, {ts_of('conv_id', 'turn')} AS created_at, ptox AS is_flagged,
+    pa_jb_score AS jailbreak_score, CASE WHEN ptox THEN ptox_score END AS toxicity_score, pii_found AS pii_detected,
+    coalesce(prompt_expl, CASE WHEN ptox THEN ptox_expl END) AS explanation, text AS original_content,
+    masked AS masked_content, n_mappings, CAST(NULL AS VARCHAR) AS filtered_content, FALSE AS bias_detected,
+    CAST(NULL AS DOUBLE) AS bias_score, FALSE AS jailbreak_detected_in_output,
+    CAST(NULL AS DOUBLE) AS jailbreak_score_in_output, FALSE AS has_filter_analysis, CAST(NULL AS VARCHAR) AS fa_severity,
+    CAST(NULL AS VARCHAR) AS sanitization_strategy
+  FROM ex2 WHERE NOT refused
+  UNION ALL
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn + 1 AS VARCHAR), conv_id, turn + 1, 'ASSISTANT', {final},
+    {ts_of('conv_id', 'turn + 1')}, of_flagged OR r_flagged, CAST(NULL AS DOUBLE),
+    CASE WHEN tox_det THEN tox_score WHEN r_tox THEN r_score END, FALSE, coalesce(of_expl, r_expl),
+    CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0, CASE WHEN any_det THEN reply END, bias_det, bias_score, jb_det,
+    jb_score, any_det, CASE WHEN any_det THEN of_sev END, of_strategy
+  FROM ex2 WHERE NOT refused AND reply IS NOT NULL)"""
+    out_type = "CASE WHEN jb_det THEN 'jailbreak_output' WHEN bias_det THEN 'bias' ELSE 'toxicity' END"
+    out_sev = "CASE WHEN of_sev = 'critical' THEN 'critical' WHEN of_sev = 'high' THEN 'high' ELSE 'medium' END"
+    ev_cols = "conv_id, turn, seq, type, severity, message, conversation_id, is_flagged, explanation, jailbreak_score, toxicity_score"
+    evts = f"""ev0 AS (
+  SELECT conv_id, turn, 1 AS seq, 'toxicity' AS type, 'medium' AS severity, text AS message, CAST(NULL AS BIGINT) AS conversation_id,
+    TRUE AS is_flagged, ptox_expl AS explanation, CAST(NULL AS DOUBLE) AS jailbreak_score, ptox_score AS toxicity_score
+  FROM ex2 WHERE ptox
+  UNION ALL SELECT conv_id, turn, 2, 'jailbreak', 'high', text, NULL, TRUE, pa_expl, pa_jb_score, NULL FROM ex2 WHERE refused
+  UNION ALL SELECT conv_id, turn, 3, 'pii', 'high', text, conv_id, FALSE, prompt_expl, NULL, NULL FROM ex2
+    WHERE pii_found AND NOT refused
+  UNION ALL SELECT conv_id, turn, 4, {out_type}, {out_sev}, reply, conv_id, TRUE, of_expl, NULL, tox_score FROM ex2
+    WHERE NOT refused AND of_flagged
+  UNION ALL SELECT conv_id, turn, 4, 'toxicity', 'medium', text, conv_id, TRUE, r_expl, NULL, r_score FROM ex2
+    WHERE NOT refused AND NOT of_flagged AND r_flagged
+  UNION ALL SELECT conv_id, turn, 4, 'normal', 'low', text, conv_id, FALSE, NULL, NULL, NULL FROM ex2
+    WHERE NOT refused AND NOT of_flagged AND NOT r_flagged AND NOT pii_found),
+evts AS (SELECT substr(sha256(CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR) || '|' || CAST(seq AS VARCHAR)), 1, 32) AS id,
+    {ts_of('conv_id', 'turn')} AS timestamp, conv_id AS source_conv_id, turn, seq, type, severity,
+    substr(message, 1, {L.TRUNC_EVENT_MESSAGE}) AS message, conversation_id, CAST(((conv_id % 100) + 100) % 100 AS BIGINT) AS user_id,
+    is_flagged, explanation, jailbreak_score, toxicity_score FROM ev0)"""
+    title = f"CASE WHEN length(first_text) > {L.TRUNC_TITLE} THEN substr(first_text, 1, {L.TRUNC_TITLE}) || '...' ELSE first_text END"
+    convs = f"""cv0 AS (SELECT conv_id, turn, text, (of_flagged OR r_flagged) AS c_flagged, FALSE AS c_jb, pii_found AS c_pii,
+    (tox_det OR r_flagged) AS c_tox, bias_det AS c_bias, jb_det AS c_jbo FROM ex2 WHERE NOT refused),
+cv1 AS (SELECT conv_id, arg_max(struct_pack(f := c_flagged, j := c_jb, p := c_pii, t := c_tox, b := c_bias, o := c_jbo), turn) AS f,
+    arg_min(text, turn) AS first_text, min(turn) AS first_turn, bool_or(c_flagged) AS any_flagged,
+    bool_or(c_tox) AS any_toxicity, count(*) AS exchanges FROM cv0 GROUP BY conv_id),
+convs AS (SELECT conv_id AS id, {title} AS title, CAST(((conv_id % 100) + 100) % 100 AS BIGINT) AS user_id,
+    {ts_of('conv_id', 'first_turn')} AS created_at, f.f AS is_flagged, f.j AS jailbreak_detected, f.p AS pii_detected,
+    f.t AS toxicity_detected, f.b AS bias_detected, f.o AS jailbreak_detected_in_output, any_flagged, any_toxicity,
+    exchanges FROM cv1)"""
+    del ev_cols
+    return ",\n".join([turns, pairs] + chains + [ex, msgs, evts, convs])
