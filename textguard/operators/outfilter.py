@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import lexicons as L
+from textguard.functions.sqltext import expr, first_regex_sql, regex_hits_sql, substring_hits_sql
 from textguard.functions.text import ci, col_, punct_normalize, score_tenths, word_count
 
 STR_ARRAY = "array<string>"
@@ -58,12 +59,16 @@ def severity_rank(name: Column) -> Column:
     return out
 
 
-def sentiment_score(text) -> Column:
-    """(positive - negative words present) / words x 10, clamped to [-1, 1]; 0 for no words."""
+def sentiment_score(text, low: str | None = None) -> Column:
+    """(positive - negative words present) / words x 10, clamped to [-1, 1]; 0 for no words.
+    ``low`` names a staged lower-case column of ``text`` when one exists."""
     text = col_(text)
-    low = F.lower(text)
-    pos = F.size(substring_hits([low], L.POSITIVE_WORDS))
-    neg = F.size(substring_hits([low], L.NEGATIVE_WORDS))
+    if low is None:
+        pos = F.size(substring_hits([F.lower(text)], L.POSITIVE_WORDS))
+        neg = F.size(substring_hits([F.lower(text)], L.NEGATIVE_WORDS))
+    else:
+        pos = F.size(expr(substring_hits_sql([low], L.POSITIVE_WORDS)))
+        neg = F.size(expr(substring_hits_sql([low], L.NEGATIVE_WORDS)))
     wc = word_count(text)
     raw = ((pos - neg).cast("double") / F.greatest(wc, F.lit(1)).cast("double")) * float(L.SENTIMENT_SCALE)
     return F.when(wc == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
@@ -77,17 +82,17 @@ def toxicity_tenths_severity(tenths: Column) -> Column:
 def with_views(df: DataFrame, text: str) -> DataFrame:
     """Stage the text (NULL read as empty: no detections), its lower-case and its
     punctuation-stripped views once per row."""
-    return (df.withColumn("_tg_t", F.coalesce(F.col(text), F.lit("")))
-              .withColumn("_tg_low", F.lower(F.col("_tg_t")))
-              .withColumn("_tg_pnorm", punct_normalize(F.col("_tg_t"))))
+    staged = df.withColumn("_tg_t", F.coalesce(F.col(text), F.lit("")))
+    staged = staged.withColumns({"_tg_low": F.lower(F.col("_tg_t")), "_tg_pnorm": punct_normalize(F.col("_tg_t"))})
+    return staged.withColumn("_tg_sent", sentiment_score(F.col("_tg_t"), "_tg_low"))
 
 
 def toxicity_struct(text: str) -> Column:
     """D15 rule path over staged views: struct(detected, score, tenths, severity, keywords, phrases, items, sentiment)."""
-    views = [F.col("_tg_low"), F.col("_tg_pnorm")]
-    kws = substring_hits(views, L.TOXICITY_KEYWORDS)
-    phs = substring_hits(views, L.AGGRESSIVE_PHRASES)
-    sent = sentiment_score(F.col("_tg_t"))
+    views = ["_tg_low", "_tg_pnorm"]
+    kws = expr(substring_hits_sql(views, L.TOXICITY_KEYWORDS))
+    phs = expr(substring_hits_sql(views, L.AGGRESSIVE_PHRASES))
+    sent = F.col("_tg_sent")
     tenths = (F.size(kws) * L.KEYWORD_TENTHS + F.size(phs) * L.PHRASE_TENTHS
               + F.when(sent < L.SENTIMENT_PENALTY_BELOW, F.lit(L.SENTIMENT_TENTHS)).otherwise(F.lit(0)))
     items = F.concat(F.transform(kws, lambda k: F.struct(F.lit("keyword").alias("type"), k.alias("value"))),
@@ -106,14 +111,8 @@ def toxicity_struct(text: str) -> Column:
 
 def bias_struct(include_age: bool = False) -> Column:
     """D17 rule path: first matching pattern per bias type, 0.3 per type."""
-    low = F.col("_tg_low")
     groups = list(L.BIAS_PATTERNS) + ([("age", L.AGE_BIAS_PATTERNS)] if include_age else [])
-    firsts = []
-    for btype, pats in groups:
-        first = F.lit(None).cast("string")
-        for p in reversed(pats):
-            first = F.when(low.rlike(ci(p)), F.lit(p)).otherwise(first)
-        firsts.append((btype, first))
+    firsts = [(btype, expr(first_regex_sql("_tg_low", pats))) for btype, pats in groups]
     types = hits_by_literal([(f.isNotNull(), t) for t, f in firsts])
     patterns = F.filter(F.array(*[F.struct(F.lit(t).alias("type"), f.alias("pattern")) for t, f in firsts]),
                         lambda s: s["pattern"].isNotNull())
@@ -129,7 +128,7 @@ def bias_struct(include_age: bool = False) -> Column:
 
 def output_jailbreak_struct() -> Column:
     """Indicator patterns on lower or punctuation-stripped text; 0.4 each, capped at 1.0."""
-    hits = regex_hits([F.col("_tg_low"), F.col("_tg_pnorm")], L.OUTPUT_JAILBREAK_PATTERNS)
+    hits = expr(regex_hits_sql(["_tg_low", "_tg_pnorm"], L.OUTPUT_JAILBREAK_PATTERNS))
     n = F.size(hits)
     return F.struct(
         (n > 0).alias("detected"),
@@ -215,25 +214,25 @@ def with_output_filter(df: DataFrame, text: str, out: str = "verdict", strategie
         jb.alias("jailbreak"),
     )
     return staged.withColumn(out, verdict).drop(
-        "_tg_t", "_tg_low", "_tg_pnorm", "_tg_tox", "_tg_bias", "_tg_jb", "_tg_strategy")
+        "_tg_t", "_tg_low", "_tg_pnorm", "_tg_sent", "_tg_tox", "_tg_bias", "_tg_jb", "_tg_strategy")
 
 
 def with_toxicity(df: DataFrame, text: str, out: str = "toxicity") -> DataFrame:
     """D15 alone."""
     staged = with_views(df, text)
-    return staged.withColumn(out, toxicity_struct("_tg_t")).drop("_tg_t", "_tg_low", "_tg_pnorm")
+    return staged.withColumn(out, toxicity_struct("_tg_t")).drop("_tg_t", "_tg_low", "_tg_pnorm", "_tg_sent")
 
 
 def with_bias(df: DataFrame, text: str, out: str = "bias", include_age: bool = False) -> DataFrame:
     """D17 alone (D21: ``include_age`` adds the age patterns the reference defines but never runs)."""
     staged = with_views(df, text)
-    return staged.withColumn(out, bias_struct(include_age)).drop("_tg_t", "_tg_low", "_tg_pnorm")
+    return staged.withColumn(out, bias_struct(include_age)).drop("_tg_t", "_tg_low", "_tg_pnorm", "_tg_sent")
 
 
 def with_output_jailbreak(df: DataFrame, text: str, out: str = "jailbreak") -> DataFrame:
     """D18 alone."""
     staged = with_views(df, text)
-    return staged.withColumn(out, output_jailbreak_struct()).drop("_tg_t", "_tg_low", "_tg_pnorm")
+    return staged.withColumn(out, output_jailbreak_struct()).drop("_tg_t", "_tg_low", "_tg_pnorm", "_tg_sent")
 
 
 def final_text(text: Column, verdict: Column) -> Column:

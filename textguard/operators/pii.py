@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import lexicons as L
+from textguard.functions.sqltext import expr, ident, sql_str
 from textguard.functions.text import ci, col_, shannon_entropy, trivial_secret_password
 
 SPAN_FIELDS = "start int, end int, type string, value string, confidence double"
@@ -25,54 +26,52 @@ def _empty_spans() -> Column:
     return F.array().cast(SPAN_ARRAY)
 
 
-def regex_spans(text, pattern: str, span_type: str, confidence: float) -> Column:
-    """All non-overlapping matches of ``pattern`` in ``text`` as span structs, in order."""
-    text = col_(text)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    init = F.struct(F.lit(0).alias("pos"), _empty_spans().alias("spans"))
-
-    def step(acc, m):
-        # element i of matches pairs with piece i (1-based element_at i+1): walk with a running position
-        idx = F.size(acc["spans"]) + 1
-        start = acc["pos"] + F.length(F.element_at(pieces, idx))
-        span = F.struct(start.cast("int").alias("start"), (start + F.length(m)).cast("int").alias("end"),
-                        F.lit(span_type).alias("type"), m.alias("value"),
-                        F.lit(confidence).cast("double").alias("confidence"))
-        return F.struct((start + F.length(m)).alias("pos"), F.array_append(acc["spans"], span).alias("spans"))
-
-    return F.aggregate(matches, init, step)["spans"]
-
-
-def _zip_context_ok(text: Column, s: Column) -> Column:
-    """D3 zip rule: no arithmetic indicator within 20 chars, no adjoining digit."""
-    n = F.length(text)
-    lo = F.greatest(s["start"] - L.ZIP_CONTEXT_CHARS, F.lit(0))
-    hi = F.least(s["end"] + L.ZIP_CONTEXT_CHARS, n)
-    ctx = F.lower(text.substr(lo + 1, hi - lo))
-    math_near = F.lit(False)
-    for op in L.MATH_INDICATORS:
-        math_near = math_near | F.contains(ctx, F.lit(op))
-    prev_digit = (s["start"] > 0) & text.substr(s["start"], F.lit(1)).rlike("^\\p{Nd}$")
-    next_digit = (s["end"] < n) & text.substr(s["end"] + 1, F.lit(1)).rlike("^\\p{Nd}$")
-    return ~(math_near | prev_digit | next_digit)
+SPAN_ARRAY_SQL = "ARRAY<STRUCT<start:INT,end:INT,type:STRING,value:STRING,confidence:DOUBLE>>"
+
+
+def regex_spans_sql(text: str, pattern: str, span_type: str, confidence: float) -> str:
+    """All non-overlapping matches of ``pattern`` in column ``text`` as span structs, in order.
+    Matches and the pieces between them are computed once and zipped; the fold keeps a
+    running code-point position."""
+    t, rx = ident(text), sql_str(pattern)
+    zipped = (f"zip_with(regexp_extract_all({t}, {rx}, 0), split({t}, {rx}, -1), "
+              f"(m, p) -> named_struct('m', m, 'pl', length(p)))")
+    init = f"named_struct('pos', 0, 'spans', CAST(array() AS {SPAN_ARRAY_SQL}))"
+    step = (f"(acc, x) -> CASE WHEN x.m IS NULL THEN acc ELSE named_struct("
+            f"'pos', acc.pos + x.pl + length(x.m), 'spans', array_append(acc.spans, named_struct("
+            f"'start', acc.pos + x.pl, 'end', acc.pos + x.pl + length(x.m), 'type', {sql_str(span_type)}, "
+            f"'value', x.m, 'confidence', CAST({confidence} AS DOUBLE)))) END")
+    return f"aggregate({zipped}, {init}, {step}).spans"
+
+
+def regex_spans(text: str, pattern: str, span_type: str, confidence: float) -> Column:
+    return expr(regex_spans_sql(text, pattern, span_type, confidence))
 
 
 PLACEHOLDER_RX = "(?i)(" + "|".join(L.PLACEHOLDER_VALUE_PATTERNS) + ")"
 
 
-def validate_spans(text, spans: Column) -> Column:
-    """D3: drop placeholder values; drop zip codes in arithmetic or inside longer numbers."""
-    text = col_(text)
-    return F.filter(spans, lambda s: ~s["value"].rlike(PLACEHOLDER_RX)
-                    & ((s["type"] != "zip_code") | _zip_context_ok(text, s)))
+def validate_spans_sql(text: str, spans_sql: str) -> str:
+    """D3: drop placeholder values; drop zip codes in arithmetic (an indicator within 20
+    characters) or inside a longer number (an adjoining digit)."""
+    t = ident(text)
+    lo = f"greatest(s.start - {L.ZIP_CONTEXT_CHARS}, 0)"
+    hi = f"least(s.end + {L.ZIP_CONTEXT_CHARS}, length({t}))"
+    ctx = f"lower(substr({t}, {lo} + 1, {hi} - {lo}))"
+    math_near = " OR ".join(f"contains({ctx}, {sql_str(op)})" for op in L.MATH_INDICATORS)
+    digit = sql_str("^\\p{Nd}$").replace("\\\\", "\\")
+    digit = sql_str("^\\p{Nd}$")
+    prev_d = f"(s.start > 0 AND substr({t}, s.start, 1) RLIKE {sql_str(chr(94) + chr(92) + 'p{Nd}$')})"
+    next_d = f"(s.end < length({t}) AND substr({t}, s.end + 1, 1) RLIKE {sql_str(chr(94) + chr(92) + 'p{Nd}$')})"
+    del digit
+    return (f"filter({spans_sql}, s -> NOT s.value RLIKE {sql_str(PLACEHOLDER_RX)} "
+            f"AND (s.type <> 'zip_code' OR NOT ({math_near} OR {prev_d} OR {next_d})))")
 
 
-def rule_pii_spans(text) -> Column:
-    """D1 + D3: validated rule detections in pattern order, then match order."""
-    text = col_(text)
-    per_rule = [regex_spans(text, ci(p), t, c) for t, p, c in L.PII_RULES]
-    return validate_spans(text, F.concat(*per_rule))
+def rule_pii_spans(text: str) -> Column:
+    """D1 + D3: validated rule detections of column ``text`` in pattern order, then match order."""
+    per_rule = [regex_spans_sql(text, ci(p), t, c) for t, p, c in L.PII_RULES]
+    return expr(validate_spans_sql(text, "concat(" + ", ".join(per_rule) + ")"))
 
 
 def type_priority(t: Column) -> Column:
@@ -229,7 +228,7 @@ def with_privacy(df: DataFrame, text: str, out: str = "privacy", overrides: dict
     t = F.coalesce(F.col(text), F.lit(""))
     staged = df.withColumn("_tg_pt", t)
     model = F.col(model_spans) if model_spans else None
-    staged = staged.withColumn("_tg_spans", resolve_spans(rule_pii_spans(F.col("_tg_pt")), model))
+    staged = staged.withColumn("_tg_spans", resolve_spans(rule_pii_spans("_tg_pt"), model))
     spans = F.col("_tg_spans") if mask_names else drop_names(F.col("_tg_spans"))
     staged = staged.withColumn("_tg_masked", with_masks(spans, overrides))
     pii_text = splice(F.col("_tg_pt"), F.col("_tg_masked"))

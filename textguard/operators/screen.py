@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from textguard.functions import lexicons as L
 from textguard.functions.text import placeholder_email, trivial_prompt_password, with_normalized
-from textguard.operators.outfilter import STR_ARRAY, regex_hits, substring_hits
+from textguard.functions.sqltext import expr, regex_hits_sql, substring_hits_sql
+from textguard.operators.outfilter import STR_ARRAY
 
 ENTITY_ARRAY = "array<struct<label:string,text:string>>"
 
@@ -64,7 +65,7 @@ def with_prompt_analysis(df: DataFrame, text: str, out: str = "prompt", entities
     """D22 ``analyze_prompt``: struct(is_flagged, jailbreak_detected, pii_detected,
     jailbreak_score, explanation, jailbreak_patterns, pii_found, entities)."""
     staged = with_screen_views(df, text)
-    jb = regex_hits([F.col("_tg_low"), F.col("_tg_norm")], L.JAILBREAK_PATTERNS, case_insensitive=False)
+    jb = expr(regex_hits_sql(["_tg_low", "_tg_norm"], L.JAILBREAK_PATTERNS, flags=""))
     staged = staged.withColumn("_tg_jb", jb).withColumn("_tg_pii", prompt_pii_found())
     ents = entity_hits(F.col(entities)) if entities else F.array().cast(STR_ARRAY)
     staged = staged.withColumn("_tg_ent", ents)
@@ -103,7 +104,7 @@ def with_response_analysis(df: DataFrame, text: str, out: str = "response") -> D
     """D23 ``analyze_response``: struct(is_flagged, toxicity_detected, toxicity_score,
     explanation, keywords, harmful)."""
     staged = with_screen_views(df, text)
-    staged = staged.withColumn("_tg_lex", substring_hits([F.col("_tg_low"), F.col("_tg_norm")], L.LEXICON_KEYWORDS))
+    staged = staged.withColumn("_tg_lex", expr(substring_hits_sql(["_tg_low", "_tg_norm"], L.LEXICON_KEYWORDS)))
     lex = F.col("_tg_lex")
     tox = F.size(lex) > 0
     harmful = harmful_instructions(F.col("_tg_low"))

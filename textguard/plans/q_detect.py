@@ -32,7 +32,8 @@ SPANS_SQL = ("WITH src AS " + DOCS_SQL + ", x AS (SELECT doc_id, unnest(" + O.ru
 @register("pii_spans", SPANS_SQL)
 def pii_spans(spark: SparkSession, sf: str) -> DataFrame:
     """D1 + D3: every validated rule detection with code-point offsets, one row per span."""
-    df = docs_with_planted(spark, sf).withColumn("spans", P.rule_pii_spans(F.coalesce("text", F.lit(""))))
+    df = (docs_with_planted(spark, sf).withColumn("_t", F.coalesce("text", F.lit("")))
+          .withColumn("spans", P.rule_pii_spans("_t")))
     return _spans_long(df, "spans")
 
 
@@ -54,8 +55,8 @@ RESOLVED_SQL = _pv_sql("doc_id, s.t AS span_type, s.v AS span_value, s.s AS span
 @register("pii_resolved_spans", RESOLVED_SQL)
 def pii_resolved_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Spans after overlap resolution (priority, then confidence), sorted by start."""
-    df = docs_with_planted(spark, sf).withColumn(
-        "spans", P.resolve_spans(P.rule_pii_spans(F.coalesce("text", F.lit("")))))
+    df = (docs_with_planted(spark, sf).withColumn("_t", F.coalesce("text", F.lit("")))
+          .withColumn("spans", P.resolve_spans(P.rule_pii_spans("_t"))))
     return _spans_long(df, "spans")
 
 
