@@ -28,9 +28,16 @@ EMPTY_STR_ARRAY = "CAST(array() AS ARRAY<STRING>)"
 
 
 def substring_hits_sql(views: list[str], needles) -> str:
-    """Needles (in list order) present as substrings in any of the named columns."""
-    cond = " OR ".join(f"contains({ident(v)}, k)" for v in views)
-    return f"filter({str_array(needles)}, k -> {cond})"
+    """Needles (in list order) present as substrings in any of the named columns.
+
+    Written out per needle rather than as ``filter(array, k -> ...)``: a staged column
+    referenced only inside a lambda looks single-use to the optimizer, which then inlines
+    its (expensive) expression into the lambda and re-evaluates it for every needle."""
+    parts = []
+    for n in needles:
+        cond = " OR ".join(f"contains({ident(v)}, {sql_str(n)})" for v in views)
+        parts.append(f"CASE WHEN {cond} THEN array({sql_str(n)}) ELSE {EMPTY_STR_ARRAY} END")
+    return "concat(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]
 
 
 def regex_hits_sql(views: list[str], patterns, flags: str = "(?i)") -> str:

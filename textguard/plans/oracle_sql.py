@@ -322,14 +322,18 @@ pv1 AS (SELECT *, {rule_pii_spans('_pt')} AS rule_spans FROM pv0),
 pv2 AS (SELECT *, {resolve_spans('rule_spans')} AS spans FROM pv1),
 pv3 AS (SELECT *, {with_masks('spans')} AS mspans, {api_keys('_pt')} AS api_keys, {passwords('_pt')} AS passwords
         FROM pv2),
-pv4 AS (SELECT *, {splice('_pt', 'mspans')} AS pii_masked, {mapping_texts('mspans')} AS map_texts FROM pv3),
+pv4 AS (SELECT *, {splice('_pt', 'mspans')} AS pii_masked, {mapping_texts('mspans')} AS map_texts,
+    list_transform(list_distinct(list_transform(mspans, lambda x: x.mask)),
+                   lambda k: list_filter(mspans, lambda y: y.mask = k)[1].t) AS map_types FROM pv3),
 pv5 AS (SELECT *,
     list_reduce(list_prepend(list_reduce(list_prepend(pii_masked, api_keys), lambda a, k: replace(a, k, {q(L.API_KEY_MASK)})),
                              passwords), lambda a, p: replace(a, p, {q(L.PASSWORD_MASK)})) AS full_masked,
     list_concat(map_texts,
       CASE WHEN len(api_keys) > 0 THEN [{q(L.API_KEY_MASK)} || '=>' || api_keys[-1] || '|api_key|full'] ELSE []::VARCHAR[] END,
       CASE WHEN len(passwords) > 0 THEN [{q(L.PASSWORD_MASK)} || '=>' || passwords[-1] || '|password|full'] ELSE []::VARCHAR[] END
-    ) AS all_map_texts
+    ) AS all_map_texts,
+    list_concat(map_types, CASE WHEN len(api_keys) > 0 THEN ['api_key'] ELSE []::VARCHAR[] END,
+      CASE WHEN len(passwords) > 0 THEN ['password'] ELSE []::VARCHAR[] END) AS all_map_types
   FROM pv4)"""
 
 
@@ -472,6 +476,7 @@ def pipeline_ctes(planted_sql: str) -> str:
     q.ra_tox AS ptox, q.ra_score AS ptox_score, q.ra_expl AS ptox_expl,
     (len(v.mspans) > 0 OR len(v.api_keys) > 0 OR len(v.passwords) > 0) AS pii_found,
     CASE WHEN x.text IS NULL THEN NULL ELSE v.full_masked END AS masked, len(v.all_map_texts) AS n_mappings,
+    v.all_map_types AS map_types,
     o.of_flagged, o.tox_det, o.bias_det, o.jb_det, o.tox_score, o.bias_score, o.jb_score, o.of_sev, o.of_expl,
     o.of_strategy, o.of_filtered,
     r.ra_flagged AS r_flagged, r.ra_tox AS r_tox, r.ra_score AS r_score, r.ra_expl AS r_expl
@@ -491,14 +496,14 @@ ex2 AS (SELECT *, CASE WHEN pii_found THEN (CASE WHEN pa_expl IS NULL THEN 'PII
     masked AS masked_content, n_mappings, CAST(NULL AS VARCHAR) AS filtered_content, FALSE AS bias_detected,
     CAST(NULL AS DOUBLE) AS bias_score, FALSE AS jailbreak_detected_in_output,
     CAST(NULL AS DOUBLE) AS jailbreak_score_in_output, FALSE AS has_filter_analysis, CAST(NULL AS VARCHAR) AS fa_severity,
-    CAST(NULL AS VARCHAR) AS sanitization_strategy
+    CAST(NULL AS VARCHAR) AS sanitization_strategy, map_types
   FROM ex2 WHERE NOT refused
   UNION ALL
   SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn + 1 AS VARCHAR), conv_id, turn + 1, 'ASSISTANT', {final},
     {ts_of('conv_id', 'turn + 1')}, of_flagged OR r_flagged, CAST(NULL AS DOUBLE),
     CASE WHEN tox_det THEN tox_score WHEN r_tox THEN r_score END, FALSE, coalesce(of_expl, r_expl),
     CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0, CASE WHEN any_det THEN reply END, bias_det, bias_score, jb_det,
-    jb_score, any_det, CASE WHEN any_det THEN of_sev END, of_strategy
+    jb_score, any_det, CASE WHEN any_det THEN of_sev END, of_strategy, []::VARCHAR[]
   FROM ex2 WHERE NOT refused AND reply IS NOT NULL)"""
     out_type = "CASE WHEN jb_det THEN 'jailbreak_output' WHEN bias_det THEN 'bias' ELSE 'toxicity' END"
     out_sev = "CASE WHEN of_sev = 'critical' THEN 'critical' WHEN of_sev = 'high' THEN 'high' ELSE 'medium' END"

@@ -167,13 +167,12 @@ def _event(seq: int, etype, severity, message, conv, flagged, expl, jb, tox) ->
                     c(tox, "double").alias("toxicity_score"))
 
 
-def security_events(ex: DataFrame) -> DataFrame:
-    """The events one exchange records, in order, exploded to rows. Ids are
-    deterministic hashes of (conversation, turn, seq); times are the turn's time."""
+def event_array() -> Column:
+    """The events one exchange records, in order (array of structs)."""
     text, conv = F.col("text"), F.col("conv_id")
     refused, ptox = F.col("refused"), F.col("ptox.toxicity_detected")
     of, rt = F.col("of"), F.col("rtox")
-    pii = _pii_found(ex) & ~refused
+    pii = _pii_found(None) & ~refused
     out_type = F.when(of["jailbreak_detected"], "jailbreak_output").when(of["bias_detected"], "bias").otherwise("toxicity")
     out_sev = F.when(of["severity"] == "critical", "critical").when(of["severity"] == "high", "high").otherwise("medium")
     none = F.lit(None)
@@ -191,8 +190,13 @@ def security_events(ex: DataFrame) -> DataFrame:
          _event(4, "normal", "low", text, conv, False, none, none, none)),
     ]
     empty = F.array().cast(f"array<struct<{EVENT_FIELDS}>>")
-    arr = F.concat(*[F.when(cond, F.array(ev)).otherwise(empty) for cond, ev in cands])
-    ev = ex.select("conv_id", "turn", F.explode(arr).alias("e"))
+    return F.concat(*[F.when(cond, F.array(ev)).otherwise(empty) for cond, ev in cands])
+
+
+def security_events(ex: DataFrame) -> DataFrame:
+    """The events exploded to rows. Ids are deterministic hashes of
+    (conversation, turn, seq); times are the turn's time."""
+    ev = ex.select("conv_id", "turn", F.explode(event_array()).alias("e"))
     return ev.select(
         F.sha2(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"),
                            F.col("e.seq").cast("string")), 256).substr(1, 32).alias("id"),

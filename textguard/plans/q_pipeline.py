@@ -21,8 +21,20 @@ def pipe_with() -> str:
     return "WITH " + O.pipeline_ctes(planted_values_sql()) + "\n"
 
 
+_AUDIT: dict = {}
+
+
 def exchanges(spark: SparkSession, sf: str) -> DataFrame:
-    return PL.guarded_exchanges(PL.pipeline_turns(spark, sf))
+    """The guarded exchanges of (conversations + planted turns), computed once per session
+    and table folder and kept (memory, spilling to disk) for the queries that read the
+    audit tables. A lost cached block is recomputed from its lineage."""
+    key = (id(spark), sf)
+    ex = _AUDIT.get(key)
+    if ex is None:
+        from pyspark import StorageLevel
+        ex = PL.guarded_exchanges(PL.pipeline_turns(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+        _AUDIT[key] = ex
+    return ex
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
