@@ -120,18 +120,19 @@ def model_spans(text: str, tokens: str) -> Column:
 
 def tokens_from_rule_spans(text: str, spans: str) -> Column:
     """Deterministic stand-in for a token-classification model (tests and contract
-    queries only): whitespace tokens of the text, labelled B-/I-<TYPE> where a rule span
-    covers them (confidence = the rule's), 'O' elsewhere, framed by two special tokens."""
-    t = ident(text)
-    toks = (f"aggregate(zip_with(regexp_extract_all({t}, '\\\\S+', 0), split({t}, '\\\\S+', -1), "
-            f"(m, p) -> named_struct('m', m, 'pl', length(p))), named_struct('pos', 0, 'toks', "
-            f"CAST(array() AS ARRAY<STRUCT<start:INT,end:INT>>)), (acc, x) -> CASE WHEN x.m IS NULL THEN acc ELSE "
-            f"named_struct('pos', acc.pos + x.pl + length(x.m), 'toks', array_append(acc.toks, "
-            f"named_struct('start', acc.pos + x.pl, 'end', acc.pos + x.pl + length(x.m)))) END).toks")
-    cover = f"filter({ident(spans)}, s -> s.start <= k.start AND k.start < s.end)"
-    labelled = (f"transform({toks}, k -> CASE WHEN size({cover}) = 0 THEN named_struct('label', 'O', 'conf', 1.0D, "
-                f"'start', k.start, 'end', k.end) ELSE named_struct('label', concat(CASE WHEN element_at({cover}, 1).start = k.start "
-                f"THEN 'B-' ELSE 'I-' END, upper(element_at({cover}, 1).type)), 'conf', element_at({cover}, 1).confidence, "
-                f"'start', k.start, 'end', k.end) END)")
+    queries only). Each rule span becomes its whitespace-separated pieces, labelled
+    B-<TYPE> then I-<TYPE> with the rule's confidence, followed by one 'O' token; the whole
+    sequence is framed by special (0, 0) tokens. Runs of 'O' tokens decode exactly like one,
+    so the untagged text between spans is represented by that single separator, and the
+    work per text is linear in the size of its spans."""
+    sp = ident(spans)
+    pieces = ("aggregate(zip_with(regexp_extract_all(s.value, '\\\\S+', 0), split(s.value, '\\\\S+', -1), "
+              "(m, p) -> named_struct('m', m, 'pl', length(p))), named_struct('pos', 0, 'toks', "
+              "CAST(array() AS ARRAY<STRUCT<start:INT,end:INT>>)), (acc, x) -> CASE WHEN x.m IS NULL THEN acc ELSE "
+              "named_struct('pos', acc.pos + x.pl + length(x.m), 'toks', array_append(acc.toks, "
+              "named_struct('start', acc.pos + x.pl, 'end', acc.pos + x.pl + length(x.m)))) END).toks")
+    per_span = (f"concat(transform({pieces}, (k, i) -> named_struct('label', concat(CASE WHEN i = 0 THEN 'B-' ELSE 'I-' END, "
+                f"upper(s.type)), 'conf', s.confidence, 'start', s.start + k.start, 'end', s.start + k.end)), "
+                f"array(named_struct('label', 'O', 'conf', 1.0D, 'start', s.end, 'end', s.end + 1)))")
     special = "array(named_struct('label', 'O', 'conf', 1.0D, 'start', 0, 'end', 0))"
-    return F.expr(f"concat({special}, {labelled}, {special})")
+    return F.expr(f"concat({special}, flatten(transform({sp}, s -> {per_span})), {special})")

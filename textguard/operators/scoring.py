@@ -26,10 +26,12 @@ def register_scorer(name: str, factory: Callable[[], Callable[[list], list]]) ->
     _SCORERS[name] = factory
 
 
-def _scorer(name: str) -> Callable[[list], list]:
+def load_scorer(name: str, factory: Callable[[], Callable[[list], list]] | None = None) -> Callable[[list], list]:
+    """The scorer ``name``, built at most once per Python process (worker processes are
+    reused across tasks, so a model is loaded once per worker)."""
     fn = _LOADED.get(name)
     if fn is None:
-        fn = _SCORERS[name]()
+        fn = (factory or _SCORERS[name])()
         _LOADED[name] = fn
     return fn
 
@@ -43,9 +45,7 @@ def score_column(text: Column, scorer: str, return_type: str, factory=None) -> C
 
     @F.pandas_udf(return_type)
     def _score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if scorer not in _SCORERS:
-            register_scorer(scorer, fac)
-        fn = _scorer(scorer)
+        fn = load_scorer(scorer, fac)
         for s in batches:
             yield pd.Series(fn(s.tolist()))
     return _score(text)

@@ -40,9 +40,9 @@ def role_updates(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "events")
     sig = e.filter((F.col("event_type") == "signup") & (F.col("value") >= 300)).select(
         "user_id", F.lit("MODERATOR").alias("new_role"), "ts", F.col("event_id").alias("update_id"))
-    bad = e.filter((F.col("event_type") == "error") & (F.col("value") >= 400)).select(
+    bad = e.filter((F.col("event_type") == "error") & (F.col("value") >= 320)).select(
         "user_id", F.lit("SUPERUSER").alias("new_role"), "ts", F.col("event_id").alias("update_id"))
-    unknown = e.filter((F.col("event_type") == "purchase") & (F.col("value") >= 450)).select(
+    unknown = e.filter((F.col("event_type") == "purchase") & (F.col("value") >= 340)).select(
         (F.col("user_id") + 100000).alias("user_id"), F.lit("ADMIN").alias("new_role"), "ts",
         F.col("event_id").alias("update_id"))
     return sig.unionByName(bad).unionByName(unknown)
@@ -50,8 +50,8 @@ def role_updates(spark: SparkSession, sf: str) -> DataFrame:
 
 UPD_SQL = """, upd AS (
   SELECT user_id, 'MODERATOR' AS new_role, ts, event_id AS update_id FROM events WHERE event_type = 'signup' AND value >= 300
-  UNION ALL SELECT user_id, 'SUPERUSER', ts, event_id FROM events WHERE event_type = 'error' AND value >= 400
-  UNION ALL SELECT user_id + 100000, 'ADMIN', ts, event_id FROM events WHERE event_type = 'purchase' AND value >= 450)"""
+  UNION ALL SELECT user_id, 'SUPERUSER', ts, event_id FROM events WHERE event_type = 'error' AND value >= 320
+  UNION ALL SELECT user_id + 100000, 'ADMIN', ts, event_id FROM events WHERE event_type = 'purchase' AND value >= 340)"""
 
 
 @register("apply_role_updates")
