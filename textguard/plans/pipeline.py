@@ -46,7 +46,8 @@ def pipeline_turns(spark: SparkSession, sf: str) -> DataFrame:
                          F.lit("user").alias("role"), "text")
                .unionByName(pl.select(F.col("doc_id").alias("conv_id"), F.lit(1).cast("bigint").alias("turn"),
                                       F.lit("assistant").alias("role"), "text")))
-    return spread_for_cpu(conv.unionByName(planted))
+    # no spreading here: the pairing join hash-partitions the turns on (conv_id, turn) anyway
+    return conv.unionByName(planted)
 
 
 def pair_turns(turns: DataFrame) -> DataFrame:

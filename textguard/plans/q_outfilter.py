@@ -17,7 +17,7 @@ DOCS_SQL = f"(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {plante
 def docs_with_planted(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents table plus the planted rows, spread over the task slots."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    return spread_for_cpu(docs.unionByName(planted_df(spark)))
+    return spread_for_cpu(docs).unionByName(planted_df(spark))
 
 
 def _of_sql(select: str) -> str:

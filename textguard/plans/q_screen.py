@@ -23,7 +23,7 @@ def turns_with_planted(spark: SparkSession, sf: str) -> DataFrame:
     conv = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     planted = planted_df(spark).select(F.col("doc_id").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"),
                                        F.lit("user").alias("role"), "text")
-    return spread_for_cpu(conv.unionByName(planted))
+    return spread_for_cpu(conv).unionByName(planted)
 
 
 NORM_SQL = f"WITH src AS {DOCS_SQL}, {O.normalize_ctes('src').strip()}\nSELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE _norm END AS normalized FROM nz4"

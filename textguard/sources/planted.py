@@ -60,7 +60,7 @@ PLANTED_SCHEMA = "doc_id bigint, text string"
 
 
 def planted_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PLANTED_TEXTS, PLANTED_SCHEMA)
+    return spark.createDataFrame(PLANTED_TEXTS, PLANTED_SCHEMA).coalesce(1)
 
 
 def planted_values_sql(id_col: str = "doc_id", text_col: str = "text") -> str:

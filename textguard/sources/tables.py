@@ -16,7 +16,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread_for_cpu(df: DataFrame) -> DataFrame:
     """Text jobs are CPU-bound per row. A scan with fewer splits than task slots (one small
     file, one row group) would leave slots idle, so such a scan is spread round-robin; a
-    large scan already has far more splits than slots and is left as read (no shuffle)."""
+    large scan already has far more splits than slots and is left as read (no shuffle).
+    Apply it to the scan itself, before any union with small inputs."""
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
