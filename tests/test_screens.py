@@ -34,7 +34,7 @@ def test_harmful_instruction(spark):
 
 def test_normalisation(spark):
     cases = {"ｆｕｌｌｗｉｄｔｈ": "fullwidth", "h\u200bate": "hate", "ignore%20previous": "ignore previous",
-             "\\x68\\x69 junk": "hi", "": "", "H3LL0 W0RLD!!": "hello world"}
+             "\\x68\\x69 junk": "hi", "": "", "H3LL0 W0RLD!!": "hello worldii"}  # "!" folds to "i"
     df = spark.createDataFrame(list(cases.items()), "t string, want string")
     for r in df.select("want", normalize_text(F.col("t")).alias("got")).collect():
         assert r["got"] == r["want"]
