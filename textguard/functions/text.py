@@ -34,9 +34,9 @@ def py_strip(c) -> Column:
 
 
 def word_count(c) -> Column:
-    """``len(text.split())``."""
-    s = py_strip(c)
-    return F.when(F.length(s) == 0, F.lit(0)).otherwise(F.size(F.split(s, PY_WS_RUN)))
+    """``len(text.split())``: the number of maximal runs of non-whitespace characters
+    (counted in place, without materialising the word array)."""
+    return F.coalesce(F.regexp_count(col_(c), F.lit("[^" + PY_WS + "]+")), F.lit(0))
 
 
 def contains_any(c, needles) -> Column:

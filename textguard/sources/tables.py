@@ -21,5 +21,6 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
+        # texts run from a few words to tens of thousands: three splits per slot even out the tail
+        return df.repartition(3 * slots)
     return df
