@@ -197,7 +197,7 @@ def event_array() -> Column:
 def security_events(ex: DataFrame) -> DataFrame:
     """The events exploded to rows. Ids are deterministic hashes of
     (conversation, turn, seq); times are the turn's time."""
-    ev = ex.select("conv_id", "turn", F.explode(event_array()).alias("e"))
+    ev = ex.select("conv_id", "turn", F.explode_outer(event_array()).alias("e")).filter(F.col("e").isNotNull())
     return ev.select(
         F.sha2(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"),
                            F.col("e.seq").cast("string")), 256).substr(1, 32).alias("id"),

@@ -18,7 +18,9 @@ def _pv_sql(select: str, where: str = "") -> str:
 
 
 def _spans_long(df: DataFrame, spans_col: str) -> DataFrame:
-    return (df.select("doc_id", F.explode(spans_col).alias("s"))
+    # explode_outer + a filter above it: a plain explode makes the optimiser infer
+    # `size(spans) > 0` and push it under the projection, computing the spans twice
+    return (df.select("doc_id", F.explode_outer(spans_col).alias("s")).filter(F.col("s").isNotNull())
               .select("doc_id", F.col("s.type").alias("span_type"), F.col("s.value").alias("span_value"),
                       F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"),
                       F.col("s.confidence").alias("confidence")))
@@ -87,7 +89,7 @@ def mask_values(spark: SparkSession, sf: str) -> DataFrame:
     """Every resolved span masked under each of the four strategies."""
     df = P.with_privacy(docs_with_planted(spark, sf), "text", secrets=False)
     m = F.col("m")
-    out = (df.select("doc_id", F.explode("privacy.spans").alias("m"))
+    out = (df.select("doc_id", F.explode_outer("privacy.spans").alias("m")).filter(F.col("m").isNotNull())
            .select("doc_id", m["type"].alias("span_type"), m["value"].alias("span_value"),
                    m["start"].alias("span_start"), m["idx"].cast("long").alias("type_index"),
                    m["strategy"].alias("default_strategy"), m["mask"].alias("mask_default"),

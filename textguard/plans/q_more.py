@@ -268,7 +268,7 @@ def _mspans_long(df, col, with_value=False):
     else:
         cols += [F.round(F.aggregate(s["confs"], F.lit(0.0), lambda a, c: a + c) / F.size(s["confs"]), 4)
                  .alias("confidence")]
-    return df.select("doc_id", F.explode(col).alias("s")).select(*cols)
+    return df.select("doc_id", F.explode_outer(col).alias("s")).filter(F.col("s").isNotNull()).select(*cols)
 
 
 @register("bio_spans")
