@@ -57,3 +57,23 @@ def test_pipeline_quirks(spark):
     assert m1["ASSISTANT"]["content"] == "go to [REDACTED]" and m1["ASSISTANT"]["filtered_content"] == "go to hell"
     conv = {r["id"]: r for r in PL.conversation_rollup(ex).collect()}
     assert set(conv) == {1, 3} and conv[3]["bias_detected"] is True and conv[1]["title"] == "I hate this, Call 415-555-0132"
+
+
+def test_span_arrays_computed_once(spark, sf001):
+    # a plain explode would let the optimiser push `size(spans) > 0` under the projection
+    plan = _plan(E.queries()["pii_spans"](spark, sf001))
+    assert "aggregate(zip_with" not in plan.split("FileScan")[1].split("\n")[0]
+
+
+def test_hot_conversation_pairing(spark):
+    from textguard.plans import pipeline as PL
+    hot = [(7, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(2000)]
+    cold = [(c, t, "user" if t % 2 == 0 else "assistant", f"c{c}t{t}") for c in range(8, 40) for t in range(3)]
+    turns = spark.createDataFrame(hot + cold, "conv_id long, turn long, role string, text string")
+    pairs = PL.pair_turns(turns)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(conv_id" in plan and ", turn" in plan.split("hashpartitioning(conv_id")[1].split(")")[0]
+    got = {(r["conv_id"], r["turn"]): r["next_text"] for r in pairs.collect()}
+    for c, t, _, _ in hot + cold:
+        nxt = [x for x in hot + cold if x[0] == c and x[1] == t + 1] if c != 7 else ([(7, t + 1, "", f"t{t + 1}")] if t + 1 < 2000 else [])
+        assert got[(c, t)] == (nxt[0][3] if nxt else None)

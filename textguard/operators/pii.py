@@ -68,9 +68,17 @@ def validate_spans_sql(text: str, spans_sql: str) -> str:
             f"AND (s.type <> 'zip_code' OR NOT ({math_near} OR {prev_d} OR {next_d})))")
 
 
+def rule_prefilter_sql(text: str, span_type: str) -> str:
+    """A cheap test every match of the rule needs: '@' for e-mail, an ASCII digit for the
+    numeric rules. Most texts fail it, and then the rule's two regex scans are skipped."""
+    t = ident(text)
+    return f"instr({t}, '@') > 0" if span_type == "email" else f"{t} RLIKE '[0-9]'"
+
+
 def rule_pii_spans(text: str) -> Column:
     """D1 + D3: validated rule detections of column ``text`` in pattern order, then match order."""
-    per_rule = [regex_spans_sql(text, ci(p), t, c) for t, p, c in L.PII_RULES]
+    per_rule = [f"CASE WHEN {rule_prefilter_sql(text, t)} THEN {regex_spans_sql(text, ci(p), t, c)} "
+                f"ELSE CAST(array() AS {SPAN_ARRAY_SQL}) END" for t, p, c in L.PII_RULES]
     return expr(validate_spans_sql(text, "concat(" + ", ".join(per_rule) + ")"))
 
 
@@ -215,7 +223,10 @@ def secret_hits(text) -> Column:
     text = col_(text)
     keys = F.concat(*[F.regexp_extract_all(text, F.lit(ci(p)), F.lit(0)) for p in L.API_KEY_PATTERNS])
     keys = F.filter(keys, lambda k: shannon_entropy(k) > L.API_KEY_MIN_ENTROPY)
-    pws = F.concat(*[F.regexp_extract_all(text, F.lit(ci(p)), F.lit(1)) for p in L.PASSWORD_PATTERNS])
+    # every password pattern starts with password, passwd or pwd (case-insensitive)
+    pws = F.when(text.rlike("(?i)passw|pwd"),
+                 F.concat(*[F.regexp_extract_all(text, F.lit(ci(p)), F.lit(1)) for p in L.PASSWORD_PATTERNS]))\
+           .otherwise(F.array().cast("array<string>"))
     pws = F.filter(pws, lambda p: ~trivial_secret_password(p))
     return F.struct(keys.alias("api_keys"), pws.alias("passwords"))
 
