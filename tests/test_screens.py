@@ -48,3 +48,15 @@ def test_prompt_password_rules(spark):
     assert out["a"]["pii_found"] == ["password"]          # a password marker replaces the type
     assert out["b"]["pii_found"] == []                    # a trivial password suppresses the type
     assert out["c"]["pii_found"] == []                    # placeholder e-mail is skipped
+
+
+def test_word_count_and_punct_view(spark):
+    from textguard.functions.text import punct_normalize, word_count
+    cases = ["", " ", "a", " a b  ", "x y\tz\n", " lead", "trail　", "a.b,,c ! d"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = df.select("t", word_count(F.col("t")).alias("n"), punct_normalize(F.col("t")).alias("p")).collect()
+    import re
+    for r in got:
+        assert r["n"] == len(r["t"].split()), repr(r["t"])
+        want = re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", r["t"])).lower()
+        assert r["p"] == want, repr(r["t"])
