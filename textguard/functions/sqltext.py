@@ -40,19 +40,29 @@ def substring_hits_sql(views: list[str], needles) -> str:
     return "concat(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]
 
 
-def regex_hits_sql(views: list[str], patterns, flags: str = "(?i)") -> str:
+def _guarded(view: str, pattern: str, flags: str, requires: dict | None) -> str:
+    rx = f"{ident(view)} RLIKE {sql_str(flags + pattern)}"
+    lits = (requires or {}).get(pattern)
+    if not lits:
+        return rx
+    pre = " OR ".join(f"contains({ident(view)}, {sql_str(x)})" for x in lits)
+    return f"(({pre}) AND {rx})"
+
+
+def regex_hits_sql(views: list[str], patterns, flags: str = "(?i)", requires: dict | None = None) -> str:
     """Patterns (in list order) that match any of the named columns; each pattern stays
-    a literal so it is compiled once per task."""
+    a literal so it is compiled once per task. ``requires`` maps a pattern to literals one
+    of which every match contains (lower-case views): the regex runs only when one occurs."""
     parts = []
     for p in patterns:
-        cond = " OR ".join(f"{ident(v)} RLIKE {sql_str(flags + p)}" for v in views)
+        cond = " OR ".join(_guarded(v, p, flags, requires) for v in views)
         parts.append(f"CASE WHEN {cond} THEN array({sql_str(p)}) ELSE {EMPTY_STR_ARRAY} END")
     return "concat(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]
 
 
-def first_regex_sql(view: str, patterns, flags: str = "(?i)") -> str:
+def first_regex_sql(view: str, patterns, flags: str = "(?i)", requires: dict | None = None) -> str:
     """The first pattern (in list order) matching the named column, else NULL."""
-    whens = " ".join(f"WHEN {ident(view)} RLIKE {sql_str(flags + p)} THEN {sql_str(p)}" for p in patterns)
+    whens = " ".join(f"WHEN {_guarded(view, p, flags, requires)} THEN {sql_str(p)}" for p in patterns)
     return f"CASE {whens} ELSE CAST(NULL AS STRING) END"
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import lexicons as L
+from textguard.functions.prefilters import BIAS_REQUIRES, OUTPUT_JAILBREAK_REQUIRES
 from textguard.functions.sqltext import expr, first_regex_sql, regex_hits_sql, substring_hits_sql
 from textguard.functions.text import ci, col_, punct_normalize, score_tenths, word_count
 
@@ -112,7 +113,7 @@ def toxicity_struct(text: str) -> Column:
 def bias_struct(include_age: bool = False) -> Column:
     """D17 rule path: first matching pattern per bias type, 0.3 per type."""
     groups = list(L.BIAS_PATTERNS) + ([("age", L.AGE_BIAS_PATTERNS)] if include_age else [])
-    firsts = [(btype, expr(first_regex_sql("_tg_low", pats))) for btype, pats in groups]
+    firsts = [(btype, expr(first_regex_sql("_tg_low", pats, requires=BIAS_REQUIRES))) for btype, pats in groups]
     types = hits_by_literal([(f.isNotNull(), t) for t, f in firsts])
     patterns = F.filter(F.array(*[F.struct(F.lit(t).alias("type"), f.alias("pattern")) for t, f in firsts]),
                         lambda s: s["pattern"].isNotNull())
@@ -128,7 +129,7 @@ def bias_struct(include_age: bool = False) -> Column:
 
 def output_jailbreak_struct() -> Column:
     """Indicator patterns on lower or punctuation-stripped text; 0.4 each, capped at 1.0."""
-    hits = expr(regex_hits_sql(["_tg_low", "_tg_pnorm"], L.OUTPUT_JAILBREAK_PATTERNS))
+    hits = expr(regex_hits_sql(["_tg_low", "_tg_pnorm"], L.OUTPUT_JAILBREAK_PATTERNS, requires=OUTPUT_JAILBREAK_REQUIRES))
     n = F.size(hits)
     return F.struct(
         (n > 0).alias("detected"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import lexicons as L
 from textguard.functions.text import placeholder_email, trivial_prompt_password, with_normalized
+from textguard.functions.prefilters import PROMPT_JAILBREAK_REQUIRES
 from textguard.functions.sqltext import expr, regex_hits_sql, substring_hits_sql
 from textguard.operators.outfilter import STR_ARRAY
 
@@ -65,7 +66,7 @@ def with_prompt_analysis(df: DataFrame, text: str, out: str = "prompt", entities
     """D22 ``analyze_prompt``: struct(is_flagged, jailbreak_detected, pii_detected,
     jailbreak_score, explanation, jailbreak_patterns, pii_found, entities)."""
     staged = with_screen_views(df, text)
-    jb = expr(regex_hits_sql(["_tg_low", "_tg_norm"], L.JAILBREAK_PATTERNS, flags=""))
+    jb = expr(regex_hits_sql(["_tg_low", "_tg_norm"], L.JAILBREAK_PATTERNS, flags="", requires=PROMPT_JAILBREAK_REQUIRES))
     staged = staged.withColumn("_tg_jb", jb).withColumn("_tg_pii", prompt_pii_found())
     ents = entity_hits(F.col(entities)) if entities else F.array().cast(STR_ARRAY)
     staged = staged.withColumn("_tg_ent", ents)
