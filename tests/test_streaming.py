@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,40 +15,48 @@ def _src(table, sf="/root/testdata/sf0.001"):
     return d
 
 
+def _name(base):
+    # the checkpoint folder is shared and persists; each test run gets its own query names
+    return f"{base}_{uuid.uuid4().hex[:8]}"
+
+
 def _drain(q):
     q.processAllAvailable()
     q.awaitTermination(120)
 
 
 def test_activity_and_daily_windows(spark):
+    n_w2, n_w3 = _name("w2"), _name("w3")
     ev = W.read_stream(spark, _src("events"), W.EVENT_SCHEMA)
-    _drain(W.start(W.activity_windows(ev), "w2_test", "update"))
-    got = {(r["window_start"], r["window_end"]): (r["active_users"], r["errors"]) for r in spark.table("w2_test").collect()}
+    _drain(W.start(W.activity_windows(ev), n_w2, "update"))
+    got = {(r["window_start"], r["window_end"]): (r["active_users"], r["errors"]) for r in spark.table(n_w2).collect()}
     batch = spark.read.schema(W.EVENT_SCHEMA).parquet("/root/testdata/sf0.001/events.parquet")
     want = {(r["window_start"], r["window_end"]): (r["active_users"], r["errors"])
             for r in W.activity_windows(batch).collect()}
     assert got == want and len(got) > 0
     ev = W.read_stream(spark, _src("events"), W.EVENT_SCHEMA)
-    _drain(W.start(W.daily_threats(ev), "w3_test", "update"))
-    got = {r["date"]: (r["threats"], r["events"]) for r in spark.table("w3_test").collect()}
+    _drain(W.start(W.daily_threats(ev), n_w3, "update"))
+    got = {r["date"]: (r["threats"], r["events"]) for r in spark.table(n_w3).collect()}
     want = {r["date"]: (r["threats"], r["events"]) for r in W.daily_threats(batch).collect()}
     assert got == want and sum(v[1] for v in got.values()) == batch.count()
 
 
 def test_guard_and_conversation_state(spark):
+    n_w4 = _name("w4")
     turns = W.read_stream(spark, _src("conversations"), W.TURN_SCHEMA)
-    _drain(W.start(W.conversation_state(W.guard_turns(turns)), "w4_test", "update"))
-    got = {r["conv_id"]: r.asDict() for r in spark.table("w4_test").collect()}
+    _drain(W.start(W.conversation_state(W.guard_turns(turns)), n_w4, "update"))
+    got = {r["conv_id"]: r.asDict() for r in spark.table(n_w4).collect()}
     batch = spark.read.schema(W.TURN_SCHEMA).parquet("/root/testdata/sf0.001/conversations.parquet")
     want = {r["conv_id"]: r.asDict() for r in W.conversation_state(W.guard_turns(batch)).collect()}
     assert got == want and len(got) == batch.select("conv_id").distinct().count()
 
 
 def test_newest_events_cache(spark):
+    n_w5 = _name("w5")
     out = tempfile.mkdtemp(prefix="tg-newest-")
     ev = W.read_stream(spark, _src("events"), W.EVENT_SCHEMA)
     q = ev.writeStream.foreachBatch(W.newest_events_sink(spark, out, cap=500)) \
-          .option("checkpointLocation", W.checkpoint_for(spark, "w5_test")).trigger(availableNow=True).start()
+          .option("checkpointLocation", W.checkpoint_for(spark, n_w5)).trigger(availableNow=True).start()
     _drain(q)
     latest = sorted(os.listdir(out))[-1]
     got = spark.read.parquet(os.path.join(out, latest))
