@@ -93,14 +93,18 @@ def utf8_ignore(b) -> Column:
 
 
 def maybe_decode_hex(c) -> Column:
-    """H4: ``\\xNN`` escapes -> only those bytes decoded; else an all-hex even string of 6+ -> decoded."""
+    """H4: ``\\xNN`` escapes -> only those bytes decoded; else an all-hex even string of 6+ -> decoded.
+    A cheap shape test (an escape present, or nothing but hex digits and spaces) guards the
+    rest, so ordinary prose pays one scan."""
     c = col_(c)
+    shape = (F.instr(F.lower(c), "\\x") > 0) | c.rlike("^[" + PY_WS + "0-9a-fA-F]+$")
     s = F.lower(F.replace(py_strip(c), F.lit(" "), F.lit("")))
     escaped = F.array_join(F.regexp_extract_all(s, F.lit("\\\\x([0-9a-f]{2})"), F.lit(1)), "")
     plain = (F.length(s) % 2 == 0) & (F.length(s) >= 6) & s.rlike("^[0-9a-f]+$")
-    return (F.when(s.rlike("\\\\x[0-9a-f]{2}"), utf8_ignore(F.unhex(escaped)))
-            .when(plain, utf8_ignore(F.unhex(s)))
-            .otherwise(c))
+    decoded = (F.when(s.rlike("\\\\x[0-9a-f]{2}"), utf8_ignore(F.unhex(escaped)))
+               .when(plain, utf8_ignore(F.unhex(s)))
+               .otherwise(c))
+    return F.when(shape, decoded).otherwise(c)
 
 
 def printable_count(c) -> Column:
@@ -110,13 +114,17 @@ def printable_count(c) -> Column:
 
 
 def maybe_decode_base64(c) -> Column:
-    """H5: strict base64 of 8+ characters, kept when more than 80 % of the text is printable."""
+    """H5: strict base64 of 8+ characters, kept when more than 80 % of the text is printable.
+    Only a text made of base64 characters between optional outer whitespace can decode,
+    which one scan decides before anything else is computed."""
     c = col_(c)
+    shape = c.rlike("^[" + PY_WS + "]*[A-Za-z0-9+/]*={0,2}[" + PY_WS + "]*$")
     s = py_strip(c)
-    valid = (F.length(s) >= 8) & (F.length(s) % 4 == 0) & s.rlike("^[A-Za-z0-9+/]*={0,2}$")
-    dec = utf8_ignore(F.unbase64(s))
+    valid = (F.length(s) >= 8) & (F.length(s) % 4 == 0)
+    # try_to_binary: NULL instead of an error on a malformed candidate
+    dec = utf8_ignore(F.try_to_binary(s, F.lit("base64")))
     keep = valid & (F.length(dec) > 0) & (printable_count(dec) * 5 > F.length(dec) * 4)
-    return F.when(keep, dec).otherwise(c)
+    return F.when(shape, F.when(keep, dec).otherwise(c)).otherwise(c)
 
 
 def with_normalized(df: DataFrame, src: str, out: str) -> DataFrame:
