@@ -62,10 +62,13 @@ def entity_hits(entities: Column) -> Column:
     return F.transform(keep, lambda e: F.concat(e["label"], F.lit(": "), e["text"]))
 
 
-def with_prompt_analysis(df: DataFrame, text: str, out: str = "prompt", entities: str | None = None) -> DataFrame:
+def with_prompt_analysis(df: DataFrame, text: str, out: str = "prompt", entities: str | None = None,
+                         staged: bool = False) -> DataFrame:
     """D22 ``analyze_prompt``: struct(is_flagged, jailbreak_detected, pii_detected,
-    jailbreak_score, explanation, jailbreak_patterns, pii_found, entities)."""
-    staged = with_screen_views(df, text)
+    jailbreak_score, explanation, jailbreak_patterns, pii_found, entities).
+    ``staged=True``: the views of ``with_screen_views`` are already there (and are kept)."""
+    keep_views = staged
+    staged = df if staged else with_screen_views(df, text)
     jb = expr(regex_hits_sql(["_tg_low", "_tg_norm"], L.JAILBREAK_PATTERNS, flags="", requires=PROMPT_JAILBREAK_REQUIRES))
     staged = staged.withColumn("_tg_jb", jb).withColumn("_tg_pii", prompt_pii_found())
     ents = entity_hits(F.col(entities)) if entities else F.array().cast(STR_ARRAY)
@@ -87,7 +90,7 @@ def with_prompt_analysis(df: DataFrame, text: str, out: str = "prompt", entities
         pii.alias("pii_found"),
         ent.alias("entities"),
     )
-    return staged.withColumn(out, result).drop(*SCREEN_TMP, "_tg_jb", "_tg_pii", "_tg_ent")
+    return staged.withColumn(out, result).drop(*([] if keep_views else SCREEN_TMP), "_tg_jb", "_tg_pii", "_tg_ent")
 
 
 def harmful_instructions(low: Column) -> Column:
@@ -101,10 +104,11 @@ def harmful_instructions(low: Column) -> Column:
     return has_phrase & has_word
 
 
-def with_response_analysis(df: DataFrame, text: str, out: str = "response") -> DataFrame:
+def with_response_analysis(df: DataFrame, text: str, out: str = "response", staged: bool = False) -> DataFrame:
     """D23 ``analyze_response``: struct(is_flagged, toxicity_detected, toxicity_score,
-    explanation, keywords, harmful)."""
-    staged = with_screen_views(df, text)
+    explanation, keywords, harmful). ``staged=True``: reuse (and keep) staged views."""
+    keep_views = staged
+    staged = df if staged else with_screen_views(df, text)
     staged = staged.withColumn("_tg_lex", expr(substring_hits_sql(["_tg_low", "_tg_norm"], L.LEXICON_KEYWORDS)))
     lex = F.col("_tg_lex")
     tox = F.size(lex) > 0
@@ -119,7 +123,7 @@ def with_response_analysis(df: DataFrame, text: str, out: str = "response") -> D
         lex.alias("keywords"),
         harmful.alias("harmful"),
     )
-    return staged.withColumn(out, result).drop(*SCREEN_TMP, "_tg_lex")
+    return staged.withColumn(out, result).drop(*([] if keep_views else SCREEN_TMP), "_tg_lex")
 
 
 def prompt_intent(text) -> Column:

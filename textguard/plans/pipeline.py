@@ -63,8 +63,10 @@ def guarded_exchanges(turns: DataFrame, mask_overrides: dict | None = None,
     reply's output filter and legacy response screen, and the ``refused`` flag."""
     ex = pair_turns(turns).filter(F.col("role") == "user")
     ex = ex.withColumn("reply", F.when(F.col("next_role") == "assistant", F.col("next_text")))
-    ex = S.with_prompt_analysis(ex, "text", "pa")
-    ex = S.with_response_analysis(ex, "text", "ptox")
+    # the prompt's normalised views are staged once for both prompt screens
+    ex = S.with_screen_views(ex, "text")
+    ex = S.with_prompt_analysis(ex, "text", "pa", staged=True)
+    ex = S.with_response_analysis(ex, "text", "ptox", staged=True).drop(*S.SCREEN_TMP)
     ex = P.with_privacy(ex, "text", "priv", overrides=mask_overrides)
     ex = OF.with_output_filter(ex, "reply", "of", strategies=filter_strategies)
     ex = S.with_response_analysis(ex, "reply", "rtox")
@@ -256,6 +258,7 @@ def basic_exchanges(turns: DataFrame) -> DataFrame:
     """P5: the simple pipeline - prompt screen and lexicon screens only, no masking or filter."""
     ex = pair_turns(turns).filter(F.col("role") == "user")
     ex = ex.withColumn("reply", F.when(F.col("next_role") == "assistant", F.col("next_text")))
-    ex = S.with_prompt_analysis(ex, "text", "pa")
-    ex = S.with_response_analysis(ex, "text", "ptox")
+    ex = S.with_screen_views(ex, "text")
+    ex = S.with_prompt_analysis(ex, "text", "pa", staged=True)
+    ex = S.with_response_analysis(ex, "text", "ptox", staged=True).drop(*S.SCREEN_TMP)
     return S.with_response_analysis(ex, "reply", "rtox")

@@ -38,8 +38,9 @@ def guard_turns(turns: DataFrame) -> DataFrame:
     """Score turns as they arrive - stateless, so it is the batch column logic as is.
     User turns get the prompt screen, prompt toxicity and masking; assistant turns get the
     output filter and the legacy response screen."""
-    t = S.with_prompt_analysis(turns, "text", "pa")
-    t = S.with_response_analysis(t, "text", "tox")
+    t = S.with_screen_views(turns, "text")
+    t = S.with_prompt_analysis(t, "text", "pa", staged=True)
+    t = S.with_response_analysis(t, "text", "tox", staged=True).drop(*S.SCREEN_TMP)
     t = P.with_privacy(t, "text", "priv")
     t = OF.with_output_filter(t, "text", "of")
     is_user = F.col("role") == "user"
