@@ -72,7 +72,8 @@ def mask_documents(spark: SparkSession, sf: str) -> DataFrame:
     df = P.with_privacy(docs_with_planted(spark, sf), "text", secrets=False)
     p = F.col("privacy")
     return df.select("doc_id", p["pii_detected"].alias("pii_detected"), p["masked_text"].alias("masked_text"),
-                     F.size(p["mappings"]).alias("n_mappings"), P.mappings_text(p["mappings"]).alias("mappings"))
+                     F.size(p["mappings"]).cast("bigint").alias("n_mappings"),
+                     P.mappings_text(p["mappings"]).alias("mappings"))
 
 
 def _mask_all_sql() -> str:
@@ -105,7 +106,7 @@ APIKEY_SQL = _pv_sql("doc_id, len(api_keys) AS n_api_keys, array_to_string(api_k
 def api_key_hits(spark: SparkSession, sf: str) -> DataFrame:
     """API-key candidates (3 patterns) with entropy above 3.5, per document."""
     df = docs_with_planted(spark, sf).withColumn("sec", P.secret_hits(F.coalesce("text", F.lit(""))))
-    return df.select("doc_id", F.size("sec.api_keys").alias("n_api_keys"),
+    return df.select("doc_id", F.size("sec.api_keys").cast("bigint").alias("n_api_keys"),
                      F.array_join("sec.api_keys", " ").alias("api_keys"))
 
 
@@ -116,7 +117,7 @@ PASSWORD_SQL = _pv_sql("doc_id, len(passwords) AS n_passwords, array_to_string(p
 def password_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Non-trivial password values after password/passwd/pwd markers, per document."""
     df = docs_with_planted(spark, sf).withColumn("sec", P.secret_hits(F.coalesce("text", F.lit(""))))
-    return df.select("doc_id", F.size("sec.passwords").alias("n_passwords"),
+    return df.select("doc_id", F.size("sec.passwords").cast("bigint").alias("n_passwords"),
                      F.array_join("sec.passwords", " ").alias("passwords"))
 
 
@@ -129,7 +130,7 @@ def mask_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """PII masking followed by API-key and password redaction of the masked text."""
     df = P.with_privacy(docs_with_planted(spark, sf), "text")
     p = F.col("privacy")
-    return df.select("doc_id", p["masked_text"].alias("masked_text"), F.size(p["mappings"]).alias("n_mappings"),
+    return df.select("doc_id", p["masked_text"].alias("masked_text"), F.size(p["mappings"]).cast("bigint").alias("n_mappings"),
                      P.mappings_text(p["mappings"]).alias("mappings"))
 
 

@@ -77,7 +77,7 @@ def flat_messages(m: DataFrame) -> DataFrame:
     return m.select("id", "conversation_id", "turn", "role", "content",
                     F.date_format("created_at", TS_FMT).alias("created_at"), "is_flagged", "jailbreak_score",
                     "toxicity_score", "pii_detected", "explanation", "original_content", "masked_content",
-                    F.col("n_mappings").cast("int").alias("n_mappings"), "filtered_content", "bias_detected",
+                    F.col("n_mappings").cast("bigint").alias("n_mappings"), "filtered_content", "bias_detected",
                     "bias_score", "jailbreak_detected_in_output", "jailbreak_score_in_output",
                     F.col("filter_analysis").isNotNull().alias("has_filter_analysis"),
                     F.col("filter_analysis.severity").alias("fa_severity"), "sanitization_strategy")

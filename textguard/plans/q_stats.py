@@ -502,7 +502,7 @@ def _nearest_rank_sql(percents) -> str:
     return f"""
 , s AS (SELECT event_type AS variant, value AS ms, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS rn,
         count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
-t AS (SELECT DISTINCT variant, n, p FROM s, (SELECT unnest([{ps}]) AS p))
+t AS (SELECT DISTINCT variant, n, p FROM s, (SELECT CAST(unnest([{ps}]) AS DOUBLE) AS p))
 SELECT t.variant, t.p, s.ms FROM t JOIN s ON s.variant = t.variant
   AND s.rn = greatest(0, least(t.n - 1, CAST(round_even(t.p / 100.0 * (t.n - 1), 0) AS BIGINT)))"""
 
@@ -579,7 +579,7 @@ def privacy_log(spark: SparkSession, sf: str) -> DataFrame:
     """F5 + T2: newest 50 messages where masking happened (original vs masked)."""
     m = _privacy_rows(messages(spark, sf)).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(50)
     return m.select("id", F.date_format("created_at", TS_FMT).alias("timestamp"), F.col("original_content"),
-                    F.col("masked_content"), F.col("n_mappings").cast("int").alias("n_mappings"),
+                    F.col("masked_content"), F.col("n_mappings").cast("bigint").alias("n_mappings"),
                     "conversation_id", "explanation")
 
 
