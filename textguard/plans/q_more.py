@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.functions import lexicons as L
 from textguard.operators import modelspans as MS
 from textguard.operators import outfilter as OF
 from textguard.operators import pii as P
