@@ -336,3 +336,29 @@ oracle("clean_event_timestamps", "WITH x AS (SELECT 1)" + ELOG + """
 , s AS (SELECT id, type, severity, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') || CASE WHEN id % 2 = 0 THEN '+00:00Z' ELSE 'Z' END AS iso FROM elog)
 SELECT id, strftime(TRY_CAST(regexp_replace(iso, '([+-]\\d{2}:\\d{2})Z$', '\\1') AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS timestamp,
   coalesce(type, 'normal') AS type, coalesce(severity, 'low') AS severity FROM s""")
+
+
+# Oracles for the decoder and merger on the stand-in tagger's tokens: every whitespace
+# piece of a resolved rule span is tagged, and pieces of one span are separated by
+# whitespace, so decoding yields one span per piece (an I- tag that starts after the open
+# span's end opens a new span); merging joins same-typed neighbours at most 2 apart.
+from textguard.plans.q_outfilter import DOCS_SQL  # noqa: E402
+
+_PIECES = ("WITH src AS " + DOCS_SQL + ", " + O.privacy_ctes("src").strip() + """,
+sp AS (SELECT doc_id, unnest(spans) AS s FROM pv5),
+pc AS (SELECT doc_id, s, unnest(regexp_extract_all(s.v, '\\S+')) AS m,
+              unnest(generate_series(1, len(regexp_extract_all(s.v, '\\S+')))) AS i FROM sp),
+pz AS (SELECT doc_id, lower(s.t) AS span_type,
+    CAST(s.s + coalesce(list_sum(list_transform(regexp_split_to_array(s.v, '\\S+')[1:i], lambda x: length(x))), 0)
+         + coalesce(list_sum(list_transform(regexp_extract_all(s.v, '\\S+')[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS span_start,
+    length(m) AS len, s.c AS conf FROM pc),
+pieces AS (SELECT doc_id, span_type, span_start, CAST(span_start + len AS INTEGER) AS span_end, conf FROM pz)""")
+
+oracle("bio_spans", _PIECES + "\nSELECT doc_id, span_type, span_start, span_end, round(conf, 4) AS confidence FROM pieces")
+oracle("merge_spans", _PIECES + """,
+o AS (SELECT *, lag(span_type) OVER w AS pt, lag(span_end) OVER w AS pe FROM pieces
+      WINDOW w AS (PARTITION BY doc_id ORDER BY span_start)),
+g AS (SELECT *, sum(CASE WHEN pt IS NOT NULL AND pt = span_type AND span_start <= pe + 2 THEN 0 ELSE 1 END)
+        OVER (PARTITION BY doc_id ORDER BY span_start ROWS UNBOUNDED PRECEDING) AS grp FROM o)
+SELECT doc_id, min(span_type) AS span_type, min(span_start) AS span_start, max(span_end) AS span_end,
+  round(sum(conf) / count(*), 4) AS confidence FROM g GROUP BY doc_id, grp""")
