@@ -355,10 +355,49 @@ pz AS (SELECT doc_id, lower(s.t) AS span_type,
 pieces AS (SELECT doc_id, span_type, span_start, CAST(span_start + len AS INTEGER) AS span_end, conf FROM pz)""")
 
 oracle("bio_spans", _PIECES + "\nSELECT doc_id, span_type, span_start, span_end, round(conf, 4) AS confidence FROM pieces")
-oracle("merge_spans", _PIECES + """,
+_MERGE_BODY = """,
 o AS (SELECT *, lag(span_type) OVER w AS pt, lag(span_end) OVER w AS pe FROM pieces
       WINDOW w AS (PARTITION BY doc_id ORDER BY span_start)),
 g AS (SELECT *, sum(CASE WHEN pt IS NOT NULL AND pt = span_type AND span_start <= pe + 2 THEN 0 ELSE 1 END)
-        OVER (PARTITION BY doc_id ORDER BY span_start ROWS UNBOUNDED PRECEDING) AS grp FROM o)
-SELECT doc_id, min(span_type) AS span_type, min(span_start) AS span_start, max(span_end) AS span_end,
-  round(sum(conf) / count(*), 4) AS confidence FROM g GROUP BY doc_id, grp""")
+        OVER (PARTITION BY doc_id ORDER BY span_start ROWS UNBOUNDED PRECEDING) AS grp FROM o),
+mg AS (SELECT doc_id, min(span_type) AS span_type, min(span_start) AS span_start, max(span_end) AS span_end,
+  sum(conf) / count(*) AS confidence FROM g GROUP BY doc_id, grp)"""
+oracle("merge_spans", _PIECES + _MERGE_BODY + "\nSELECT doc_id, span_type, span_start, span_end, round(confidence, 4) AS confidence FROM mg")
+ORACLES_MERGE = _PIECES + _MERGE_BODY
+
+
+def _span_thresholds_sql() -> str:
+    from textguard.functions import lexicons as LX
+    from textguard.operators.modelspans import STRUCTURED, VALIDATION_PATTERNS
+    thr = "CASE " + " ".join(f"WHEN span_type = {O.q(k)} THEN {v}" for k, v in LX.MODEL_PII_THRESHOLDS.items()) + " ELSE 0.5 END"
+    valid = "CASE " + " ".join(f"WHEN span_type = {O.q(k)} THEN regexp_matches(span_value, {O.q(p)})"
+                               for k, p in VALIDATION_PATTERNS.items()) + \
+            " ELSE length(span_value) >= 2 AND regexp_matches(span_value, '[\\pL\\pN]') END"
+    punct = "[" + "".join("\\" + c for c in LX.MODEL_SPAN_STRIP_CHARS) + "]"
+    structured = ", ".join(O.q(x) for x in STRUCTURED)
+    lo, hi = "greatest(span_start - 20, 0)", "least(span_end + 20, length(text))"
+    ctx = f"lower(substr(text, {lo} + 1, {hi} - {lo}))"
+    math_near = " OR ".join(f"contains({ctx}, {O.q(op)})" for op in LX.MATH_INDICATORS)
+    zip_bad = (f"(span_type = 'zip_code' AND ({math_near} OR (span_start > 0 AND regexp_matches(substr(text, span_start, 1), '^\\p{{Nd}}$')) "
+               f"OR (span_end < length(text) AND regexp_matches(substr(text, span_end + 1, 1), '^\\p{{Nd}}$'))))")
+    strip = "regexp_replace({v}, '^\\s+|\\s+$', '', 'g')"
+    v0 = strip.format(v="substr(text, span_start + 1, raw_end - span_start)")
+    return (ORACLES_MERGE + f""",
+t0 AS (SELECT m.doc_id, m.span_type, m.span_start, m.span_end AS raw_end, m.confidence, coalesce(d.text, '') AS text
+       FROM mg m JOIN src d USING (doc_id)),
+t1 AS (SELECT *, CASE WHEN span_type IN ({structured}) THEN 0
+         ELSE length({v0}) - length(regexp_replace({v0}, '{punct}+$', '')) END AS k FROM t0),
+t2 AS (SELECT doc_id, span_type, span_start, CAST(raw_end - k AS INTEGER) AS span_end, confidence, text FROM t1),
+t3 AS (SELECT *, {strip.format(v="substr(text, span_start + 1, span_end - span_start)")} AS span_value FROM t2)
+SELECT doc_id, span_type, span_start, span_end, span_value, confidence FROM t3
+WHERE length(span_value) >= 3 AND confidence >= ({thr}) AND NOT {zip_bad} AND ({valid})""")
+
+
+def _span_thresholds_oracle() -> str:
+    sql = _span_thresholds_sql()
+    # the final select rounds the confidence like the Spark side
+    return sql.replace("SELECT doc_id, span_type, span_start, span_end, span_value, confidence FROM t3",
+                       "SELECT doc_id, span_type, span_start, span_end, span_value, round(confidence, 4) AS confidence FROM t3")
+
+
+oracle("span_thresholds", _span_thresholds_oracle())
