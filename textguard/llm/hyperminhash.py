@@ -6,9 +6,9 @@ Bands of compressed registers propose pairs; the Jaccard estimate, corrected for
 collisions of compressed registers, discards hopeless pairs; the rest are confirmed on the
 full sets.
 
-Documents with equal sets are one node, so copies cost one row each and no pairs. Inside a
-bucket each node is first compared with the bucket's most-met node only; connected components
-follow. What the estimate holds for near forms clusters; buckets that still hold several
+Documents with equal sets are one node, so copies cost one row each and no pairs. Each
+node is first estimated against one center, the most-met node of its buckets; what the estimate
+holds for near forms clusters, and the full sets then give links and connected components; buckets that still hold several
 clusters are searched by their registers, in blocks of bounded size. Inside a cluster nodes of
 different components are compared by their full sets, again in blocks. Both steps hand out one edge per merger, so no link between components is missed and pairs are
 never written out inside a group.
@@ -128,14 +128,25 @@ def likely(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent
     return ok
 
 
-def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the bands that hold a register; the key carries the band's number."""
-    r = regs.reshape(len(regs), BANDS, ROWS)
+#: Which registers make up a band: a fixed shuffle, so that neighbours fall into different bands.
+_DEAL = np.argsort(mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64)), kind="stable")
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Registers with each empty one taking the value of the next used one (round the end), so that bands of
+    small sets are as telling as those of large ones."""
+    at = np.where(regs != EMPTY, np.arange(REGISTERS), 2 * REGISTERS)
+    at = np.minimum.accumulate(np.concatenate([at, at + REGISTERS], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS]
+    return np.take_along_axis(regs, at % REGISTERS, axis=1)
+
+
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """Keys of the bands, one line of BANDS numbers per row; the key carries the band's number."""
+    r = filled(regs)[:, _DEAL].reshape(len(regs), BANDS, ROWS)
     h = np.broadcast_to((np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _M[0], r.shape[:2]).copy()
     for k in range(ROWS):
         h = mix64(h ^ (r[:, :, k].astype(np.uint64) * _M[1] + _M[2]))
-    row, band = np.nonzero((r != EMPTY).any(axis=2))
-    return row, h[row, band]
+    return h
 
 
 def _digests(row: np.ndarray, h: np.ndarray, n_rows: int) -> np.ndarray:
@@ -181,8 +192,9 @@ def _signatures(size: int):
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            row, key = band_keys(_registers(b.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(row))], ["key", "node"])
+            key = band_keys(_registers(b.column(1)))
+            row = np.repeat(np.arange(len(key)), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), b.column(0).take(pa.array(row))], ["key", "node"])
 
 
 def _worth(percent: int):
@@ -279,16 +291,13 @@ def _sets(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
     return texts.select("k", "text").mapInArrow(run, "k long, items array<long>")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, holder: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; holder: one row (node, k) per node, k the key
-    of one document of the node."""
-    ends = pairs.select(F.col("a").alias("node"), "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "a", "b"))
-    wanted = ends.join(holder, "node")
-    sides = wanted.select("k", "a", "b", (F.col("node") == F.col("a")).alias("left")).join(_sets(docs, wanted, size), "k")
-    met = sides.where("left").select("a", "b", F.col("items").alias("x")).join(
-        sides.where(~F.col("left")).select("a", "b", F.col("items").alias("y")), ["a", "b"])
-    inter = F.size(F.array_intersect("x", "y"))
-    return met.withColumn("i", inter).where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
+def _stars(star: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``star`` as blocks of the nodes b of one center a, which is copied to each block."""
+    size = star.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    zero = F.lit(0).cast("long")
+    out = (star.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.lit(1).alias("side"), F.col("b").alias("node"))
+           .unionByName(size.select("a", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), F.col("a").alias("node"))))
+    return out.join(sets, "node").withColumn("comp", F.col("node"))
 
 
 def _blocks(rows: DataFrame, blocks: str) -> DataFrame:
@@ -331,17 +340,17 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     # the node that meets most others in its buckets is likeliest the text the others were made from: it is the center
     fame = met.groupBy("node").agg(F.sum("m").alias("fame"))
     ranked = met.join(fame, "node").select("key", "node", F.struct("fame", "node").alias("r"))
-    buckets = ranked.groupBy("key").agg(F.max("r").alias("r")).select("key", F.col("r.node").alias("center"))
+    buckets = ranked.groupBy("key").agg(F.max("r").alias("top"))
     member = staged(met.select("key", "node").join(buckets, "key"), "hmh-members")
 
+    # each node with the center of most fame among its buckets
     regs = nodes.select("node", "regs", "n")
-    star = member.where(F.col("node") != F.col("center")).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    star = member.groupBy(F.col("node").alias("b")).agg(F.max("top").alias("top")).select(F.col("top.node").alias("a"), "b").where("a != b")
     star = (star.join(regs.select(F.col("node").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na")), "a")
             .join(regs.select(F.col("node").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb")), "b")
             .select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_worth(percent), "a binary, b binary"))
     star = staged(star, "hmh-star")
-    links = staged(_confirm(star, d, holder, size, percent), "hmh-links")
-    comp, tied = components(links), components(star)
+    tied = components(star)
 
     # buckets whose nodes are not yet tied together: their registers tell what else may be near
     labelled = member.select("key", "node").join(tied, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
@@ -352,14 +361,21 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
                   .groupBy("key", "p", "q").applyInArrow(_maybe_near(percent), "a binary, b binary").distinct(), "hmh-glue")
     if not glue.isEmpty():
         tied = components(star.unionByName(glue))
+    tied = tied.withColumnRenamed("comp", "cluster")
+
+    # the sets of all nodes in clusters, from one document each
+    where = tied.join(holder, "node").join(regs.select("node", "n"), "node").select("node", "k", "n")
+    sets = staged(where.join(_sets(d, where, size), "k").select("node", "n", "items"), "hmh-sets")
+    links = staged(_stars(star, sets).select("a", "block", "side", "node", "comp", "n", "items")
+                   .groupBy("a", "block").applyInArrow(_linked(percent), "a binary, b binary"), "hmh-links")
+    comp = components(links)
 
     # clusters with several components: their nodes of different components meet once, with their full sets
-    of = staged(tied.withColumnRenamed("comp", "cluster").join(comp, "node", "left").select("cluster", "node", F.coalesce("comp", "node").alias("comp")), "hmh-cluster")
+    of = staged(tied.join(comp, "node", "left").select("cluster", "node", F.coalesce("comp", "node").alias("comp")), "hmh-cluster")
     unsure = of.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("cluster")
-    members = staged(of.join(unsure, "cluster").join(holder, "node").join(regs.select("node", "n"), "node"), "hmh-unsure")
+    members = staged(of.join(unsure, "cluster").join(sets, "node"), "hmh-unsure")
     if not members.isEmpty():
-        with_sets = staged(members.join(_sets(d, members, size), "k").select("cluster", "node", "comp", "n", "items"), "hmh-sets")
-        late = staged(_stragglers(with_sets).groupBy("cluster", "p", "q").applyInArrow(_linked(percent), "a binary, b binary"), "hmh-late")
+        late = staged(_stragglers(members).groupBy("cluster", "p", "q").applyInArrow(_linked(percent), "a binary, b binary"), "hmh-late")
         if not late.isEmpty():
             comp = components(links.unionByName(late))
 
