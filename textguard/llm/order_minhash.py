@@ -65,35 +65,38 @@ def likeness(a: str, b: str) -> Column:
                       "if(size(z_) = 0, cast(1.0 as double), size(filter(z_, z -> z.a = z.b)) / cast(size(z_) as double))"))
 
 
-def with_next(docs: DataFrame, cols: list[str], rows_per_cut: int = ROWS_PER_CUT) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with the columns ``cols`` of the following row by (doc_id, text) as next_<col>;
-    the last row is followed by the first.
+def with_next(docs: DataFrame, added: dict[str, str], rows_per_cut: int = ROWS_PER_CUT) -> DataFrame:
+    """``docs`` (doc_id, text) with the columns ``added`` (SQL over text), and text and those columns of the
+    following row by (doc_id, text) as next_<col>; the last row is followed by the first.
 
     The id order is cut at quantiles; rows are numbered inside a cut, and a cut's last row gets its
     successor from a table with the first row of each cut."""
-    stat = docs.agg(F.count("*").alias("n")).first()
-    cuts = min(MAX_CUTS, max(1, int(stat["n"] // rows_per_cut)))
-    at = docs.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)] or [0.5], 100 * cuts + 100).alias("q")).first()["q"] if cuts > 1 else None
+    cols = ["text", *added]
+
+    def complete(df: DataFrame) -> DataFrame:
+        return df.withColumns({k: F.expr(v) for k, v in added.items()}) if added else df
+
+    n = docs.count()
+    cuts = min(MAX_CUTS, max(1, n // rows_per_cut))
+    at = docs.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)], 100 * cuts + 100).alias("q")).first()["q"] if cuts > 1 else None
     edges = sorted(set(at or []))
-    part = F.lit(0) if not edges else F.size(F.filter(F.lit(edges), lambda x: x < F.col("doc_id")))
-    d = docs.withColumn("_cut", F.coalesce(part, F.lit(0)))
+    part = F.size(F.filter(F.lit(edges), lambda x: x < F.col("doc_id"))) if edges else F.lit(0)
+    d = docs.withColumn("_cut", F.when(F.col("doc_id").isNull(), 0).otherwise(part))
     w = Window.partitionBy("_cut").orderBy("doc_id", "text")
-    row = F.struct(*cols)
-    ahead = d.withColumn("_next", F.lead(row).over(w))
-    heads = d.groupBy("_cut").agg(F.min(F.struct("doc_id", "text", *[c for c in cols if c not in ("doc_id", "text")])).alias("_head"))
-    order = Window.orderBy("_cut")  # one row per cut
-    wrap = heads.agg(F.min_by("_head", "_cut").alias("_first"))
-    head = heads.select("_cut", F.lead("_head").over(order).alias("_after")).join(wrap, F.lit(True), "left") \
-        .select("_cut", F.coalesce("_after", "_first").alias("_after"))
-    out = ahead.join(head.hint("shuffle_hash"), "_cut", "left")
-    return out.select(*docs.columns, *(F.when(F.col("_next").isNull(), F.col(f"_after.{c}")).otherwise(F.col(f"_next.{c}")).alias(f"next_{c}") for c in cols))
+    ahead = complete(d).withColumn("_next", F.lead(F.struct(*cols)).over(w))
+    heads = complete(d.groupBy("_cut").agg(F.min(F.struct("doc_id", "text")).alias("_least")).select("_cut", "_least.text"))
+    heads = heads.select("_cut", F.struct(*cols).alias("_head"))
+    first = heads.agg(F.min_by("_head", "_cut").alias("_first"))  # one row
+    after = heads.select("_cut", F.lead("_head").over(Window.orderBy("_cut")).alias("_after"))  # one row per cut
+    after = after.join(F.broadcast(first)).select("_cut", F.coalesce("_after", "_first").alias("_after"))
+    out = ahead.join(after.hint("shuffle_hash"), "_cut", "left")
+    return out.select(*docs.columns, *added, *(F.when(F.col("_next").isNull(), F.col(f"_after.{c}")).otherwise(F.col(f"_next.{c}")).alias(f"next_{c}") for c in cols))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    d = d.withColumn("fp", F.expr(fingerprint("text")))
-    d = with_next(d, ["text", "fp"])
+    d = with_next(d, {"fp": fingerprint("text")})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     d = d.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp",
