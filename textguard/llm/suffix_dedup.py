@@ -45,7 +45,7 @@ from textguard.llm.common import prefix_hash, range_hash, shared_dir, staged, ut
 GRAM = 64
 #: Low bits of a sort key hold the place, so ties go left; no Spark value is longer.
 _PLACE = np.uint64((1 << 31) - 1)
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 RANGE_BYTES = 16 << 20
 #: Splitters are drawn from at most so many batches and suffixes of each.
 SPLIT_BATCHES, SPLIT_EACH = 64, 128
