@@ -41,7 +41,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
 #: Nodes in a block: of sets, and of registers.
-BLOCK, WIDE_BLOCK = 256, 2048
+BLOCK, WIDE_BLOCK = 256, 512
 
 _M = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _LOWER = np.arange(256, dtype=np.uint8)
