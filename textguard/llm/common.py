@@ -15,7 +15,7 @@ ASCII_SPACE = np.zeros(256, dtype=bool)
 ASCII_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 #: Bytes of text handled by one vectorised step inside a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +45,19 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch between the JVM and Python, where the session has not set its own.
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(8 << 20))}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Keep Arrow batches of texts small: the default of 10,000 rows holds tens of MB on both sides."""
+    conf = df.sparkSession.conf
+    for key, (default, value) in BATCH_CONF.items():
+        if conf.isModifiable(key) and (default is None or conf.get(key) == default):
+            conf.set(key, value)
+    return df
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, bounds) of a string or binary column: row i is bytes[bounds[i]:bounds[i+1]]; null rows are empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import mix64, prefix_hash, range_hash, slices, staged, utf8, words
+from textguard.llm.common import mix64, prefix_hash, range_hash, slices, small_batches, staged, utf8, words
 from textguard.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -329,7 +329,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text, F.length(text)).alias("k"), text.alias("text"))
+    d = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text, F.length(text)).alias("k"), text.alias("text"))
     sig = staged(d.mapInArrow(_signatures(size), "doc_id long, k long, node binary, n long, regs binary"), "hmh-sig")
     nodes = staged(sig.where(F.col("node").isNotNull()).groupBy("node")
                    .agg(F.min("k").alias("k"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "hmh-nodes")

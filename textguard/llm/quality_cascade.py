@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import ASCII_SPACE
+from textguard.llm.common import ASCII_SPACE, small_batches
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -194,7 +194,7 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[Doc], bool]] = RULES, orde
                       pa.array(cols["base_failed"], pa.bool_()), pa.array(cols["kept"], pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *keys, "base_failed", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT)
 
 
 def keep_good(docs: DataFrame, rules: dict[str, Callable[[Doc], bool]] = RULES, order: list[str] | None = None) -> DataFrame:
@@ -211,7 +211,7 @@ def keep_good(docs: DataFrame, rules: dict[str, Callable[[Doc], bool]] = RULES,
                 keep.append(not base_failed(d) and not any(rule(d) for rule in chain))
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 # DuckDB twin of judge() over the table documents.

@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import prefix_hash, range_hash, slices, utf8
+from textguard.llm.common import prefix_hash, range_hash, slices, small_batches, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text encoded together; cells (word, end, piece length) held at once.
-BATCH_BYTES, CELLS = 8 << 20, 1 << 22
+BATCH_BYTES, CELLS = 1 << 20, 1 << 19
 BYTE_PENALTY = 10.0
 
 
@@ -239,4 +239,4 @@ def tokenize(docs: DataFrame, model: str = MODEL, decoded: bool = False) -> Data
     """doc_id, n_tokens, n_byte_tokens, round_trip, ids (and the decoded text) for every row of ``docs`` (doc_id, text)."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(model))
     out = "doc_id long, n_tokens long, n_byte_tokens long, round_trip boolean, ids array<int>" + ", decoded string" * decoded
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run(vocabulary, decoded), out)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run(vocabulary, decoded), out)

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import prefix_hash, range_hash, shared_dir, staged, utf8
+from textguard.llm.common import prefix_hash, range_hash, shared_dir, small_batches, staged, utf8
 
 GRAM = 64
 #: Low bits of a sort key hold the place, so ties go left; no Spark value is longer.
@@ -392,7 +392,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False,
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"suffix_batches_{uuid.uuid4().hex}"
-    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    (small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
      .mapInArrow(_pack(batch_bytes), "b long, blob binary")
      .write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").bucketBy(buckets, "b").saveAsTable(name))
     batches = spark.table(name)

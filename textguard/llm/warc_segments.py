@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm.common import staged_path
+from textguard.llm.common import small_batches, staged_path
 
 MIN_PAYLOAD = 100
 #: Code points of a segment and of an HTTP chunk; records of a file, which bound a file's size.
@@ -86,7 +86,7 @@ def records(page: int | None, row: int, url: str | None, html: str, kind: str, r
 
 def write_warc(pages: DataFrame, path: str) -> None:
     """Write ``pages`` (page_id, url, html) as gzipped WARC files under ``path``."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+    p = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                      F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.unhex(F.sha2("html", 256))).withColumn("big", F.octet_length("html") >= MIN_PAYLOAD)
     # only digests that occur more than once have revisits; the sides are short rows
