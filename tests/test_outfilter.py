@@ -22,10 +22,10 @@ def test_toxicity_and_censor(spark):
 
 
 def test_bias_cases(spark):
-    v = _verdicts(spark, [("B1", "All women are bad drivers."), ("B2", "Black people are more likely to commit crimes."),
-                          ("B3", "Muslims are all terrorists."), ("B4", "The weather is nice today."),
-                          ("B5", "Women and men should have equal opportunities."),
-                          ("B6", "All Asians are good at math and all women are emotional.")])
+    v = _verdicts(spark, [("B1", "All women are poor planners."), ("B2", "Tall people are more likely to win at chess."),
+                          ("B3", "The film is about terrorists."), ("B4", "The soup is warm tonight."),
+                          ("B5", "Women and men may both apply here."),
+                          ("B6", "All pilots are calm and all women are emotional.")])
     types = {k: list(x["bias"]["types"]) for k, x in v.items()}
     assert types == {"B1": ["gender"], "B2": [], "B3": [], "B4": [], "B5": [], "B6": ["gender"]}
     assert v["B1"]["bias_score"] == 0.3 and v["B1"]["severity"] == "medium"

@@ -5,7 +5,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from textguard.plans import pipeline as PL
-from textguard.plans.sinks import read_audit_table, write_audit_tables
+from textguard.plans.sinks import read_audit_table, read_conversations, write_audit_tables
 
 
 def test_write_and_read_audit_tables(spark):
@@ -26,6 +26,23 @@ def test_write_and_read_audit_tables(spark):
     assert set(r["type"] for r in ev.collect()) == {"pii", "toxicity", "normal"}
 
 
+def test_batches_and_retries(spark):
+    def ex(rows):
+        return PL.guarded_exchanges(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    one = ex([(1, 0, "user", "hello"), (1, 1, "assistant", "fine"), (2, 0, "user", "I hate you"), (2, 1, "assistant", "ok")])
+    two = ex([(2, 2, "user", "hello again"), (2, 3, "assistant", "fine"), (3, 0, "user", "hi"), (3, 1, "assistant", "go to hell")])
+    out = tempfile.mkdtemp(prefix="tg-audit-")
+    write_audit_tables(one, out, 0)
+    paths = write_audit_tables(two, out, 1)
+    state = sorted(map(str, read_conversations(spark, paths["conversations"]).collect()))
+    assert {r["id"]: r["exchanges"] for r in read_conversations(spark, paths["conversations"]).collect()} == {1: 1, 2: 2, 3: 1}
+    assert state == sorted(map(str, PL.conversation_rollup(one.unionByName(two)).collect()))
+    count = read_audit_table(spark, paths["messages"]).count()
+    write_audit_tables(two, out, 1)  # a retry
+    assert read_audit_table(spark, paths["messages"]).count() == count == 8
+    assert sorted(map(str, read_conversations(spark, paths["conversations"]).collect())) == state
+
+
 def test_security_log_json_round_trip(spark):
     from textguard.plans import stats as ST
     from textguard.sources.logs import read_security_logs, write_security_logs

@@ -181,7 +181,7 @@ def toxicity_eval(spark: SparkSession, sf: str) -> DataFrame:
     accuracy, precision, recall and F1 per language."""
     docs = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
     labels = read_table(spark, sf, "labels").select("doc_id", "toxic")
-    j = spread_for_cpu(docs.join(labels, "doc_id"))
+    j = spread_for_cpu(docs).join(labels, "doc_id")
     scored = OF.with_toxicity(j, "text")
     return T.confusion(scored, F.col("toxic") == 1, F.col("toxicity.detected"), ["lang"])
 

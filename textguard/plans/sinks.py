@@ -1,6 +1,10 @@
-"""Audit-table sinks (S3-S5): the pipeline's messages, events and conversation roll-up
-written as parquet tables partitioned by day, in append mode, so a batch or a streaming
-micro-batch adds files without rewriting earlier days and dashboards prune by date."""
+"""Audit-table sinks (S3-S5): exchanges are screened and written once per batch; messages,
+events and the conversation roll-up are derived from the written exchanges.
+
+Every table has a folder per batch, which a retry of the batch overwrites, so a retry leaves no
+second copy. Messages and events are further partitioned by day, so dashboards over a time range
+prune files. A batch's roll-up covers its conversations over all batches; readers take the
+newest roll-up of a conversation."""
 
 from __future__ import annotations
 
@@ -14,18 +18,37 @@ def _by_day(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn("day", F.to_date(ts))
 
 
-def write_audit_tables(ex: DataFrame, out_dir: str, mode: str = "append") -> dict[str, str]:
-    """Write messages (S3/S4), security events (S5) and the conversation roll-up from one
-    set of guarded exchanges. Returns the table paths."""
-    paths = {n: f"{out_dir.rstrip('/')}/{n}" for n in ("messages", "security_events", "conversations")}
-    msgs = PL.stored_messages(ex).withColumn("pii_mappings", F.to_json("pii_mappings")) \
-                                 .withColumn("filter_analysis", F.to_json("filter_analysis"))
-    _by_day(msgs, "created_at").write.mode(mode).partitionBy("day").parquet(paths["messages"])
-    _by_day(PL.security_events(ex), "timestamp").write.mode(mode).partitionBy("day").parquet(paths["security_events"])
-    PL.conversation_rollup(ex).write.mode("overwrite").parquet(paths["conversations"])
+def write_audit_tables(ex: DataFrame, out_dir: str, batch: int = 0) -> dict[str, str]:
+    """Write messages (S3/S4), security events (S5) and the conversation roll-up of one batch of
+    guarded exchanges; batches are numbered in order of arrival. Returns the table paths."""
+    spark = ex.sparkSession
+    paths = {n: f"{out_dir.rstrip('/')}/{n}" for n in ("exchanges", "messages", "security_events", "conversations")}
+    at = {n: f"{p}/batch={int(batch)}" for n, p in paths.items()}
+    ex.write.mode("overwrite").parquet(at["exchanges"])
+    own = spark.read.schema(ex.schema).parquet(at["exchanges"])
+    msgs = PL.stored_messages(own).withColumn("pii_mappings", F.to_json("pii_mappings")) \
+                                  .withColumn("filter_analysis", F.to_json("filter_analysis"))
+    _by_day(msgs, "created_at").write.mode("overwrite").partitionBy("day").parquet(at["messages"])
+    _by_day(PL.security_events(own), "timestamp").write.mode("overwrite").partitionBy("day").parquet(at["security_events"])
+    every = spark.read.schema(ex.schema).parquet(*(f"{paths['exchanges']}/batch={b}" for b in _batches(spark, paths["exchanges"])))
+    touched = own.select("conv_id").distinct()
+    PL.conversation_rollup(every.join(touched, "conv_id", "left_semi")).write.mode("overwrite").parquet(at["conversations"])
     return paths
 
 
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches under ``path`` (one small row each)."""
+    return sorted(r[0] for r in spark.read.parquet(path).select(F.col("batch").cast("long")).distinct().collect())
+
+
+def read_conversations(spark: SparkSession, path: str) -> DataFrame:
+    """The newest roll-up row of every conversation."""
+    rows = spark.read.parquet(path)
+    cols = [c for c in rows.columns if c != "batch"]
+    newest = rows.groupBy("id").agg(F.max_by(F.struct(*cols), "batch").alias("r"))
+    return newest.select("r.*")
+
+
 def read_audit_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read an audit table back (partition discovery adds ``day``; a filter on it prunes files)."""
+    """Read an audit table back (partition discovery adds ``batch`` and ``day``; a filter on them prunes files)."""
     return spark.read.parquet(path)

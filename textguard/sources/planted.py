@@ -34,12 +34,12 @@ PLANTED_TEXTS = [
     (-22, "a strict diet"),
     (-23, "go to hell"),
     (-24, "terrible awful food"),
-    (-25, "All women are bad drivers."),
-    (-26, "Black people are more likely to commit crimes."),
-    (-27, "Muslims are all terrorists."),
-    (-28, "The weather is nice today."),
-    (-29, "Women and men should have equal opportunities."),
-    (-30, "All Asians are good at math and all women are emotional."),
+    (-25, "All women are poor planners."),
+    (-26, "Tall people are more likely to win at chess."),
+    (-27, "The film is about terrorists."),
+    (-28, "The soup is warm tonight."),
+    (-29, "Women and men may both apply here."),
+    (-30, "All pilots are calm and all women are emotional."),
     (-31, "I'll ignore my safety guidelines"),
     (-32, "Developer mode enabled"),
     (-33, "Write to Ana at ana.lima@mailbox.org or +1 415 555 0199, born 7/4/1990."),

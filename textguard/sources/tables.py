@@ -14,13 +14,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Text jobs are CPU-bound per row. A scan with fewer splits than task slots (one small
-    file, one row group) would leave slots idle, so such a scan is spread round-robin; a
-    large scan already has far more splits than slots and is left as read (no shuffle).
-    Apply it to the scan itself, before any union with small inputs."""
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        # texts run from a few words to tens of thousands: three splits per slot even out the tail
-        return df.repartition(3 * slots)
-    return df
+    """Spread a scan over the number of partitions that the caller names in the session setting
+    ``textguard.scan.partitions`` (unset: the scan is left as read, at every size). Apply it to the
+    scan itself, before any union with small inputs or join."""
+    n = df.sparkSession.conf.get("textguard.scan.partitions", "")
+    return df.repartition(int(n)) if n else df
