@@ -31,6 +31,14 @@ def test_percentiles_match_brute_force(spark):
     assert got[("one", 50.0)] == 5.0 and got[("one", 95.0)] == 10.0
 
 
+def test_percentiles_of_hot_values_and_empty_groups(spark):
+    df = spark.range(0, 60_000, 1, 6).select(F.lit("a").alias("g"), F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(7).cast("double").alias("v")) \
+        .unionByName(spark.createDataFrame([("none", None)], "g string, v double"))
+    got = {(r["g"], r["p"]): r["v"] for r in nearest_rank_percentiles(df, "g", "v", [50.0, 99.0], num_partitions=5).collect()}
+    vals = sorted(float(i) if i % 3 == 0 else 7.0 for i in range(60_000))
+    assert got == {("a", 50.0): nearest_rank(vals, 50.0), ("a", 99.0): nearest_rank(vals, 99.0), ("none", 50.0): 0.0, ("none", 99.0): 0.0}
+
+
 def test_blocked_running_sum(spark):
     rows = [(k, t, t % 5 + 1) for k in (1, 2) for t in range(0, 23 if k == 1 else 5)]
     df = spark.createDataFrame(rows, "k long, t long, v long")

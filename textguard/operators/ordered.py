@@ -38,33 +38,34 @@ def nearest_rank_percentiles(df: DataFrame, group: str, value: str, percents: li
     """A13 nearest-rank percentile per group: the value at 0-based index
     ``round_half_even(p/100 * (n-1))`` of the group's sorted values (0.0 for an empty group).
 
-    Exact and skew-proof: rows are range-partitioned on (group, value), so a large group
-    is cut into many ranges; the global rank of a row is the count of its group's rows in
-    earlier ranges (a small per-range count table) plus its rank inside its range."""
+    Exact, on distinct values: rows are first counted per (group, value), combined before the
+    shuffle, so a value that fills a table is one row. The distinct values are range-partitioned
+    on (group, value), which cuts a large group into many ranges; the rank of a value is the
+    count of its group's rows in earlier ranges (a small per-range table) plus the count before
+    it in its range. A group whose values are all null gets 0.0."""
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
-                .filter(F.col("v").isNotNull())
-                .repartitionByRange(n_parts, "g", "v")
-                .withColumn("_part", F.spark_partition_id()))
-    # Pin the range assignment: the counts and the per-range ranks must see the same
-    # partition ids, so the (group, value, range) rows are written once to the session's
-    # checkpoint folder (reliable storage) and both branches read that copy.
+    src = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    ranged = (src.filter(F.col("v").isNotNull()).groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+                 .repartitionByRange(n_parts, "g", "v").withColumn("_part", F.spark_partition_id()))
+    # Pin the range assignment: the range totals and the ranks inside ranges must see the same
+    # partition ids, so the counted values (not the rows) are written once to the checkpoint folder.
     from textguard.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     ranged = ranged.checkpoint(eager=True)
-    counts = ranged.groupBy("g", "_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    totals = ranged.groupBy("g", "_part").agg(F.sum("c").alias("_cnt"))
     w_off = Window.partitionBy("g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    w_tot = Window.partitionBy("g")
-    offsets = (counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)))
-                     .withColumn("_n", F.sum("_cnt").over(w_tot)))
-    targets = (offsets.select("g", "_n").distinct()
-               .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in percents]))))
-    targets = targets.withColumn("_k", F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.bround(
-        F.col("p") / 100.0 * (F.col("_n") - 1), 0).cast("bigint"))))
-    w_in = Window.partitionBy("g", "_part").orderBy("v")
-    ranked = (ranged.withColumn("_rn", F.row_number().over(w_in) - 1)
-                    .join(offsets.select("g", "_part", "_off"), ["g", "_part"])
-                    .withColumn("_k", F.col("_off") + F.col("_rn")))
-    picked = ranked.join(targets, ["g", "_k"]).select(F.col("g").alias(group), "p", F.col("v").alias(value))
-    return picked
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0))) \
+                    .withColumn("_n", F.sum("_cnt").over(Window.partitionBy("g")))
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("p")
+    at = F.bround(F.col("p") / 100.0 * (F.col("_n") - 1), 0).cast("bigint")
+    targets = offsets.select("g", "_n").distinct().select("g", "_n", wanted) \
+                     .select("g", "p", F.greatest(F.lit(0), F.least(F.col("_n") - 1, at)).alias("_k"))
+    # the range that holds each target first, so the value join is on (group, range) and never on a group alone
+    placed = offsets.join(targets, "g").where((F.col("_k") >= F.col("_off")) & (F.col("_k") < F.col("_off") + F.col("_cnt"))) \
+                    .select("g", "_part", "p", (F.col("_k") - F.col("_off")).alias("_k"))
+    w_in = Window.partitionBy("g", "_part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ranged.withColumn("_to", F.sum("c").over(w_in))
+    picked = ranked.join(placed, ["g", "_part"]).where((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("c"))).select("g", "p", "v")
+    empty = src.groupBy("g").agg(F.count("v").alias("_n")).where("_n = 0").select("g", wanted, F.lit(0.0).alias("v"))
+    return picked.unionByName(empty).select(F.col("g").alias(group), "p", F.col("v").alias(value))
