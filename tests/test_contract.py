@@ -77,3 +77,11 @@ def test_hot_conversation_pairing(spark):
     for c, t, _, _ in hot + cold:
         nxt = [x for x in hot + cold if x[0] == c and x[1] == t + 1] if c != 7 else ([(7, t + 1, "", f"t{t + 1}")] if t + 1 < 2000 else [])
         assert got[(c, t)] == (nxt[0][3] if nxt else None)
+
+
+def test_pairing_follows_the_order_across_gaps_and_blocks(spark):
+    from textguard.plans import pipeline as PL
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 3, "assistant", "b"), (1, 9000, "user", "c"), (1, 20000, "assistant", "d"), (2, 5, "user", "e")],
+                                  "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r["next_text"] for r in PL.pair_turns(turns).collect()}
+    assert got == {(1, 0): "b", (1, 3): "c", (1, 9000): "d", (1, 20000): None, (2, 5): None}

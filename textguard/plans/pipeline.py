@@ -13,7 +13,7 @@ native column expressions). Roll-ups per conversation are partial/final aggregat
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textguard.functions import lexicons as L
@@ -50,10 +50,22 @@ def pipeline_turns(spark: SparkSession, sf: str) -> DataFrame:
     return conv.unionByName(planted)
 
 
+#: Turn numbers that one task orders at once when turns are paired.
+TURN_BLOCK = 4096
+
+
 def pair_turns(turns: DataFrame) -> DataFrame:
-    """Every turn with the role and text of the turn after it (NULL at the end)."""
-    nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"),
-                       F.col("text").alias("next_text"))
+    """Every turn with the role and text of the turn after it in order (NULL at the end); numbers may
+    have gaps. Only numbers are ordered, in blocks, so a very long conversation is not one task's window; a
+    block's last number gets its successor from the conversation's next block. Texts meet on (conv_id,
+    turn), which spreads such a conversation over all partitions."""
+    n = turns.select("conv_id", "turn").distinct().withColumn("_blk", F.floor(F.col("turn") / TURN_BLOCK))
+    near = n.withColumn("_near", F.lead("turn").over(Window.partitionBy("conv_id", "_blk").orderBy("turn")))
+    heads = n.groupBy("conv_id", "_blk").agg(F.min("turn").alias("_head"))
+    far = heads.select("conv_id", "_blk", F.lead("_head").over(Window.partitionBy("conv_id").orderBy("_blk")).alias("_far"))
+    link = near.join(far, ["conv_id", "_blk"], "left").select("conv_id", F.col("turn").alias("_before"), F.coalesce("_near", "_far").alias("turn"))
+    nxt = turns.select("conv_id", "turn", F.col("role").alias("next_role"), F.col("text").alias("next_text"))
+    nxt = link.where(F.col("turn").isNotNull()).join(nxt, ["conv_id", "turn"]).select("conv_id", F.col("_before").alias("turn"), "next_role", "next_text")
     return turns.join(nxt, ["conv_id", "turn"], "left")
 
 
