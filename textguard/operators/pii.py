@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import lexicons as L
+from textguard.functions.arrays import FOLD_CHUNK, TextBlocks, let, runs, scan
 from textguard.functions.sqltext import expr, ident, sql_str
 from textguard.functions.text import ci, col_, shannon_entropy, trivial_secret_password
 
 SPAN_FIELDS = "start int, end int, type string, value string, confidence double"
-SPAN_ARRAY = f"array<struct<{SPAN_FIELDS}>>"
+SPAN = f"struct<{SPAN_FIELDS}>"
+SPAN_ARRAY = f"array<{SPAN}>"
 
 
 def _empty_spans() -> Column:
@@ -32,16 +34,19 @@ SPAN_ARRAY_SQL = "ARRAY<STRUCT<start:INT,end:INT,type:STRING,value:STRING,confid
 def regex_spans_sql(text: str, pattern: str, span_type: str, confidence: float) -> str:
     """All non-overlapping matches of ``pattern`` in column ``text`` as span structs, in order.
     Matches and the pieces between them are computed once and zipped; the fold keeps a
-    running code-point position."""
+    running code-point position and grows its array in chunks, so it is linear in the matches."""
     t, rx = ident(text), sql_str(pattern)
     zipped = (f"zip_with(regexp_extract_all({t}, {rx}, 0), split({t}, {rx}, -1), "
               f"(m, p) -> named_struct('m', m, 'pl', length(p)))")
-    init = f"named_struct('pos', 0, 'spans', CAST(array() AS {SPAN_ARRAY_SQL}))"
+    init = f"named_struct('pos', 0, 'done', CAST(array() AS ARRAY<{SPAN_ARRAY_SQL}>), 'cur', CAST(array() AS {SPAN_ARRAY_SQL}))"
+    full = f"size(acc.cur) >= {FOLD_CHUNK}"
     step = (f"(acc, x) -> CASE WHEN x.m IS NULL THEN acc ELSE named_struct("
-            f"'pos', acc.pos + x.pl + length(x.m), 'spans', array_append(acc.spans, named_struct("
+            f"'pos', acc.pos + x.pl + length(x.m), "
+            f"'done', CASE WHEN {full} THEN array_append(acc.done, acc.cur) ELSE acc.done END, "
+            f"'cur', array_append(CASE WHEN {full} THEN CAST(array() AS {SPAN_ARRAY_SQL}) ELSE acc.cur END, named_struct("
             f"'start', acc.pos + x.pl, 'end', acc.pos + x.pl + length(x.m), 'type', {sql_str(span_type)}, "
             f"'value', x.m, 'confidence', CAST({confidence} AS DOUBLE)))) END")
-    return f"aggregate({zipped}, {init}, {step}).spans"
+    return f"aggregate({zipped}, {init}, {step}, acc -> flatten(array_append(acc.done, acc.cur)))"
 
 
 def regex_spans(text: str, pattern: str, span_type: str, confidence: float) -> Column:
@@ -51,21 +56,31 @@ def regex_spans(text: str, pattern: str, span_type: str, confidence: float) -> C
 PLACEHOLDER_RX = "(?i)(" + "|".join(L.PLACEHOLDER_VALUE_PATTERNS) + ")"
 
 
-def validate_spans_sql(text: str, spans_sql: str) -> str:
+def validate_spans(text: str, spans: Column) -> Column:
     """D3: drop placeholder values; drop zip codes in arithmetic (an indicator within 20
     characters) or inside a longer number (an adjoining digit)."""
-    t = ident(text)
-    lo = f"greatest(s.start - {L.ZIP_CONTEXT_CHARS}, 0)"
-    hi = f"least(s.end + {L.ZIP_CONTEXT_CHARS}, length({t}))"
-    ctx = f"lower(substr({t}, {lo} + 1, {hi} - {lo}))"
-    math_near = " OR ".join(f"contains({ctx}, {sql_str(op)})" for op in L.MATH_INDICATORS)
-    digit = sql_str("^\\p{Nd}$").replace("\\\\", "\\")
-    digit = sql_str("^\\p{Nd}$")
-    prev_d = f"(s.start > 0 AND substr({t}, s.start, 1) RLIKE {sql_str(chr(94) + chr(92) + 'p{Nd}$')})"
-    next_d = f"(s.end < length({t}) AND substr({t}, s.end + 1, 1) RLIKE {sql_str(chr(94) + chr(92) + 'p{Nd}$')})"
-    del digit
-    return (f"filter({spans_sql}, s -> NOT s.value RLIKE {sql_str(PLACEHOLDER_RX)} "
-            f"AND (s.type <> 'zip_code' OR NOT ({math_near} OR {prev_d} OR {next_d})))")
+    n = L.ZIP_CONTEXT_CHARS
+
+    def zip_ok(blocks: TextBlocks, s: Column) -> Column:
+        lo, hi = F.greatest(s["start"] - n, F.lit(0)), F.least(s["end"] + n, blocks.length)
+        # the character before, the zip code's surroundings and the character after
+        near = let(blocks.between(lo, hi), lambda c: let(F.lower(c), lambda low: ~(
+            _any([F.contains(low, F.lit(op)) for op in L.MATH_INDICATORS])
+            | ((s["start"] > 0) & c.substr(s["start"] - lo, F.lit(1)).rlike(r"^\p{Nd}$"))
+            | c.substr(s["end"] - lo + 1, F.lit(1)).rlike(r"^\p{Nd}$"))))
+        return F.when(s["type"] == "zip_code", near).otherwise(F.lit(True))
+
+    real = F.filter(spans, lambda s: ~s["value"].rlike(PLACEHOLDER_RX))
+    return let(real, lambda r: F.when(F.exists(r, lambda s: s["type"] == "zip_code"),
+                                      TextBlocks.of(F.col(text), lambda blocks: F.filter(r, lambda s: zip_ok(blocks, s))))
+               .otherwise(r))
+
+
+def _any(conds: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conds:
+        out = out | c
+    return out
 
 
 def rule_prefilter_sql(text: str, span_type: str) -> str:
@@ -79,7 +94,7 @@ def rule_pii_spans(text: str) -> Column:
     """D1 + D3: validated rule detections of column ``text`` in pattern order, then match order."""
     per_rule = [f"CASE WHEN {rule_prefilter_sql(text, t)} THEN {regex_spans_sql(text, ci(p), t, c)} "
                 f"ELSE CAST(array() AS {SPAN_ARRAY_SQL}) END" for t, p, c in L.PII_RULES]
-    return expr(validate_spans_sql(text, "concat(" + ", ".join(per_rule) + ")"))
+    return validate_spans(text, expr("concat(" + ", ".join(per_rule) + ")"))
 
 
 def type_priority(t: Column) -> Column:
@@ -107,21 +122,52 @@ def dedupe_model_spans(model_spans: Column) -> Column:
     return F.aggregate(model_spans, _empty_spans(), step)
 
 
+def _clusters(spans: Column) -> Column:
+    """Spans (with their place ``ord`` in the order of detection) cut where no span reaches over:
+    an array of clusters, each in order of detection."""
+    def cut(s: Column) -> Column:
+        reach = scan(s, F.lit(0), "int", "int", lambda far, x: let(F.greatest(far, x["span"]["end"]), lambda e: F.struct(e.alias("state"), e.alias("item"))))
+        def starts(r: Column) -> Column:
+            apart = lambda i: (i == 0) | ((F.get(r, i - 1) <= F.get(s, i)["span"]["start"]) & (F.get(s, i - 1)["span"]["start"] != F.get(s, i)["span"]["start"]))
+            return F.filter(F.sequence(F.lit(0), F.size(s) - 1), apart)
+        return let(reach, lambda r: let(starts(r), lambda c: runs(s, c)))
+    by_place = lambda c: F.array_sort(c, lambda x, y: x["ord"] - y["ord"])
+    by_start = F.sort_array(F.transform(spans, lambda x, i: F.struct(x["start"].alias("start"), i.alias("ord"), x.alias("span"))))
+    return let(by_start, lambda s: F.when(F.size(s) == 0, F.array().cast(f"array<array<struct<start:int,ord:int,span:{SPAN}>>>"))
+               .otherwise(F.transform(cut(s), by_place)))
+
+
 def resolve_spans(rule_spans: Column, model_spans: Column | None = None) -> Column:
     """Model spans first; each rule span meets the first kept span it overlaps by more
     than 30 % of either length: the higher type priority wins, on equal priority the higher
     confidence; otherwise the rule span is dropped. Non-overlapping rule spans are kept.
-    Result sorted by start (kept spans never share a start)."""
-    init = _empty_spans() if model_spans is None else dedupe_model_spans(model_spans)
+    Result sorted by start (kept spans never share a start).
 
+    Only spans of one cluster of overlapping spans can meet, so the pairwise fold runs per
+    cluster: the work grows with the spans of a text, and with the square of a cluster only."""
     def step(acc, e):
         first = F.try_element_at(F.filter(acc, lambda x: _significant_overlap(x, e)), F.lit(1))
-        pe, px = type_priority(e["type"]), type_priority(first["type"])
-        wins = (pe > px) | ((pe == px) & (e["confidence"] > first["confidence"]))
-        return (F.when(first.isNull(), F.array_append(acc, e))
-                .when(wins, F.array_append(F.array_remove(acc, first), e))
-                .otherwise(acc))
-    return F.sort_array(F.aggregate(rule_spans, init, step))
+        def meet(f: Column) -> Column:
+            pe, px = type_priority(e["type"]), type_priority(f["type"])
+            wins = (pe > px) | ((pe == px) & (e["confidence"] > f["confidence"]))
+            return (F.when(f.isNull(), F.array_append(acc, e)).when(wins, F.array_append(F.array_remove(acc, f), e)).otherwise(acc))
+        return let(first, meet)
+
+    def one(c: Column, n_model: Column | None) -> Column:
+        span = lambda x: x["span"]
+        if n_model is None:
+            rules, init = F.transform(c, span), _empty_spans()
+        else:
+            rules = F.transform(F.filter(c, lambda x: x["ord"] >= n_model), span)
+            init = dedupe_model_spans(F.transform(F.filter(c, lambda x: x["ord"] < n_model), span))
+        return F.when(F.size(c) == 1, F.transform(c, span)).otherwise(F.aggregate(rules, init, step))
+
+    if model_spans is None:
+        found, n_model = rule_spans, None
+    else:
+        model = F.coalesce(model_spans.cast(SPAN_ARRAY), _empty_spans())
+        found, n_model = F.concat(model, rule_spans), F.size(model)
+    return let(found, lambda a: F.when(F.size(a) < 2, a).otherwise(F.sort_array(F.flatten(F.transform(_clusters(a), lambda c: one(c, n_model))))))
 
 
 def drop_names(spans: Column) -> Column:
@@ -179,27 +225,65 @@ def mask_value(t: Column, v: Column, strategy: Column, idx: Column) -> Column:
             .when(strategy == "hash", hashed).otherwise(F.lit(L.REDACTED)))
 
 
+def _numbered(spans: Column) -> Column:
+    """For each span how many spans of its type stand from it to the end: one sort by (type, place)."""
+    by_type = F.sort_array(F.transform(spans, lambda x, i: F.struct(x["type"].alias("type"), i.alias("i"))))
+    def count(o: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda j: (j == 0) | (F.get(o, j)["type"] != F.get(o, j - 1)["type"]))
+        left = let(starts, lambda r: F.flatten(F.transform(runs(o, r), lambda g: F.transform(
+            g, lambda x, k: F.struct(x["i"].alias("i"), (F.size(g) - k).alias("idx"))))))
+        return F.when(F.size(o) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sort_array(left), lambda x: x["idx"]))
+    return let(by_type, count)
+
+
 def with_masks(spans: Column, overrides: dict | None = None) -> Column:
     """Spans (sorted by start) with ``idx`` (per-type counter counted from the last span),
     ``strategy`` and ``mask``."""
-    n = F.size(spans)
-
-    def add(s, i):
-        idx = F.size(F.filter(F.slice(spans, i + 1, F.greatest(n, F.lit(1))), lambda x: x["type"] == s["type"]))
+    def add(s, idx):
         strategy = default_strategy(s["type"], overrides)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"),
                         s["value"].alias("value"), s["confidence"].alias("confidence"), idx.alias("idx"),
                         strategy.alias("strategy"), mask_value(s["type"], s["value"], strategy, idx).alias("mask"))
-    return F.transform(spans, add)
+    return let(spans, lambda a: let(_numbered(a), lambda n: F.transform(a, lambda s, i: add(s, F.get(n, i)))))
 
 
 def splice(text, masked_spans: Column) -> Column:
-    """Replace spans from last to first, each on the text as already modified."""
-    text = col_(text)
+    """Replace spans from last to first, each on the text as already modified.
 
-    def step(acc, s):
-        return F.concat(acc.substr(F.lit(1), s["start"]), s["mask"], acc.substr(s["end"] + 1, F.lit(2147483647)))
-    return F.aggregate(F.reverse(masked_spans), text, step)
+    Built from left to right: the text before each span and its mask. Where a span reaches over
+    the start of the next one, replacing it removes as many characters of what stands there by
+    then, the next mask first; ``eaten`` carries that number on."""
+    text = col_(text)
+    piece = "struct<a:int,b:int,mask:string>"
+
+    def step(state: Column, s: Column) -> Column:
+        # state.eaten: characters still to be removed after the last mask; state.end: where its span ended
+        gap = s["start"] - state["end"]
+        into = F.greatest(state["eaten"] - gap, F.lit(0))
+        n = F.length(s["mask"])
+        return F.struct(
+            F.struct(F.greatest(into - n, F.lit(0)).alias("eaten"), s["end"].alias("end")).alias("state"),
+            F.struct(F.least(state["end"] + state["eaten"], s["start"]).alias("a"), s["start"].alias("b"),
+                     F.when(into == 0, s["mask"]).otherwise(s["mask"].substr(into + 1, F.greatest(n - into, F.lit(0)))).alias("mask")).alias("item"))
+
+    def build(spans: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("eaten"), F.lit(0).alias("end"))
+        pieces = scan(spans, zero, "struct<eaten:int,end:int>", piece, step)
+        last = F.element_at(spans, -1)
+        def join(blocks: TextBlocks) -> Column:
+            def whole(p: Column) -> Column:
+                return F.array_join(F.transform(p, lambda x: F.concat(blocks.between(x["a"], x["b"]), x["mask"])), "")
+            return let(pieces, lambda p: F.concat(whole(p), blocks.between(last["end"] + left_over(p, spans), blocks.length)))
+        return F.when(F.size(spans) == 0, text).otherwise(TextBlocks.of(text, join))
+
+    def left_over(p: Column, spans: Column) -> Column:
+        # what the last span still has to remove: only where its own mask was shorter than the overlap
+        return F.aggregate(spans, zero_state(), lambda acc, s: step(acc, s)["state"], lambda acc: acc["eaten"])
+
+    def zero_state() -> Column:
+        return F.struct(F.lit(0).alias("eaten"), F.lit(0).alias("end"))
+
+    return let(masked_spans, build)
 
 
 MAPPING_FIELDS = "placeholder string, original string, type string, strategy string, confidence double"
@@ -208,14 +292,19 @@ MAPPING_FIELDS = "placeholder string, original string, type string, strategy str
 def mapping_entries(masked_spans: Column) -> Column:
     """Mapping placeholder -> {original, type, strategy, confidence}: written from the last
     span to the first, so for a repeated placeholder the leftmost span's value wins."""
-    rev = F.reverse(masked_spans)
-    firsts = F.filter(rev, lambda x, i: ~F.exists(F.slice(rev, 1, i), lambda y: y["mask"] == x["mask"]))
-
-    def entry(x):
-        w = F.element_at(F.filter(masked_spans, lambda y: y["mask"] == x["mask"]), 1)
-        return F.struct(x["mask"].alias("placeholder"), w["value"].alias("original"), w["type"].alias("type"),
-                        w["strategy"].alias("strategy"), w["confidence"].alias("confidence"))
-    return F.transform(firsts, entry)
+    by_mask = lambda a: F.sort_array(F.transform(a, lambda x, i: F.struct(x["mask"].alias("mask"), i.alias("i"))))
+
+    def entries(a: Column, o: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda j: (j == 0) | (F.get(o, j)["mask"] != F.get(o, j - 1)["mask"]))
+        ends = let(starts, lambda r: F.transform(runs(o, r), lambda g: F.struct((-F.element_at(g, -1)["i"]).alias("last"), F.element_at(g, 1)["i"].alias("first"))))
+
+        def entry(w: Column) -> Column:
+            return F.struct(w["mask"].alias("placeholder"), w["value"].alias("original"), w["type"].alias("type"),
+                            w["strategy"].alias("strategy"), w["confidence"].alias("confidence"))
+        return F.transform(F.sort_array(ends), lambda e: entry(F.get(a, e["first"])))
+
+    return let(masked_spans, lambda a: F.when(F.size(a) == 0, F.array().cast(f"array<struct<{MAPPING_FIELDS}>>"))
+               .otherwise(let(by_mask(a), lambda o: entries(a, o))))
 
 
 def secret_hits(text) -> Column:
