@@ -1,5 +1,6 @@
 """The corpus operators against brute force and on edge cases."""
 
+import time
 import gzip
 import hashlib
 import random
@@ -323,6 +324,20 @@ def test_secret_base_spans_and_novelty(spark):
 
 
 # --- all
+def test_novel_spans_of_long_runs():
+    """One candidate for each run of key characters, whole, in time that grows with the text."""
+    key = "Zk9Qx2Lr7TwB4mVn8Yc3"
+    text = f"token {key} then secret-token-{key[::-1]} end"
+    assert [(text[a:z], r) for a, r, z in zstd_secrets.novel_spans(text, [])] == [(key, 3), ("-" + key[::-1], 3)]
+    rnd = np.random.default_rng(5)
+    run = "".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 400))
+    text = f"bearer {run} and token1" + "token1" * 30_000 + " last"
+    t = time.perf_counter()
+    spans = zstd_secrets.novel_spans(text, [])
+    assert time.perf_counter() - t < 20
+    assert (7, 3, 407) in spans and len({z for _, _, z in spans}) == len(spans)
+
+
 def test_empty_tables(spark):
     d = docs_of(spark, EDGE).where("1 = 0")
     for f in (context_pii.report, context_pii.redact, quality_cascade.judge, quality_cascade.keep_good, hyperminhash.near_duplicates, hyperminhash.keep_one,

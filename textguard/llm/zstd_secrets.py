@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import zstandard
@@ -34,6 +35,7 @@ ASSIGN_MIN, ACCESS_MIN = 12, 18
 
 SENSITIVE = re.compile(r"(?:passphrase|password|passwd|pwd|secret|token|api[-_ ]?key|access[-_ ]?key|private[-_ ]?key|credential|bearer|authorization)", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN, DIGIT, LETTER = re.compile(r"[A-Za-z0-9+/_=-]*"), re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 #: Code points between a sensitive word and a candidate; code points of text around a candidate that prime the dictionary.
 REACH, AROUND = 48, 512
 #: Marginal compressed bytes for each byte of a reported candidate.
@@ -68,29 +70,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _overlapped(taken: list[tuple[int, int]], k: int, a: int, z: int) -> bool:
+    """Whether one of the spans ``taken[k:]``, sorted by start, shares a character with [a, z)."""
+    for x, y in islice(taken, k, None):
+        if x >= z:
+            return False
+        if a < y:
+            return True
+    return False
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """Incompressible strings after sensitive words, outside the base spans."""
-    out: dict[int, tuple[int, int, int]] = {}
+    """Incompressible strings after sensitive words, outside the base spans. Where several sensitive words
+    stand in one run of key characters, the candidate is the one after the last of them."""
+    last: dict[int, int] = {}  # end of a candidate: its start
     taken = sorted((a, z) for a, _, z in base)
-    k = 0
+    k = run_end = 0
     for w in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, w.end(), min(len(text), w.end() + REACH + 256)):
+        while k < len(taken) and taken[k][1] <= w.end():
+            k += 1
+        window = min(len(text), w.end() + REACH + 256)
+        for m in CANDIDATE.finditer(text, w.end(), window):
             a, z = m.span()
             if a > w.end() + REACH:
                 break
-            while z < len(text) and CANDIDATE.fullmatch(text, a, z + 1):  # a candidate cut by the window's end
-                z += 1
-            s = text[a:z]
-            if a in out or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-                continue
-            while k < len(taken) and taken[k][1] <= w.end():
-                k += 1
-            if any(x < z and a < y for x, y in taken[k:k + 64] if x < z):
-                continue
-            raw = s.encode()
-            if marginal_bytes(raw, text[max(0, a - AROUND):a].encode(), text[z:z + AROUND].encode()) >= novelty * len(raw):
-                out[a] = (a, 3, z)
-    return list(out.values())
+            if z == window:  # cut by the window: the run goes on, each run is walked once
+                run_end = run_end if z < run_end else RUN.match(text, z).end()
+                z = run_end
+            if not _overlapped(taken, k, a, z):
+                last[z] = a
+    out = []
+    for z, a in last.items():
+        s = text[a:z]
+        if DIGIT.search(s) and LETTER.search(s):
+            if marginal_bytes(s.encode(), text[max(0, a - AROUND):a].encode(), text[z:z + AROUND].encode()) >= novelty * len(s):
+                out.append((a, 3, z))
+    return out
 
 
 OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
