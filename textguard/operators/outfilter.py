@@ -14,8 +14,11 @@ from textguard.functions import lexicons as L
 from textguard.functions.prefilters import BIAS_REQUIRES, OUTPUT_JAILBREAK_REQUIRES
 from textguard.functions.sqltext import expr, first_regex_sql, regex_hits_sql, substring_hits_sql
 from textguard.functions.text import ci, col_, punct_normalize, score_tenths, word_count
+from textguard.operators.scoring import bias_from_probabilities, toxicity_from_probability
 
 STR_ARRAY = "array<string>"
+ITEM_ARRAY = "array<struct<type:string,value:string>>"
+PATTERN_ARRAY = "array<struct<type:string,pattern:string>>"
 SEVERITY_RANK = {s: i + 1 for i, s in enumerate(L.SEVERITY_LEVELS)}
 
 
@@ -127,6 +130,24 @@ def bias_struct(include_age: bool = False) -> Column:
     )
 
 
+def with_model_toxicity(rules: Column, probability: Column, text: Column) -> Column:
+    """M7: the model's result where a row has a probability, else the rules'. A model names no words,
+    so its items are empty."""
+    m = toxicity_from_probability(probability, text)
+    none = F.array().cast(STR_ARRAY)
+    model = F.struct(m["detected"].alias("detected"), m["score"].alias("score"), F.lit(None).cast("int").alias("tenths"), m["severity"].alias("severity"),
+                     none.alias("keywords"), none.alias("phrases"), F.array().cast(ITEM_ARRAY).alias("items"), F.lit(None).cast("double").alias("sentiment"))
+    return F.when(probability.isNotNull(), model).otherwise(rules)
+
+
+def with_model_bias(rules: Column, probabilities: Column, text: Column) -> Column:
+    """M7: the model's result where a row has probabilities, else the rules'; a model names no patterns."""
+    m = bias_from_probabilities(probabilities, text)
+    model = F.struct(m["detected"].alias("detected"), m["types"].alias("types"), m["score"].alias("score"), m["severity"].alias("severity"),
+                     F.array().cast(PATTERN_ARRAY).alias("patterns"))
+    return F.when(probabilities.isNotNull(), model).otherwise(rules)
+
+
 def output_jailbreak_struct() -> Column:
     """Indicator patterns on lower or punctuation-stripped text; 0.4 each, capped at 1.0."""
     hits = expr(regex_hits_sql(["_tg_low", "_tg_pnorm"], L.OUTPUT_JAILBREAK_PATTERNS, requires=OUTPUT_JAILBREAK_REQUIRES))
@@ -147,7 +168,7 @@ def _censor(text: Column, tox: Column, bias: Column, jb: Column) -> Column:
         return F.regexp_replace(acc, pat, F.lit(L.REDACTED))
     n_items = F.size(tox["items"])
     censored = (F.when(~tox["detected"], text)
-                .when((tox["tenths"] >= 6) & (n_items == 0), F.lit(L.MSG_TOXIC_WHOLE))
+                .when((tox["score"] >= 0.6) & (n_items == 0), F.lit(L.MSG_TOXIC_WHOLE))
                 .when(n_items > 0, F.aggregate(tox["items"], text, redact))
                 .otherwise(F.concat(F.lit(L.MSG_TOXIC_PREFIX), text)))
     # Each detected bias type prepends its line, so the last type ends up first.
@@ -174,14 +195,23 @@ def sanitize(text: Column, strategy: Column, tox: Column, bias: Column, jb: Colu
 
 
 def with_output_filter(df: DataFrame, text: str, out: str = "verdict", strategies: dict | None = None,
-                       include_age_bias: bool = False) -> DataFrame:
+                       include_age_bias: bool = False, toxicity_model: str | None = None,
+                       bias_model: str | None = None) -> DataFrame:
     """D19 ``filter_response`` over a text column: adds struct ``out`` with the 12 verdict fields
-    plus the three detector results. ``strategies`` overrides {toxicity,bias,jailbreak} -> strategy."""
+    plus the three detector results. ``strategies`` overrides {toxicity,bias,jailbreak} -> strategy.
+
+    M7: ``toxicity_model`` names a column with a model's probability, ``bias_model`` one with its
+    probabilities per label; a row where the column is NULL is judged by the rules."""
     strat = dict(L.DEFAULT_SANITIZATION)
     strat.update(strategies or {})
     staged = with_views(df, text)
-    staged = (staged.withColumn("_tg_tox", toxicity_struct("_tg_t"))
-                    .withColumn("_tg_bias", bias_struct(include_age_bias))
+    tox, bias = toxicity_struct("_tg_t"), bias_struct(include_age_bias)
+    if toxicity_model:
+        tox = with_model_toxicity(tox, F.col(toxicity_model), F.col("_tg_t"))
+    if bias_model:
+        bias = with_model_bias(bias, F.col(bias_model), F.col("_tg_t"))
+    staged = (staged.withColumn("_tg_tox", tox)
+                    .withColumn("_tg_bias", bias)
                     .withColumn("_tg_jb", output_jailbreak_struct()))
     tox, bias, jb = F.col("_tg_tox"), F.col("_tg_bias"), F.col("_tg_jb")
     flagged = tox["detected"] | bias["detected"] | jb["detected"]

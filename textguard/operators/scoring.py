@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import lexicons as L
+from textguard.functions.text import py_strip
 
 _SCORERS: dict[str, Callable[[], Callable[[list], list]]] = {}
 _LOADED: dict[str, Callable[[list], list]] = {}
@@ -53,10 +54,17 @@ def score_column(text: Column, scorer: str, return_type: str, factory=None) -> C
 
 # ---------------------------------------------------------------- M2 toxicity probabilities
 
-def toxicity_from_probability(p: Column) -> Column:
+def _blank(text: Column) -> Column:
+    return F.length(py_strip(F.coalesce(text, F.lit("")))) == 0
+
+
+def toxicity_from_probability(p: Column, text: Column | None = None) -> Column:
     """M2: probability -> struct(detected, score, severity); clamped to [0, 1]; p >= 0.5
-    detected; severity only when detected (>= 0.8 high, >= 0.6 medium, else low)."""
+    detected; severity only when detected (>= 0.8 high, >= 0.6 medium, else low). A blank
+    ``text``, where one is given, scores 0.0 whatever the model says."""
     prob = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p.cast("double")))
+    if text is not None:
+        prob = F.when(_blank(text), F.lit(0.0)).otherwise(prob)
     det = prob >= L.TOXICITY_MODEL_DETECT
     (hi, hname), (md, mname) = L.TOXICITY_MODEL_SEVERITY
     sev = F.when(det, F.when(prob >= hi, hname).when(prob >= md, mname).otherwise("low"))
@@ -65,10 +73,13 @@ def toxicity_from_probability(p: Column) -> Column:
 
 # ---------------------------------------------------------------- M6 bias probabilities
 
-def bias_from_probabilities(probs: Column) -> Column:
+def bias_from_probabilities(probs: Column, text: Column | None = None) -> Column:
     """M6: per-label sigmoid probabilities (gender, racial, religious) -> struct(detected,
     types, score=max, severity, scores map). Severity is set from the max even when no
-    label passes 0.5 (>= 0.7 high, >= 0.4 medium, >= 0.2 low)."""
+    label passes 0.5 (>= 0.7 high, >= 0.4 medium, >= 0.2 low). A blank ``text``, where one is
+    given, scores zero for every label."""
+    if text is not None:
+        probs = F.when(_blank(text), F.array_repeat(F.lit(0.0), len(L.BIAS_MODEL_LABELS))).otherwise(probs)
     labels = F.array(*[F.lit(x) for x in L.BIAS_MODEL_LABELS])
     pairs = F.arrays_zip(labels.alias("label"), probs.alias("p"))
     types = F.transform(F.filter(pairs, lambda z: z["p"] > L.BIAS_MODEL_DETECT), lambda z: z["label"])

@@ -88,11 +88,20 @@ def sev_name(r: str) -> str:
             + " ELSE NULL END)")
 
 
-def output_filter_ctes(src: str, text: str = "text") -> str:
+def output_filter_ctes(src: str, text: str = "text", tox_p: str | None = None, bias_p: str | None = None) -> str:
     """CTE chain ``of1`` .. ``of3`` over relation ``src`` adding the output-filter columns:
     tox_kws, tox_phs, tox_sent, tox_tenths, tox_det, tox_score, tox_sev, bias_types, bias_n,
     bias_det, bias_score, bias_sev, jb_hits, jb_n, jb_det, jb_score, jb_sev, of_flagged,
-    of_sev, of_expl, of_strategy, of_filtered."""
+    of_sev, of_expl, of_strategy, of_filtered. ``tox_p`` and ``bias_p`` name columns with a model's
+    probability and probabilities (M7); rows where they are NULL are judged by the rules."""
+    mt, mb, blank = (f"{tox_p} IS NOT NULL" if tox_p else "FALSE"), (f"{bias_p} IS NOT NULL" if bias_p else "FALSE"), f"length({py_strip('_t')}) = 0"
+    p = f"(CASE WHEN {blank} THEN 0.0::DOUBLE ELSE greatest(0.0, least(1.0, {tox_p or 0.0})) END)"
+    labels = L.BIAS_MODEL_LABELS
+    bp = f"(CASE WHEN {blank} THEN [{', '.join('0.0' for _ in labels)}]::DOUBLE[] ELSE {bias_p or '[0.0]::DOUBLE[]'} END)"
+    m_types = "list_concat(" + ", ".join(f"CASE WHEN {bp}[{i + 1}] > {L.BIAS_MODEL_DETECT} THEN [{q(x)}] ELSE []::VARCHAR[] END" for i, x in enumerate(labels)) + ")"
+    (hi, hname), (md, mname) = L.TOXICITY_MODEL_SEVERITY
+    m_sev = f"CASE WHEN {p} >= {L.TOXICITY_MODEL_DETECT} THEN CASE WHEN {p} >= {hi} THEN {q(hname)} WHEN {p} >= {md} THEN {q(mname)} ELSE 'low' END END"
+    m_bsev = "CASE " + " ".join(f"WHEN list_max({bp}) >= {t} THEN {q(n)}" for t, n in L.BIAS_MODEL_SEVERITY) + " END"
     views = ["_low", "_pnorm"]
     bias_firsts = []
     for btype, pats in L.BIAS_PATTERNS:
@@ -104,22 +113,24 @@ def output_filter_ctes(src: str, text: str = "text") -> str:
 of0 AS (SELECT *, coalesce({text}, '') AS _t FROM {src}),
 of1 AS (SELECT *, lower(_t) AS _low, {punct_normalize('_t')} AS _pnorm FROM of0),
 of2 AS (SELECT *,
-    {substring_hits(views, L.TOXICITY_KEYWORDS)} AS tox_kws,
-    {substring_hits(views, L.AGGRESSIVE_PHRASES)} AS tox_phs,
+    CASE WHEN {mt} THEN []::VARCHAR[] ELSE {substring_hits(views, L.TOXICITY_KEYWORDS)} END AS tox_kws,
+    CASE WHEN {mt} THEN []::VARCHAR[] ELSE {substring_hits(views, L.AGGRESSIVE_PHRASES)} END AS tox_phs,
     {sentiment('_t', '_low')} AS tox_sent,
-    {bias_types} AS bias_types,
+    CASE WHEN {mb} THEN {m_types} ELSE {bias_types} END AS bias_types,
     {regex_hits(views, L.OUTPUT_JAILBREAK_PATTERNS)} AS jb_hits
   FROM of1),
 of3 AS (SELECT *,
-    len(tox_kws) * {L.KEYWORD_TENTHS} + len(tox_phs) * {L.PHRASE_TENTHS}
-      + (CASE WHEN tox_sent < {L.SENTIMENT_PENALTY_BELOW} THEN {L.SENTIMENT_TENTHS} ELSE 0 END) AS tox_tenths,
+    CASE WHEN {mt} THEN CAST(floor({p} * 10) AS INTEGER) ELSE len(tox_kws) * {L.KEYWORD_TENTHS} + len(tox_phs) * {L.PHRASE_TENTHS}
+      + (CASE WHEN tox_sent < {L.SENTIMENT_PENALTY_BELOW} THEN {L.SENTIMENT_TENTHS} ELSE 0 END) END AS tox_tenths,
     len(bias_types) AS bias_n,
     len(jb_hits) AS jb_n
   FROM of2),
 of4 AS (SELECT *,
-    tox_tenths >= 2 AS tox_det, {tenths_score('least(tox_tenths, 10)')} AS tox_score, {tox_severity('tox_tenths')} AS tox_sev,
-    bias_n > 0 AS bias_det, {tenths_score(f'least(bias_n * {L.BIAS_TENTHS_PER_TYPE}, 10)')} AS bias_score,
-    (CASE WHEN bias_n >= 2 THEN 'high' WHEN bias_n = 1 THEN 'medium' ELSE NULL END) AS bias_sev,
+    CASE WHEN {mt} THEN {p} >= {L.TOXICITY_MODEL_DETECT} ELSE tox_tenths >= 2 END AS tox_det,
+    CASE WHEN {mt} THEN {p} ELSE {tenths_score('least(tox_tenths, 10)')} END AS tox_score,
+    CASE WHEN {mt} THEN {m_sev} ELSE {tox_severity('tox_tenths')} END AS tox_sev,
+    bias_n > 0 AS bias_det, CASE WHEN {mb} THEN list_max({bp}) ELSE {tenths_score(f'least(bias_n * {L.BIAS_TENTHS_PER_TYPE}, 10)')} END AS bias_score,
+    CASE WHEN {mb} THEN {m_bsev} ELSE (CASE WHEN bias_n >= 2 THEN 'high' WHEN bias_n = 1 THEN 'medium' ELSE NULL END) END AS bias_sev,
     jb_n > 0 AS jb_det, {tenths_score(f'least(jb_n * {L.OUTPUT_JAILBREAK_TENTHS}, 10)')} AS jb_score,
     (CASE WHEN jb_n > 0 THEN 'critical' ELSE NULL END) AS jb_sev
   FROM of3),

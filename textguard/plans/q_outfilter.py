@@ -145,3 +145,28 @@ def sanitized_text(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("doc_id", v["sanitization_strategy"].alias("sanitization_strategy"),
                      v["filtered_response"].alias("filtered_response"),
                      F.when(F.col("text").isNotNull(), OF.final_text(F.col("text"), v)).alias("final_text"))
+
+
+# Stand-in model scores: two thirds of the rows have a toxicity probability, half have bias probabilities,
+# both derived from doc_id and rounded to hundredths; the others fall back to the rules.
+_P = "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(abs(doc_id) * 37 % 101 AS DOUBLE) / 100 END"
+_BP = ("CASE WHEN doc_id % 2 = 0 THEN NULL ELSE {0}(CAST(abs(doc_id) * 13 % 101 AS DOUBLE) / 100, "
+       "CAST(abs(doc_id) * 29 % 101 AS DOUBLE) / 100, CAST(abs(doc_id) * 53 % 101 AS DOUBLE) / 100) END")
+MODEL_SQL = (f"WITH src AS (SELECT *, {_P} AS tp, {_BP.format('list_value')} AS bp FROM {DOCS_SQL}), "
+             f"{O.output_filter_ctes('src', tox_p='tp', bias_p='bp')}\nSELECT " + ", ".join([
+                 "doc_id", "of_flagged AS is_flagged", "tox_det AS toxicity_detected", "tox_score AS toxicity_score", "tox_sev AS toxicity_severity",
+                 "bias_det AS bias_detected", "array_to_string(bias_types, ', ') AS bias_types", "bias_score AS bias_score", "of_sev AS severity",
+                 "of_expl AS explanation", "of_strategy AS sanitization_strategy", "of_filtered AS filtered_response"]) + " FROM of6")
+
+
+@register("model_filter_verdicts", MODEL_SQL)
+def model_filter_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """M7 (with M2, M6): verdict and sanitised text where a model scored the row, rules elsewhere."""
+    d = docs_with_planted(spark, sf).withColumn("tp", F.expr(_P)).withColumn("bp", F.expr(_BP.format("array")))
+    df = OF.with_output_filter(d, "text", toxicity_model="tp", bias_model="bp")
+    v = F.col("verdict")
+    return df.select("doc_id", v["is_flagged"].alias("is_flagged"), v["toxicity_detected"].alias("toxicity_detected"),
+                     v["toxicity_score"].alias("toxicity_score"), v["toxicity"]["severity"].alias("toxicity_severity"),
+                     v["bias_detected"].alias("bias_detected"), F.array_join(v["bias"]["types"], ", ").alias("bias_types"),
+                     v["bias_score"].alias("bias_score"), v["severity"].alias("severity"), v["explanation"].alias("explanation"),
+                     v["sanitization_strategy"].alias("sanitization_strategy"), v["filtered_response"].alias("filtered_response"))
