@@ -1,7 +1,12 @@
 """Model scores in the output filter (M7), with the rules as fallback and the blank-text rule (M2, M6)."""
 
+import os
+
+from pyspark.sql import functions as F
+
 from textguard.functions import lexicons as L
 from textguard.operators import outfilter as OF
+from textguard.operators.scoring import score_column
 
 ROWS = [
     # id, text, toxicity probability, bias probabilities
@@ -26,3 +31,13 @@ def test_model_scores_and_fallback(spark):
     assert not got["blank"]["is_flagged"] and got["blank"]["toxicity_score"] == 0.0 and got["blank"]["bias_score"] == 0.0
     assert got["bias"]["bias"]["types"] == ["gender", "religious"] and got["bias"]["bias_score"] == 0.8
     assert not got["severity_only"]["bias_detected"] and got["severity_only"]["bias"]["severity"] == "medium"
+
+
+def test_scorer_is_built_once_per_worker(spark):
+    """M1: the factory runs once in a worker process, however many batches and tasks it scores."""
+    def factory():
+        built = object()  # one for each call of the factory
+        return lambda texts: [f"{os.getpid()} {id(built)}" for _ in texts]
+    df = spark.range(4000).repartition(8).select(F.col("id").cast("string").alias("text"))
+    rows = [r[0] for r in df.select(score_column(F.col("text"), "counting", "string", factory).alias("m")).distinct().collect()]
+    assert rows and len(rows) == len({r.split()[0] for r in rows})

@@ -28,14 +28,14 @@ def _drain(q):
 def test_activity_and_daily_windows(spark):
     n_w2, n_w3 = _name("w2"), _name("w3")
     ev = W.read_stream(spark, _src("events"), W.EVENT_SCHEMA)
-    _drain(W.start(W.activity_windows(ev), n_w2, "update"))
+    _drain(W.start(W.activity_windows(ev), n_w2, "update", "memory"))
     got = {(r["window_start"], r["window_end"]): (r["active_users"], r["errors"]) for r in spark.table(n_w2).collect()}
     batch = spark.read.schema(W.EVENT_SCHEMA).parquet("/root/testdata/sf0.001/events.parquet")
     want = {(r["window_start"], r["window_end"]): (r["active_users"], r["errors"])
             for r in W.activity_windows(batch).collect()}
     assert got == want and len(got) > 0
     ev = W.read_stream(spark, _src("events"), W.EVENT_SCHEMA)
-    _drain(W.start(W.daily_threats(ev), n_w3, "update"))
+    _drain(W.start(W.daily_threats(ev), n_w3, "update", "memory"))
     got = {r["date"]: (r["threats"], r["events"]) for r in spark.table(n_w3).collect()}
     want = {r["date"]: (r["threats"], r["events"]) for r in W.daily_threats(batch).collect()}
     assert got == want and sum(v[1] for v in got.values()) == batch.count()
@@ -44,7 +44,7 @@ def test_activity_and_daily_windows(spark):
 def test_guard_and_conversation_state(spark):
     n_w4 = _name("w4")
     turns = W.read_stream(spark, _src("conversations"), W.TURN_SCHEMA)
-    _drain(W.start(W.conversation_state(W.guard_turns(turns)), n_w4, "update"))
+    _drain(W.start(W.conversation_state(W.guard_turns(turns)), n_w4, "update", "memory"))
     got = {r["conv_id"]: r.asDict() for r in spark.table(n_w4).collect()}
     batch = spark.read.schema(W.TURN_SCHEMA).parquet("/root/testdata/sf0.001/conversations.parquet")
     want = {r["conv_id"]: r.asDict() for r in W.conversation_state(W.guard_turns(batch)).collect()}
@@ -58,9 +58,20 @@ def test_newest_events_cache(spark):
     q = ev.writeStream.foreachBatch(W.newest_events_sink(spark, out, cap=500)) \
           .option("checkpointLocation", W.checkpoint_for(spark, n_w5)).trigger(availableNow=True).start()
     _drain(q)
-    latest = sorted(os.listdir(out))[-1]
-    got = spark.read.parquet(os.path.join(out, latest))
+    got = W.read_newest_events(spark, out)
     batch = spark.read.schema(W.EVENT_SCHEMA).parquet("/root/testdata/sf0.001/events.parquet")
     want = batch.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(500)
     assert got.count() == 500
     assert sorted(r["event_id"] for r in got.collect()) == sorted(r["event_id"] for r in want.collect())
+
+
+def test_newest_events_over_batches_and_a_retry(spark):
+    """Two folders in turn hold the newest rows of all batches; running a batch again changes nothing."""
+    out = tempfile.mkdtemp(prefix="tg-newest-")
+    ev = spark.read.schema(W.EVENT_SCHEMA).parquet("/root/testdata/sf0.001/events.parquet")
+    sink = W.newest_events_sink(spark, out, cap=50)
+    for epoch in (0, 1, 2, 2):
+        sink(ev.where(F.col("event_id") % 3 == epoch), epoch)
+    want = ev.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(50)
+    assert sorted(r["event_id"] for r in W.read_newest_events(spark, out).collect()) == sorted(r["event_id"] for r in want.collect())
+    assert sorted(os.listdir(out)) == ["slot0", "slot1"]

@@ -45,9 +45,13 @@ HITS_SQL = ("WITH s AS (" + SPANS_SQL + ")\nSELECT span_type, count(*) AS hits,
 
 @register("pii_hits_by_type", HITS_SQL)
 def pii_hits_by_type(spark: SparkSession, sf: str) -> DataFrame:
-    """D1 rolled up: detections and documents per PII type (partial aggregation before the shuffle)."""
-    return (pii_spans(spark, sf).groupBy("span_type")
-            .agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id").alias("docs")))
+    """D1 rolled up: detections and documents per PII type. A document counts its own types, so the only
+    shuffle carries one partial sum per type and task."""
+    types = (docs_with_planted(spark, sf).withColumn("_t", F.coalesce("text", F.lit("")))
+             .select(F.transform(P.rule_pii_spans("_t"), lambda s: s["type"]).alias("types")))
+    own = F.transform(F.array_distinct("types"), lambda t: F.struct(t.alias("span_type"), F.size(F.filter("types", lambda x: x == t)).alias("n")))
+    return (types.select(F.explode_outer(own).alias("o")).filter(F.col("o").isNotNull())
+            .groupBy(F.col("o.span_type").alias("span_type")).agg(F.sum("o.n").alias("hits"), F.count(F.lit(1)).alias("docs")))
 
 
 RESOLVED_SQL = _pv_sql("doc_id, s.t AS span_type, s.v AS span_value, s.s AS span_start, s.e AS span_end, "

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textguard.functions import lexicons as L
 from textguard.operators import modelspans as MS
 from textguard.operators import outfilter as OF
 from textguard.operators import pii as P
@@ -14,7 +15,7 @@ from textguard.operators import screen as S
 from textguard.plans import oracle_sql as O
 from textguard.plans import tables as T
 from textguard.plans.catalog import register
-from textguard.plans.q_outfilter import docs_with_planted
+from textguard.plans.q_outfilter import DOCS_SQL, docs_with_planted
 from textguard.plans.q_pipeline import TS_FMT, conversations, messages, pipe_with
 from textguard.plans.q_stats import ELOG, event_log, oracle
 from textguard.sources.tables import read_table, spread_for_cpu
@@ -288,30 +289,32 @@ def span_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return _mspans_long(_tokens(spark, sf).withColumn("sp", MS.model_spans("_t", "tokens")), "sp", with_value=True)
 
 
-def capitalised_entities():
-    """Deterministic stand-in for a named-entity model (tests and contract queries only):
-    two capitalised words in a row are a PERSON, an all-capitals word of 2+ letters an ORG."""
-    import re as _re
-    person = _re.compile(r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b")
-    org = _re.compile(r"\b([A-Z]{2,})\b")
+# Stand-in for a named-entity model: two capitalised words in a row are a PERSON, two or more capitals an ORG.
+PERSON_RX, ORG_RX = "[A-Z][a-z]+ [A-Z][a-z]+", "[A-Z]{2,}"
 
-    def run(texts):
-        out = []
-        for t in texts:
-            t = t or ""
-            ents = [{"label": "PERSON", "text": m} for m in person.findall(t)]
-            ents += [{"label": "ORG", "text": m} for m in org.findall(t)]
-            out.append(ents)
-        return out
-    return run
 
+def _entity_sql() -> str:
+    def kept(label: str, rx: str) -> str:
+        found = f"regexp_extract_all(coalesce(text, ''), '{rx}')"
+        if label in L.NER_LABELS_LONG:
+            found = f"list_filter({found}, lambda e: length(e) > 3 AND NOT list_contains({O.arr(L.NER_SKIP_WORDS)}, lower(e)))"
+        return f"list_transform({found}, lambda e: '{label}: ' || e)"
+    ents = f"list_concat({kept('PERSON', PERSON_RX)}, {kept('ORG', ORG_RX)})"
+    return (f"WITH src AS {DOCS_SQL}, {O.prompt_ctes('src')}, en AS (SELECT *, {ents} AS ents FROM pa2)\n"
+            "SELECT doc_id, array_to_string(ents, '; ') AS entities, pa_pii OR len(ents) > 0 AS pii_detected, "
+            f"CASE WHEN pa_expl IS NULL AND len(ents) > 0 THEN {O.q(L.EXPL_NER)} || array_to_string(ents[1:{L.EXPLANATION_ITEMS}], {O.q(L.LIST_SEP)}) "
+            "ELSE pa_expl END AS explanation FROM en")
 
-@register("entity_filter")
+
+@register("entity_filter", _entity_sql())
 def entity_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Entities from a pluggable scorer (M1) filtered by label, length and skip list;
-    they set the PII flag and, when nothing else explains the prompt, the explanation."""
-    d = docs_with_planted(spark, sf)
-    d = d.withColumn("ents", SC.score_column(F.col("text"), "capitalised", S.ENTITY_ARRAY, capitalised_entities))
+    """Entities filtered by label, length and skip list; they set the PII flag and, when
+    nothing else explains the prompt, the explanation. A model's entities come the same way,
+    from a scorer column (M1)."""
+    def found(label: str, rx: str):
+        return F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(rx), F.lit(0)),
+                           lambda e: F.struct(F.lit(label).alias("label"), e.alias("text")))
+    d = docs_with_planted(spark, sf).withColumn("ents", F.concat(found("PERSON", PERSON_RX), found("ORG", ORG_RX)).cast(S.ENTITY_ARRAY))
     a = S.with_prompt_analysis(d, "text", "pa", entities="ents")
     return a.select("doc_id", F.array_join(F.col("pa.entities"), "; ").alias("entities"),
                     F.col("pa.pii_detected").alias("pii_detected"), F.col("pa.explanation").alias("explanation"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from textguard.operators.ordered import blocked_running_sum
 from textguard.plans import oracle_sql as O
 from textguard.plans import pipeline as PL
 from textguard.plans.catalog import register
+from textguard.session import ensure_checkpoint_dir
 from textguard.sources.planted import planted_values_sql
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
@@ -21,20 +23,26 @@ def pipe_with() -> str:
     return "WITH " + O.pipeline_ctes(planted_values_sql()) + "\n"
 
 
-_AUDIT: dict = {}
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, sf: str) -> tuple:
+    """What identifies the content of the conversations table: its rows, files and newest change (no column is read)."""
+    t = spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet")
+    return tuple(t.agg(F.count(F.lit(1)), F.count_distinct("_metadata.file_path"), F.max("_metadata.file_modification_time")).first())
 
 
 def exchanges(spark: SparkSession, sf: str) -> DataFrame:
-    """The guarded exchanges of (conversations + planted turns), computed once per session
-    and table folder and kept (memory, spilling to disk) for the queries that read the
-    audit tables. A lost cached block is recomputed from its lineage."""
-    key = (id(spark), sf)
-    ex = _AUDIT.get(key)
-    if ex is None:
-        from pyspark import StorageLevel
-        ex = PL.guarded_exchanges(PL.pipeline_turns(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
-        _AUDIT[key] = ex
-    return ex
+    """The guarded exchanges of (conversations + planted turns): screened and written once per
+    application and state of the table, in the shared folder, and read from there by every query
+    over the audit tables."""
+    key = (spark.sparkContext.applicationId, sf, *_state(spark, sf))
+    path = _WRITTEN.get(key)
+    if path is None:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/audit-{uuid.uuid4().hex}"
+        PL.guarded_exchanges(PL.pipeline_turns(spark, sf)).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(path)
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:

@@ -87,35 +87,36 @@ def conversation_state(scored_turns: DataFrame) -> DataFrame:
                         .select("conv_id", "last_turn", "turns", "flagged_turns", "latest.*"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Path existence on whatever file system the path names (local, HDFS, object store)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def newest_events_sink(spark: SparkSession, table_dir: str, cap: int = 500):
-    """``foreachBatch`` function keeping the newest ``cap`` events in a parquet table:
-    each micro-batch is merged with the stored table and cut to the newest ``cap`` rows
-    (a top-k on time, id; the result never exceeds ``cap`` rows)."""
+    """``foreachBatch`` function keeping the newest ``cap`` events in a table: each
+    micro-batch is merged with what the batch before it stored and cut to the newest ``cap``
+    rows (a top-k on time, id). Two folders are written in turn, so storage is bounded, and a
+    batch that is run again after a failure finds its predecessor untouched and overwrites only
+    its own folder."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        cur_path = os.path.join(table_dir, f"v{epoch_id}")
-        prev = None
-        if epoch_id > 0:
-            for e in range(epoch_id - 1, -1, -1):
-                p = os.path.join(table_dir, f"v{e}")
-                if _exists(batch.sparkSession, p):
-                    prev = batch.sparkSession.read.parquet(p)
-                    break
         rows = batch.select("event_id", "ts", "user_id", "event_type", "value")
-        merged = rows if prev is None else rows.unionByName(prev)
-        top = merged.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(cap)
-        top.write.mode("overwrite").parquet(cur_path)
+        if epoch_id > 0:
+            prev = batch.sparkSession.read.parquet(_slot(table_dir, epoch_id - 1))
+            rows = rows.unionByName(prev.drop("epoch"))
+        top = rows.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(cap)
+        top.withColumn("epoch", F.lit(epoch_id).cast("bigint")).write.mode("overwrite").parquet(_slot(table_dir, epoch_id))
     return write
 
 
-def start(df: DataFrame, name: str, mode: str, sink: str = "memory", available_now: bool = True, **opts):
-    """Start a streaming query with a checkpoint under the session's checkpoint folder."""
+def _slot(table_dir: str, epoch_id: int) -> str:
+    return f"{table_dir.rstrip('/')}/slot{epoch_id % 2}"
+
+
+def read_newest_events(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The rows that the last batch stored."""
+    rows = spark.read.parquet(f"{table_dir.rstrip('/')}/slot*")
+    newest = rows.agg(F.max("epoch").alias("epoch"))  # one row
+    return rows.join(F.broadcast(newest), "epoch").drop("epoch")
+
+
+def start(df: DataFrame, name: str, mode: str, sink: str, available_now: bool = True, **opts):
+    """Start a streaming query with a checkpoint under the session's checkpoint folder. ``sink`` is
+    the caller's choice; ``memory`` brings the whole result to the driver and is meant for tests."""
     spark = df.sparkSession
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint_for(spark, name))
     if sink == "memory":
