@@ -30,7 +30,7 @@ def test_native_jobs_have_no_python(spark, sf001):
 
 def test_scan_prunes_columns(spark, sf001):
     plan = _plan(E.queries()["pii_hits_by_type"](spark, sf001))
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    assert "ReadSchema: struct<text:string>" in plan
 
 
 def test_pipeline_quirks(spark):
