@@ -84,6 +84,17 @@ def test_pii_discovers_in_trusted_context(spark):
     assert context_pii.redact(df).columns == df.columns
 
 
+def test_pii_discovers_words_without_digits_and_groups(spark):
+    names = ["".join(p) for p in zip("abcdefghijklmnopqrst", "bcdefghijklmnopqrstu")]
+    seeds = [(i, f"Write to mailbox <{n}@corp.example>, today") for i, n in enumerate(names)] + \
+            [(100 + i, f"please call +1 415 555 0{i}9 tonight") for i in range(10, 40)]
+    new = {200: ("write to mailbox root@localhost today", "ctx_email:17:31"), 201: ("please call 415 555 0199 tonight", "ctx_phone:12:24"),
+           202: ("please call (415) 555-0199, tonight", "ctx_phone:13:26"), 203: ("please call 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 tonight", ""),
+           204: ("ask @root or page 415 555 0199 there", "")}
+    got = {r["doc_id"]: r["spans"] for r in context_pii.report(docs_of(spark, seeds + [(i, t) for i, (t, _) in new.items()])).collect()}
+    assert {i: got[i] for i in new} == {i: s for i, (_, s) in new.items()} and got[0] == "email:18:33"
+
+
 def test_native_operators_run_no_python(spark):
     df = docs_of(spark, EDGE)
     for out in (context_pii.report(df), context_pii.redact(df), order_minhash.report(df)):

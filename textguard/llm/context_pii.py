@@ -1,9 +1,9 @@
 """Operator 1 - personal data by bootstrapped contextual extraction, in DataFrame and SQL operations only.
 
-Four patterns (e-mail, ip, card, phone) give the base spans. They are the seeds: words with a
-digit that lie in a base span are known instances of its kind, other words with a digit are
-unknown ones. The word before an instance, the word after it, and both together are its lexical
-patterns. On the graph of patterns and distinct instances two scores are iterated:
+Four patterns (e-mail, ip, card, phone) give the base spans. They are the seeds: the whole text of
+a base span is a known instance of its kind. Words with a digit or an '@' outside the base spans, and
+runs of digit groups joined by one space ('415 555 0199') as one, are unknown instances. The word
+before an instance, the word after it, and both together are its lexical patterns. On the graph of patterns and distinct instances two scores are iterated:
 
     pattern and kind:  sum of its instances' confidence / (number of its instances + 1)
     instance and kind: 1 for a seed, else 1 - product over its supported patterns of (1 - score)
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.llm.common import staged
-from textguard.llm.sqlspans import let, literal, matches
+from textguard.llm.sqlspans import let, literal, matches, running
 
 # The base kinds in their order, as (kind, pattern, test of a match m_, cheap test of a text).
 _BYTE = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -38,33 +38,65 @@ KINDS = [
 ]
 
 SPAN = "array<struct<start: int, rank: int, end: int, kind: string>>"
-#: A word with a digit.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+FOUND = SPAN.replace("kind: string", "kind: string, word: string, before: string, after: string")
+#: A word with a digit or an '@'; or words of digits and group marks only, each one space after the other.
+_TAIL = r"[^\x20\x09-\x0DA-Za-z0-9@]*+"
+_RUN = rf"{_TAIL}[0-9][0-9()-]*+(?:\x20[(]?[0-9][0-9()-]*+(?={_TAIL}(?![^\x20\x09-\x0D])))++{_TAIL}"
+CANDIDATE = rf"(?<![^\x20\x09-\x0D])(?:{_RUN}|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+#: Digits of a run that is one instance; the words of other runs (tables, say) are instances of their own.
+RUN_DIGITS = (7, 19)
 #: Code points of the text around a candidate in which its neighbours are looked for.
 REACH = 64
 ROUNDS = 3
-#: What an added word must look like, by kind: an identifier, not any word with a digit.
+#: What an added word or run must look like, by kind: an identifier, not any word with a digit.
 SHAPES = {"email": "word rlike '@'", "ip": "word rlike '[0-9]+[.:][0-9a-fA-F]*[.:][0-9a-fA-F]+'",
           "card": "length(regexp_replace(word, '[^0-9]', '')) >= 8", "phone": "length(regexp_replace(word, '[^0-9]', '')) >= 7"}
 MIN_SEEDS, MIN_SCORE = 5, 0.8
 
 
-def base_spans(text: str) -> str:
-    """SQL for the sorted base spans of column ``text``."""
+def found_spans(text: str) -> str:
+    """SQL for the sorted base spans of column ``text``, each with its text as an instance (without punctuation at
+    its ends) and the words around the words it lies in; words with a digit or an '@' count as no word."""
+    space, ink = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    word = "regexp_replace(m_, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '')"
+    # a word that the next match cuts is none
+    left = f"concat(if(k_ = 0, ' ', ''), substring(before_, -{REACH}))"
+    right = f"concat(substring(after_, 1, {REACH}), if(k_ = size(found_.m) - 1, ' ', ''))"
+    before = f"lower(regexp_extract({left}, {literal(f'{space}([^0-9@{space[1:-1]}]++){space}+{ink}*+$')}, 1))"
+    after = f"lower(regexp_extract({right}, {literal(f'^{ink}*+{space}+([^0-9@{space[1:-1]}]++){space}')}, 1))"
+
     def one(rank: int, kind: str, regex: str, test: str, cheap: str) -> str:
-        found = matches(text, regex, f"if({test}, struct(s_ AS start, {rank} AS rank, e_ AS end, '{kind}' AS kind), null)")
-        return f"if({cheap.format(t=text)}, cast(filter({found}, x_ -> x_ is not null) as {SPAN}), cast(array() as {SPAN}))"
+        span = f"struct(s_ AS start, {rank} AS rank, e_ AS end, '{kind}' AS kind, {word} AS word, {before} AS before, {after} AS after)"
+        return f"if({cheap.format(t=text)}, cast(filter({matches(text, regex, f'if({test}, {span}, null)')}, x_ -> x_ is not null) as {FOUND}), cast(array() as {FOUND}))"
     return "array_sort(concat(" + ", ".join(one(i, *k) for i, k in enumerate(KINDS)) + "))"
 
 
+def base_spans(text: str) -> str:
+    """SQL for the sorted base spans of column ``text``."""
+    return bare(found_spans(text))
+
+
+def bare(spans: str) -> str:
+    """SQL for base spans without their words."""
+    return f"transform({spans}, x_ -> struct(x_.start AS start, x_.rank AS rank, x_.end AS end, x_.kind AS kind))"
+
+
 def candidates(text: str) -> str:
-    """SQL for the words with a digit: place without punctuation at the ends, text, and the words around."""
+    """SQL for the unknown instances, base spans among them: place without punctuation at the ends, text, and the
+    words around."""
     before = f"lower(regexp_extract(substring(before_, -{REACH}), {literal('([^\\x20\\x09-\\x0D]++)[\\x20\\x09-\\x0D]+$')}, 1))"
     after = f"lower(regexp_extract(substring(after_, 1, {REACH}), {literal('^[\\x20\\x09-\\x0D]+([^\\x20\\x09-\\x0D]++)')}, 1))"
-    core = let("l_", "length(regexp_extract(m_, '^[^A-Za-z0-9]*', 0))",
-               let("t_", "regexp_extract(m_, '[^A-Za-z0-9]*+$', 0)",
-                   f"struct(s_ + l_ AS start, e_ - length(t_) AS end, substring(m_, l_ + 1, length(m_) - l_ - length(t_)) AS word, {before} AS before, {after} AS after)"))
-    return f"if({text} rlike '[0-9]', {matches(text, CANDIDATE, core)}, array())"
+
+    def core(word: str, end: str, first: str, last: str) -> str:
+        return let("l_", f"length(regexp_extract({word}, '^[^A-Za-z0-9]*', 0))",
+                   let("t_", f"length(regexp_extract({word}, '[^A-Za-z0-9]*+$', 0))",
+                       f"struct({end} - length({word}) + l_ AS start, {end} - t_ AS end, substring({word}, l_ + 1, length({word}) - l_ - t_) AS word, "
+                       f"if({first}, {before}, '') AS before, if({last}, {after}, '') AS after)"))
+    each = let("p_", "split(m_, ' ', -1)", let("q_", running("transform(p_, x_ -> length(x_) + 1)"),
+               f"transform(p_, (w_, n_) -> {core('w_', '(s_ + q_[n_] - 1)', 'n_ = 0', 'n_ = size(p_) - 1')})"))
+    whole = f"instr(m_, ' ') = 0 or length(regexp_replace(m_, '[^0-9]', '')) between {RUN_DIGITS[0]} and {RUN_DIGITS[1]}"
+    found = matches(text, CANDIDATE, f"if({whole}, array({core('m_', 'e_', 'true', 'true')}), {each})")
+    return f"if({text} rlike '[0-9@]', filter(flatten({found}), x_ -> x_.word rlike '[0-9@]'), array())"
 
 
 def digest(spans: str) -> Column:
@@ -80,8 +112,8 @@ def _edges(seen: DataFrame) -> DataFrame:
 
 
 def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
-    """(pattern, kind, score) of the trusted patterns. seen: (word, before, after, kinds), kinds of the base
-    spans over the word (empty: unknown)."""
+    """(pattern, kind, score) of the trusted patterns. seen: (word, before, after, kinds), the kind of a base
+    span (empty: unknown)."""
     edges = staged(_edges(seen), "pii-edges")
     seeds = staged(seen.select("word", F.explode("kinds").alias("kind")).distinct(), "pii-seeds")
     size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
@@ -106,12 +138,12 @@ def find_pii(docs: DataFrame, carry: list[str] | None = None, **limits) -> DataF
     carry = [c for c in (carry or []) if c != "doc_id"]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     first = staged(d.select(F.monotonically_increasing_id().alias("_row"), "doc_id", *carry,
-                            F.expr(base_spans("_text")).alias("base"), F.expr(candidates("_text")).alias("_seen")), "pii-first")
-    over = F.expr("array_distinct(transform(filter(base, b -> b.start < w.end and w.start < b.end), b -> b.kind))")
-    seen = first.where("size(_seen) > 0").select("_row", "base", F.explode("_seen").alias("w")).where("w.word != ''") \
-        .select("_row", "w.*", over.alias("kinds"))
-    trusted = trusted_patterns(seen.select("word", "before", "after", "kinds"), **limits)
-    unknown = seen.where("size(kinds) = 0")
+                            F.expr(found_spans("_text")).alias("_found"), F.expr(candidates("_text")).alias("_seen")), "pii-first")
+    unknown = first.where("size(_seen) > 0").select("_row", "_found", F.explode("_seen").alias("w")) \
+        .where("not exists(_found, b -> b.start < w.end and w.start < b.end)").select("_row", "w.*")
+    known = first.where("size(_found) > 0").select(F.explode("_found").alias("b")).select("b.word", "b.before", "b.after", F.array("b.kind").alias("kinds"))
+    trusted = trusted_patterns(known.unionByName(unknown.select("word", "before", "after", F.expr("cast(array() as array<string>)").alias("kinds"))), **limits)
+    first = first.withColumn("_found", F.expr(bare("_found"))).withColumnRenamed("_found", "base")
     keys = F.array(*(F.when(c, F.concat(*v)) for c, v in (
         (F.col("before") != "", (F.lit("L "), "before")), (F.col("after") != "", (F.lit("R "), "after")),
         ((F.col("before") != "") & (F.col("after") != ""), (F.lit("B "), "before", F.lit(" "), "after")))))
