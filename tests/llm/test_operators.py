@@ -349,6 +349,22 @@ def test_novel_spans_of_long_runs():
     assert (7, 3, 407) in spans and len({z for _, _, z in spans}) == len(spans)
 
 
+def test_novel_spans_of_every_alphabet_and_length():
+    """Random text is novel whatever its alphabet, length and surroundings; names and repeated values are not."""
+    r = random.Random(7)
+    around = ["", words(12, 9), words(12, 100)]
+    for alphabet in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789",
+                     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        for n in (16, 20, 32, 64, 96, 128, 256, 1600, 4000):
+            for side in around:
+                key = "7" + "".join(r.choices(alphabet, k=n - 2)) + alphabet[10]
+                text = f"{side} the token is {key} {side}"
+                a = text.index(key)
+                assert [z for _, _, z in zstd_secrets.novel_spans(text, [])] == [a + n], (alphabet, n, len(side))
+    for name in ("config_version_release_2024", "client_secret_api_key_version_2023", "a1" * 300, "2020-01-01/application/json/2020-01-01"):
+        assert zstd_secrets.novel_spans(f"{around[1]} the token is {name} {around[1]}", []) == []
+
+
 def test_empty_tables(spark):
     d = docs_of(spark, EDGE).where("1 = 0")
     for f in (context_pii.report, context_pii.redact, quality_cascade.judge, quality_cascade.keep_good, hyperminhash.near_duplicates, hyperminhash.keep_one,

@@ -1,12 +1,12 @@
 """Operator 10 - secrets by pattern, and by novelty against a primed zstandard dictionary.
 
 Three patterns (assignments, access keys, hex strings) give the base spans. Further candidates are
-strings of 16 or more key characters with letters and digits, shortly after a sensitive word
+strings of 16 or more key characters shortly after a sensitive word
 (``SENSITIVE``). For each, zstandard, primed with a dictionary of common identifiers, compresses the
 text around it with and without the candidate: the marginal bytes say how much of the candidate
 neither explains. Names, paths, versions and
-repeated values shrink to a few bytes; random keys stay near their length and are reported as
-``novel`` spans.
+repeated values shrink to a few bytes; random keys stay near what random text of their alphabet
+and length takes in their place, and are reported as ``novel`` spans.
 
 Defined results: null text is empty; repeated rows are scanned one by one; null doc_ids are
 returned; other columns are ignored; an empty table gives no rows.
@@ -15,8 +15,10 @@ returned; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import pyarrow as pa
@@ -38,8 +40,13 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 RUN, DIGIT, LETTER = re.compile(r"[A-Za-z0-9+/_=-]*"), re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 #: Code points between a sensitive word and a candidate; code points of text around a candidate that prime the dictionary.
 REACH, AROUND = 48, 512
-#: Marginal compressed bytes for each byte of a reported candidate.
+#: Marginal compressed bytes of a reported candidate, as a share of its bytes or of what random text of its alphabet takes.
 NOVELTY = 0.8
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Usual alphabets of keys, the smallest first.
+ALPHABETS = ["0123456789", "0123456789abcdef", "0123456789ABCDEF", _LOWER, _UPPER, f"{_LOWER}234567", f"{_UPPER}234567", f"{_LOWER}0123456789",
+             f"{_UPPER}0123456789", f"{_LOWER}{_UPPER}", f"{_LOWER}{_UPPER}0123456789", f"{_LOWER}{_UPPER}0123456789+/_=-"]
+_ALPHABETS = [(frozenset(x), x) for x in ALPHABETS]
 IDENTIFIERS = (
     "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ http://www. https:// .com/ .org/ .html index.php?id= example localhost 127.0.0.1 "
     "return function class import from public static void private protected final const string integer boolean undefined null None True False "
@@ -59,6 +66,21 @@ def marginal_bytes(candidate: bytes, before: bytes, after: bytes) -> int:
     return len(z.compress(before + after + candidate)) - len(z.compress(before + after))
 
 
+@cache
+def _random(alphabet: str, size: int) -> bytes:
+    """``size`` characters drawn from ``alphabet``, the same ones every time."""
+    return "".join(random.Random(alphabet).choices(alphabet, k=size)).encode()
+
+
+def bound(candidate: str, before: bytes, after: bytes, novelty: float = NOVELTY) -> float:
+    """Marginal bytes from which the candidate is novel. Literals take their whole bytes in short texts and their
+    entropy in long ones, so random text of the candidate's alphabet is measured in its place."""
+    used = frozenset(candidate.rstrip("="))
+    alphabet = next(x for have, x in _ALPHABETS if used <= have)
+    size = 1 << max(4, (len(candidate) - 1).bit_length())
+    return novelty * min(len(candidate), marginal_bytes(_random(alphabet, size)[:len(candidate)], before, after))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, rank, end) of the base spans, sorted."""
     out = [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -103,7 +125,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: float = NO
     for z, a in last.items():
         s = text[a:z]
         if DIGIT.search(s) and LETTER.search(s):
-            if marginal_bytes(s.encode(), text[max(0, a - AROUND):a].encode(), text[z:z + AROUND].encode()) >= novelty * len(s):
+            before, after = text[max(0, a - AROUND):a].encode(), text[z:z + AROUND].encode()
+            if marginal_bytes(s.encode(), before, after) >= bound(s, before, after, novelty):
                 out.append((a, 3, z))
     return out
 
