@@ -360,11 +360,26 @@ def test_novel_spans_of_every_alphabet_and_length():
                 key = "7" + "".join(r.choices(alphabet, k=n - 2)) + alphabet[10]
                 text = f"{side} the token is {key} {side}"
                 a = text.index(key)
-                assert [z for _, _, z in zstd_secrets.novel_spans(text, [])] == [a + n], (alphabet, n, len(side))
+                assert zstd_secrets.novel_spans(text, []) == [(a, 3, a + n)], (alphabet, n, len(side))
     for name in ("config_version_release_2024", "client_secret_api_key_version_2023", "a1" * 300, "2020-01-01/application/json/2020-01-01"):
         assert zstd_secrets.novel_spans(f"{around[1]} the token is {name} {around[1]}", []) == []
 
 
+def test_novel_spans_keep_whole_keys():
+    """A sensitive word inside a key by chance does not cut it; keys without a digit are judged like others."""
+    key = "Zk9Qx2Lr7TwB4mVn8Yc3Hd5Gs6Jf1PqA0eUiNoXbpwdQxKvTzRmWnBpYdLsHgFc"
+    assert zstd_secrets.novel_spans(f"bearer {key}", []) == [(7, 3, 7 + len(key))]
+    assert zstd_secrets.novel_spans(f"bearer client_secret-{key}", []) == [(20, 3, 21 + len(key))]
+    r = random.Random(9)
+    for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"):
+        for _ in range(20):
+            assert zstd_secrets.novel_spans(f"the token is {''.join(r.choices(alphabet, k=16))} now", []) == [(13, 3, 29)]
+    text = "the token " + " ".join(f"token{k}token{k * 7919 % 9973}" for k in range(300)) + "".join(f"token{k * 7919 % 9973}" for k in range(9000))
+    t = time.perf_counter()
+    zstd_secrets.novel_spans(text, [])
+    assert time.perf_counter() - t < 60
+
+
 def test_empty_tables(spark):
     d = docs_of(spark, EDGE).where("1 = 0")
     for f in (context_pii.report, context_pii.redact, quality_cascade.judge, quality_cascade.keep_good, hyperminhash.near_duplicates, hyperminhash.keep_one,

@@ -6,7 +6,9 @@ strings of 16 or more key characters shortly after a sensitive word
 text around it with and without the candidate: the marginal bytes say how much of the candidate
 neither explains. Names, paths, versions and
 repeated values shrink to a few bytes; random keys stay near what random text of their alphabet
-and length takes in their place, and are reported as ``novel`` spans.
+and length takes in their place, and are reported as ``novel`` spans. Where sensitive words stand inside a run of key characters, the longest candidate
+that is novel counts. Words and numbers of 16 or more characters that nothing explains are novel too:
+compression cannot tell them from keys of letters or digits only.
 
 Defined results: null text is empty; repeated rows are scanned one by one; null doc_ids are
 returned; other columns are ignored; an empty table gives no rows.
@@ -18,7 +20,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from itertools import islice
 
 import pyarrow as pa
@@ -37,7 +39,7 @@ ASSIGN_MIN, ACCESS_MIN = 12, 18
 
 SENSITIVE = re.compile(r"(?:passphrase|password|passwd|pwd|secret|token|api[-_ ]?key|access[-_ ]?key|private[-_ ]?key|credential|bearer|authorization)", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-RUN, DIGIT, LETTER = re.compile(r"[A-Za-z0-9+/_=-]*"), re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]*")
 #: Code points between a sensitive word and a candidate; code points of text around a candidate that prime the dictionary.
 REACH, AROUND = 48, 512
 #: Marginal compressed bytes of a reported candidate, as a share of its bytes or of what random text of its alphabet takes.
@@ -59,6 +61,7 @@ IDENTIFIERS = (
 _LEVEL = 19
 
 
+@lru_cache(1024)
 def marginal_bytes(candidate: bytes, before: bytes, after: bytes) -> int:
     """What the candidate adds to the compressed size of the text around it, primed with identifiers."""
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -102,10 +105,24 @@ def _overlapped(taken: list[tuple[int, int]], k: int, a: int, z: int) -> bool:
     return False
 
 
+def _longest(text: str, starts: list[int], z: int, novelty: float) -> int | None:
+    """Where the longest novel candidate of the run that ends at ``z`` starts. Each piece of the run, from one start
+    to the next, is compressed once, after the text before it; a candidate is novel if its first piece is (one that
+    is explained, or a sensitive word alone, is a name in front of the key) and if the marginal bytes of all its pieces reach their bounds' sum."""
+    found, total, least, after = None, 0, 0.0, text[z:z + AROUND].encode()
+    for a, e in zip(reversed(starts), [z, *reversed(starts)]):
+        before = text[max(0, a - AROUND):a].encode()
+        n, b = marginal_bytes(text[a:e].encode(), before, after), bound(text[a:e], before, after, novelty)
+        total, least = total + n, least + b
+        if n >= b and total >= least and not SENSITIVE.fullmatch(text[a:e].lstrip("+/_=-")):
+            found = a
+    return found
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """Incompressible strings after sensitive words, outside the base spans. Where several sensitive words
-    stand in one run of key characters, the candidate is the one after the last of them."""
-    last: dict[int, int] = {}  # end of a candidate: its start
+    """Incompressible strings after sensitive words, outside the base spans: of each run of key characters the
+    longest, see ``_longest``."""
+    starts: dict[int, list[int]] = {}  # end of a run: where its candidates start
     taken = sorted((a, z) for a, _, z in base)
     k = run_end = 0
     for w in SENSITIVE.finditer(text):
@@ -120,15 +137,10 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: float = NO
                 run_end = run_end if z < run_end else RUN.match(text, z).end()
                 z = run_end
             if not _overlapped(taken, k, a, z):
-                last[z] = a
-    out = []
-    for z, a in last.items():
-        s = text[a:z]
-        if DIGIT.search(s) and LETTER.search(s):
-            before, after = text[max(0, a - AROUND):a].encode(), text[z:z + AROUND].encode()
-            if marginal_bytes(s.encode(), before, after) >= bound(s, before, after, novelty):
-                out.append((a, 3, z))
-    return out
+                at = starts.setdefault(z, [])
+                if not at or a > at[-1]:
+                    at.append(a)
+    return [(a, 3, z) for z, at in starts.items() if (a := _longest(text, at, z, novelty)) is not None]
 
 
 OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
