@@ -138,6 +138,30 @@ def test_schedule_deviates_less_than_a_block(seed):
     assert done == shares
 
 
+@pytest.mark.parametrize("n", [20, 100, 1000, 6000])
+def test_plan_deviates_less_than_a_block_from_the_targets(n):
+    """A source with a third of the weight, among many, over three times the 4096 slots of a former period."""
+    r = random.Random(n)
+    weights = {"hot": 1.0} | {f"s{i}": r.random() + 0.01 for i in range(n - 1)}
+    weights["hot"] = sum(weights.values(), -1.0) / 2
+    whole, done = sum(weights.values()), Counter()
+    for source, block, slot in pfair_mix.slots(pfair_mix.units(weights), dict.fromkeys(weights, 12288)):
+        assert block == done[source] and abs(done[source] - slot * weights[source] / whole) < 1
+        done[source] += 1
+        assert abs(done[source] - (slot + 1) * weights[source] / whole) < 1
+        if slot == 12287:
+            break
+    assert all(abs(done[k] - 12288 * w / whole) < 1 for k, w in weights.items())
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    d = spark.range(6000).selectExpr("id AS doc_id", "concat('s', id % 5000) AS source", "'t' AS text")
+    got = pfair_mix.mix(d, pfair_mix.tempered(d)).collect()
+    assert len(got) == 6000 and len({r["mix_place"] for r in got}) == 6000 and len({r["mix_slot"] for r in got}) == 5000
+    monkeypatch.setattr(pfair_mix, "PLAN_ROWS", 1000)  # a plan in pieces
+    assert rows(pfair_mix.mix(d, pfair_mix.tempered(d))) == sorted((tuple(r) for r in got), key=str)
+
+
 def test_mix_keeps_every_row_once(spark):
     d = docs_of(spark, [(i, f"t{i}") for i in range(900)], "hot").unionByName(docs_of(spark, [(i, None) for i in range(900, 1000)], "b")) \
         .unionByName(docs_of(spark, EDGE, None))

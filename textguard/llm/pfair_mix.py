@@ -6,10 +6,10 @@ may not start before slot floor(j / w) (its release) and must be done by slot ce
 first. At every slot each source then has had its weight's share of the slots, give or take
 less than one block.
 
-Weights are whole shares of ``UNITS`` slots (largest remainders), so the schedule repeats after
-UNITS slots in which a source with u units has exactly u blocks. One period is planned on the
-driver, a table of UNITS rows at any corpus size; block j of a source stands in period j div u at
-the slot of its (j mod u)-th block. Every document keeps its place in the mixture: a source that
+Weights are whole shares of 2**50 ``UNITS``, so releases and deadlines are exact integers and off the
+target weights by no more than one block in 2**50 slots. All blocks that there are (one for ``BLOCK_ROWS``
+rows) are planned on the driver, which holds one entry for each source; a plan of over ``PLAN_ROWS`` blocks is
+written to the shared folder in pieces. Every document keeps its place in the mixture: a source that
 runs out leaves its slots empty, and no document is dropped or repeated.
 
 A source's order is cut by leading hash bits into parts; part sizes give each part its offset, so
@@ -24,14 +24,19 @@ empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textguard.llm.common import named
+from textguard.llm.common import named, staged_path
 
-#: Slots of a period; also the most sources a mixture can name.
-UNITS = 4096
+#: What weights are whole shares of.
+UNITS = 1 << 50
+#: Blocks of a plan that is broadcast, and in a written piece of a larger one.
+PLAN_ROWS = 1 << 18
 BLOCK_ROWS = 64
 #: Rows aimed at in one part of a source's order.
 PART_ROWS = 5_000
@@ -47,22 +52,36 @@ def units(weights: dict[str, float], total: int = UNITS) -> dict[str, int]:
         raise ValueError(f"a mixture can name at most {total} sources")
     if min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
-    free, whole = total - len(weights), sum(weights.values())
-    exact = {k: free * w / whole for k, w in weights.items()}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    for k in sorted(weights, key=lambda k: (int(exact[k]) - exact[k], k))[:total - sum(out.values())]:
-        out[k] += 1
+    n, whole = len(weights), sum(weights.values())
+    exact = {k: total * w / whole for k, w in weights.items()}
+    out = {k: max(1, int(x)) for k, x in exact.items()}
+    spare = total - sum(out.values())
+    if spare > 0:
+        for i, k in enumerate(sorted(weights, key=lambda k: (out[k] - exact[k], k))):
+            out[k] += spare // n + (i < spare % n)
+    for k in sorted(weights, key=lambda k: (-out[k], k)):  # what the least shares of one took
+        if spare >= 0:
+            break
+        less = min(out[k] - 1, -spare)
+        out[k], spare = out[k] - less, spare + less
     return out
 
 
 def schedule(shares: dict[str, int]) -> list[tuple[str, int, int]]:
     """One period as (source, block, slot): earliest deadline first among the released blocks."""
+    return list(slots(shares, shares))
+
+
+def slots(shares: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) of the first blocks[k] blocks of each source k, by slot."""
     total = sum(shares.values())
-    waiting = [(0, k, 0) for k in sorted(shares)]  # release, source, block
+    waiting = [(0, k, 0) for k in sorted(shares) if blocks.get(k)]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, int, str, int]] = []
-    out = []
-    for slot in range(total):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])  # slots of sources that have run out
         while waiting and waiting[0][0] <= slot:
             _, k, j = heapq.heappop(waiting)
             deadline = -(-(j + 1) * total // shares[k])
@@ -70,19 +89,36 @@ def schedule(shares: dict[str, int]) -> list[tuple[str, int, int]]:
             overlap = (j + 1) * total // shares[k] < deadline
             heapq.heappush(ready, (deadline, 1 - overlap, k, j))
         _, _, k, j = heapq.heappop(ready)
-        out.append((k, j, slot))
-        if j + 1 < shares[k]:
+        yield k, j, slot
+        if j + 1 < blocks[k]:
             heapq.heappush(waiting, ((j + 1) * total // shares[k], k, j + 1))
-    return out
+        slot += 1
+
+
+def _planned(spark: SparkSession, shares: dict[str, int], blocks: dict[str, int], names: list[str]) -> DataFrame:
+    """The table of slots(), with the columns ``names``."""
+    found, path, kinds = slots(shares, blocks), None, [pa.string(), pa.int64(), pa.int64()]
+    while True:
+        rows = list(islice(found, PLAN_ROWS))
+        cols = zip(*rows) if rows else [[]] * 3
+        piece = spark.createDataFrame(pa.table({c: pa.array(v, t) for c, v, t in zip(names, cols, kinds)}))
+        if len(rows) < PLAN_ROWS and path is None:
+            return F.broadcast(piece)
+        path = path or staged_path(spark, "mix-plan")
+        piece.write.mode("append").parquet(path)
+        if len(rows) < PLAN_ROWS:
+            return spark.read.schema(piece.schema).parquet(path)
+
+
+def _counts(docs: DataFrame, null_name: str) -> dict[str, int]:
+    """Rows by source. One small row per source comes to the driver."""
+    return {r["s"]: r["count"] for r in docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit(null_name)).alias("s")).count().collect()}
 
 
 def tempered(docs: DataFrame, power: float = 0.7, null_name: str = "") -> dict[str, float]:
     """Target weights as the sources' row counts to a power under one, so large sources weigh less than
-    their size. One small row per source comes to the driver; more than UNITS sources are an error."""
-    n = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit(null_name)).alias("s")).count().limit(UNITS + 1).collect()
-    if len(n) > UNITS:
-        raise ValueError(f"a mixture can name at most {UNITS} sources")
-    return {r["s"]: r["count"] ** power for r in n}
+    their size."""
+    return {s: n ** power for s, n in _counts(docs, null_name).items()}
 
 
 def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_ROWS, null_name: str = "", seed: int = SEED,
@@ -90,19 +126,20 @@ def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_ROWS
     """``docs`` with mix_source, mix_block (of the source), mix_slot and mix_place (the row's place in the mixture's slots).
 
     order: the columns whose seeded hash orders a source's rows (doc_id, and text where there is one)."""
-    spark, names = docs.sparkSession, sorted(weights)
-    taken = [named(docs, c) for c in ("_s", "_h", "_part", "_before", "_n", "_u", "_j", "_slot")]
-    s, h, part, before, n, u, j, slot = taken
-    src = F.coalesce(F.col("source").cast("string"), F.lit(null_name))
-    d = docs.withColumn(s, F.when(src.isin(names), src).otherwise(F.lit(OTHER)))
+    spark = docs.sparkSession
+    s, h, part, before, n, slot = (named(docs, c) for c in ("_s", "_h", "_part", "_before", "_n", "_slot"))
+    counts = _counts(docs, null_name)
+    total, other = sum(counts.values()), sum(c for k, c in counts.items() if k not in weights)
+    d = docs.withColumn(s, F.coalesce(F.col("source").cast("string"), F.lit(null_name)))
+    if other:
+        known = spark.createDataFrame(pa.table({s: pa.array(sorted(weights), pa.string()), n: pa.array([True] * len(weights), pa.bool_())}))
+        d = d.join(F.broadcast(known), s, "left").withColumn(s, F.when(F.col(n), F.col(s)).otherwise(F.lit(OTHER))).drop(n)
+        if OTHER not in weights:
+            weights = {**weights, OTHER: min(weights.values(), default=1.0)}
     order = order or [c for c in ("doc_id", "text") if c in docs.columns]
     d = d.withColumn(h, F.shiftrightunsigned(F.xxhash64(F.lit(seed), *order), 1))
-    total, other = d.agg(F.count("*"), F.count_if(F.col(s) == OTHER)).first()
-    if other and OTHER not in weights:
-        weights = {**weights, OTHER: min(weights.values(), default=1.0)}
-    shares = units(weights)
-    period = sum(shares.values()) or 1
-    plan = spark.createDataFrame([(k, b, at, shares[k]) for k, b, at in schedule(shares)], f"{s} string, {j} long, {slot} long, {u} long")
+    held = {k: counts.get(k, 0) + (other if k == OTHER else 0) for k in weights}
+    plan = _planned(spark, units(weights), {k: -(-c // block_rows) for k, c in held.items()}, [s, "mix_block", slot])
     parts = max(1, -(-total // PART_ROWS))
     d = d.withColumn(part, F.floor(F.col(h) / F.lit(float(1 << 63)) * parts).cast("long"))
     sizes = d.groupBy(s, part).agg(F.count("*").alias("_c"))
@@ -110,10 +147,7 @@ def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_ROWS
     w = Window.partitionBy(s, part).orderBy(h, *order)
     d = d.withColumn(n, F.row_number().over(w) - 1).join(ahead.hint("shuffle_hash"), [s, part])
     d = d.withColumn(n, F.col(n) + F.col(before)).withColumn("mix_block", F.floor(F.col(n) / block_rows).cast("long"))
-    # both sides of the next joins have at most UNITS rows
-    d = d.join(F.broadcast(plan.select(s, u).distinct()), s).withColumn(j, F.col("mix_block") % F.col(u))
-    d = d.join(F.broadcast(plan.select(s, j, slot)), [s, j])
-    at = F.floor(F.col("mix_block") / F.col(u)).cast("long") * period + F.col(slot)
+    d, at = d.join(plan, [s, "mix_block"]), F.col(slot)
     return d.select(*docs.columns, F.col(s).alias("mix_source"), "mix_block", at.alias("mix_slot"),
                     (at * block_rows + F.col(n) % block_rows).cast("long").alias("mix_place"))
 
