@@ -220,6 +220,16 @@ def test_registers_estimate():
     assert hyperminhash.likely(regs[:1], regs[1:], n, n, 85)[0] and not hyperminhash.likely(regs[:1], hyperminhash.sketch(np.zeros(100, int), a, 1), n, n, 85)[0]
 
 
+@pytest.mark.parametrize("common,left,right", [(6, 0, 1), (7, 0, 1), (12, 1, 1), (17, 2, 1), (46, 6, 5)])
+def test_small_sets_share_a_band(common, left, right):
+    """Linked sets of few shingles, most of whose registers are filled from others."""
+    n = 20_000
+    h = np.random.default_rng(2).integers(0, 2 ** 64, (n, common + left + right), dtype=np.uint64)
+    x, y = h[:, :common + left], np.concatenate([h[:, :common], h[:, common + left:]], axis=1)
+    a, b = (hyperminhash.band_keys(hyperminhash.sketch(np.repeat(np.arange(n), s.shape[1]), s.ravel(), n)) for s in (x, y))
+    assert (a == b).any(axis=1).all()
+
+
 # --- 5
 def test_viterbi_finds_the_best_path_and_round_trips(spark):
     v = sentencepieces.load()
