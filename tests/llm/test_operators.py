@@ -267,6 +267,18 @@ def test_edited_texts_and_likeness(spark):
     assert by[40]["fingerprint"] == by[42]["fingerprint"] and by[40]["near_next"] < by[40]["near_edited"] < 1 and by[1]["near_next"] == 1.0
 
 
+def test_moved_halves_of_short_texts_are_less_alike(spark):
+    r = random.Random(8)
+    data = []
+    for n in (12, 50, 100):
+        for _ in range(20):
+            w = [f"w{x}" for x in r.sample(range(10 ** 6), n)]
+            data.append((n, " ".join(w), " ".join(w[n // 2:] + w[:n // 2])))
+    d = spark.createDataFrame(data, "n int, a string, b string").select("n", F.expr(order_minhash.fingerprint("a")).alias("a"), F.expr(order_minhash.fingerprint("b")).alias("b"))
+    got = {x["n"]: x["near"] for x in d.groupBy("n").agg(F.avg(order_minhash.likeness("a", "b")).alias("near")).collect()}
+    assert all(0.2 < v < 0.6 for v in got.values()), got
+
+
 # --- 7
 def brute_repeats(pairs, n):
     raw = [(t or "").encode() for _, t in pairs]

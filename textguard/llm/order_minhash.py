@@ -3,7 +3,8 @@
 A text's k-mers are its runs of ``WORDS_PER_MER`` words, each with its occurrence number, so the
 third copy of a k-mer is an element of its own. The hash of (k-mer, occurrence) deals the
 elements over ``SLOTS`` slots; in each slot the ``PICKS`` least hashes are selected, put back into
-text order, and their k-mers hashed as a tuple. Moving a passage therefore changes signatures
+text order, and their k-mers hashed as a tuple. A slot that gets fewer elements than that selects from
+all elements of the text, by a hash of its own, so short texts have tuples in every slot too. Moving a passage therefore changes signatures
 even when the set of k-mers stays the same, which plain MinHash does not notice: the likeness
 of two fingerprints, the share of equal slots among the slots used by either, falls with edit
 distance.
@@ -33,12 +34,12 @@ ROWS_PER_CUT, MAX_CUTS = 500, 4096
 
 
 #: An element is one long: a hash above, the place of its first word (in words) in the low bits.
-_PLACE_BITS = 24
+_PLACE_BITS = 30  # a string holds fewer words
 _PLACE, _HASH = (1 << _PLACE_BITS) - 1, -(1 << _PLACE_BITS)
 
 
 def fingerprint(text: str) -> str:
-    """SQL for the slots of column ``text``: an int per slot, 0 where the slot is not used."""
+    """SQL for the slots of column ``text``: an int per slot, all 0 for a text without words."""
     words = rf"filter(split({text}, r'[\x20\x09-\x0D]++', -1), x_ -> x_ != '')"
     mers = (f"transform(sequence(1, greatest(size(w_) - {WORDS_PER_MER - 1}, 1)), "
             f"i_ -> xxhash64({', '.join(f'try_element_at(w_, i_ + {k})' for k in range(WORDS_PER_MER))}))")
@@ -52,8 +53,12 @@ def fingerprint(text: str) -> str:
     heads = f"filter(sequence(0, size(t_) - 1), j_ -> j_ = 0 or {slot.format('t_[j_]')} != {slot.format('t_[j_ - 1]')})"
     # the least elements of a slot, put back into text order, as a tuple of k-mers
     picked = f"sort_array(transform(sequence(a_, least(a_ + {PICKS}, coalesce(try_element_at(f_, q_ + 2), size(t_))) - 1), j_ -> cast(t_[j_] & {_PLACE}L as int)))"
-    used = f"map_from_entries(transform(f_, (a_, q_) -> struct({slot.format('t_[a_]')} AS slot, hash(transform({picked}, i_ -> g_[i_])) AS v)))"
-    slots = let("f_", heads, let("m_", used, f"transform(sequence(0L, {SLOTS - 1}L), k_ -> coalesce(try_element_at(m_, k_), 0))"))
+    enough = f"coalesce(try_element_at(f_, q_ + 2), size(t_)) - a_ >= {PICKS}"
+    used = f"map_from_entries(transform(f_, (a_, q_) -> struct({slot.format('t_[a_]')} AS slot, if({enough}, hash(transform({picked}, i_ -> g_[i_])), null) AS v)))"
+    # of all elements, for a slot with too few
+    remixed = f"sort_array(transform(t_, x_ -> (xxhash64(x_ & {_HASH}L, k_) & {_HASH}L) | (x_ & {_PLACE}L)))"
+    least = f"sort_array(transform(slice({remixed}, 1, {PICKS}), x_ -> cast(x_ & {_PLACE}L as int)))"
+    slots = let("f_", heads, let("m_", used, f"transform(sequence(0L, {SLOTS - 1}L), k_ -> coalesce(try_element_at(m_, k_), hash(transform({least}, i_ -> g_[i_]))))"))
     body = let("g_", mers, let("s_", by_mer, let("r_", starts, let("t_", numbered, slots))))
     return let("w_", words, f"if(size(w_) = 0, array_repeat(0, {SLOTS}), {body})")
 
