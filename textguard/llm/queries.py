@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import (context_pii, hyperminhash, order_minhash, packing, pfair_mix, quality_cascade, sentencepieces, suffix_dedup, warc_segments,
-                           zstd_secrets)
+from textguard.llm import (context_pii, dialog_repair, hyperminhash, order_minhash, packing, pfair_mix, quality_cascade, sentencepieces, suffix_dedup,
+                           token_alignment, token_counts, warc_segments, zstd_secrets)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
 def op1_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_pii.report(_table(spark, sf_dir, "documents"))
 
@@ -60,9 +65,22 @@ def op10_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_dialog_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged, diagnosed and repaired."""
+    return dialog_repair.report(dialog_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=512)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_context_pii, op2_quality_cascade, op3_pfair_mix, op4_hyperminhash, op5_sentencepieces, op6_order_minhash, op7_suffix_dedup,
-    op8_warc_segments, op9_best_fit_packing, op10_zstd_secrets)}
+    op8_warc_segments, op9_best_fit_packing, op10_zstd_secrets, op11_dialog_repair, op12_token_counts, op13_token_alignment)}
 
 # The others need iteration, hashing, schedules or compression that SQL lacks; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {
