@@ -8,8 +8,15 @@ before an instance, the word after it, and both together are its lexical pattern
     pattern and kind:  sum of its instances' confidence / (number of its instances + 1)
     instance and kind: 1 for a seed, else 1 - product over its supported patterns of (1 - score)
 
-Patterns with enough seeds and a high score are trusted; unknown instances in a trusted context that look like an identifier of
-the kind are added as spans of kind ``ctx_<kind>`` (without punctuation at their ends). Base spans stay.
+Patterns with enough seeds and a high score are trusted. An unknown instance that looks like an identifier of the kind and
+whose confidence in trusted patterns reaches MIN_SCORE is discovered: from the next round on it counts as a seed, so a
+context in which only discovered instances stand can be trusted in turn. Unknown instances in a context trusted in
+the last round that look like an identifier of the kind are added as spans of kind ``ctx_<kind>`` (without
+punctuation at their ends). Base spans stay.
+
+Beyond the parameters: a run of digit groups with fewer or more digits than RUN_DIGITS is taken word by word, and
+a neighbouring word is only seen if it ends within REACH code points. All work inside a row is linear in its
+spans: candidates are held against base spans by a merge of the two sorted lists, texts are cut in blocks.
 
 Repeated matches restart only at the start of a run of word characters or at the end of the last
 match (``\\G``), which finds the same leftmost matches without rescanning long runs.
@@ -25,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.llm.common import staged
-from textguard.llm.sqlspans import let, literal, matches, running
+from textguard.llm.sqlspans import let, literal, matches, pieces, running, running_max
 
 # The base kinds in their order, as (kind, pattern, test of a match m_, cheap test of a text).
 _BYTE = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -111,36 +118,51 @@ def _edges(seen: DataFrame) -> DataFrame:
     return seen.select("word", F.explode(pats).alias("pattern")).distinct()
 
 
+SHAPE = " or ".join(f"(kind = '{k}' and {test})" for k, test in SHAPES.items())
+
+
 def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
     """(pattern, kind, score) of the trusted patterns. seen: (word, before, after, kinds), the kind of a base
     span (empty: unknown)."""
     edges = staged(_edges(seen), "pii-edges")
-    seeds = staged(seen.select("word", F.explode("kinds").alias("kind")).distinct(), "pii-seeds")
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    support = edges.join(seeds, "word").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    supported = staged(support.join(size, "pattern").where(F.col("seeds") >= 2), "pii-support")  # one seed says nothing about others
-    conf = seeds.withColumn("c", F.lit(1.0))
+    base = staged(seen.select("word", F.explode("kinds").alias("kind")).distinct(), "pii-seeds")
+    size = staged(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pii-sizes")
+    sure = base.select("word", "kind", F.lit(1.0).alias("c"), F.lit(1).alias("seed"))
+    conf = sure
     for i in range(rounds):
-        score = (edges.join(conf, "word").groupBy("pattern", "kind").agg(F.sum("c").alias("c"))
-                 .join(supported, ["pattern", "kind"]).select("pattern", "kind", "seeds", (F.col("c") / (F.col("n") + 1)).alias("score")))
-        score = staged(score, "pii-score")
+        # a pattern is supported by its base and discovered instances; one says nothing about others
+        score = staged(edges.join(conf, "word").groupBy("pattern", "kind").agg(F.sum("c").alias("c"), F.sum("seed").alias("seeds")).where("seeds >= 2")
+                       .join(size, "pattern").select("pattern", "kind", "seeds", (F.col("c") / (F.col("n") + 1)).alias("score")), "pii-score")
+        trusted = score.where((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score)).select("pattern", "kind", "score")
         if i < rounds - 1:
-            guess = (edges.join(score, "pattern").groupBy("word", "kind")
-                     .agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))).alias("c")))
-            guess = guess.join(seeds, ["word", "kind"], "left_anti")
-            conf = staged(seeds.withColumn("c", F.lit(1.0)).unionByName(guess), "pii-conf")
-    return score.where((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score)).select("pattern", "kind", "score")
+            sum_log = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score"))))
+            firm = F.sum(F.when((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score), F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))
+            guess = (edges.join(score, "pattern").groupBy("word", "kind").agg((1 - F.exp(sum_log)).alias("c"), (1 - F.exp(firm)).alias("sure"))
+                     .join(base, ["word", "kind"], "left_anti"))
+            found = F.coalesce((F.col("sure") >= min_score) & F.expr(SHAPE), F.lit(False))
+            conf = staged(sure.unionByName(guess.select("word", "kind", "c", found.cast("int").alias("seed"))), "pii-conf")
+    return trusted
+
+
+def _free(found: str, seen: str) -> str:
+    """SQL for the elements of ``seen`` that overlap none of the spans ``found``: both are merged by place, a running maximum of the
+    ends of the spans that start before a candidate's end tells whether one reaches into it."""
+    marks = (f"array_sort(concat(transform({seen}, (w_, i_) -> struct(w_.end AS at, 0 AS is_base, w_.start AS other, i_ AS i)), "
+             f"transform({found}, b_ -> struct(b_.start AS at, 1 AS is_base, b_.end AS other, -1 AS i))))")
+    tops = running_max("transform(marks_, x_ -> if(x_.is_base = 1, x_.other, 0))")
+    free = "filter(zip_with(marks_, tops_, (x_, t_) -> if(x_.is_base = 0 and t_ <= x_.other, x_.i, null)), v_ -> v_ is not null)"
+    return f"transform({let('marks_', marks, let('tops_', tops, free))}, v_ -> {seen}[v_])"
 
 
 def find_pii(docs: DataFrame, carry: list[str] | None = None, **limits) -> DataFrame:
     """doc_id, base (sorted base spans), spans (base and added, sorted) for every row of ``docs`` (doc_id,
-    text), with the columns ``carry`` of the input under their own names."""
-    carry = [c for c in (carry or []) if c != "doc_id"]
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    first = staged(d.select(F.monotonically_increasing_id().alias("_row"), "doc_id", *carry,
+    text), with the columns ``carry`` of the input in the struct ``row``."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in carry or ["doc_id"])).alias("row"),
+                    F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    first = staged(d.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "row",
                             F.expr(found_spans("_text")).alias("_found"), F.expr(candidates("_text")).alias("_seen")), "pii-first")
-    unknown = first.where("size(_seen) > 0").select("_row", "_found", F.explode("_seen").alias("w")) \
-        .where("not exists(_found, b -> b.start < w.end and w.start < b.end)").select("_row", "w.*")
+    free = F.when(F.size("_found") == 0, F.col("_seen")).otherwise(F.expr(_free("_found", "_seen")))
+    unknown = first.where("size(_seen) > 0").select("_row", free.alias("free")).select("_row", F.explode("free").alias("w")).select("_row", "w.*")
     known = first.where("size(_found) > 0").select(F.explode("_found").alias("b")).select("b.word", "b.before", "b.after", F.array("b.kind").alias("kinds"))
     trusted = trusted_patterns(known.unionByName(unknown.select("word", "before", "after", F.expr("cast(array() as array<string>)").alias("kinds"))), **limits)
     first = first.withColumn("_found", F.expr(bare("_found"))).withColumnRenamed("_found", "base")
@@ -149,7 +171,7 @@ def find_pii(docs: DataFrame, carry: list[str] | None = None, **limits) -> DataF
         ((F.col("before") != "") & (F.col("after") != ""), (F.lit("B "), "before", F.lit(" "), "after")))))
     rank = F.expr(" ".join(["case kind", *(f"when '{k[0]}' then {len(KINDS) + i}" for i, k in enumerate(KINDS)), "end"]))
     added = (unknown.select("_row", "start", "end", "word", F.explode(F.array_compact(keys)).alias("pattern")).join(trusted, "pattern")
-             .where(F.expr(" or ".join(f"(kind = '{k}' and {test})" for k, test in SHAPES.items())))
+             .where(F.expr(SHAPE))
              .groupBy("_row").agg(F.collect_set(F.struct("start", rank.alias("rank"), "end", F.concat(F.lit("ctx_"), "kind").alias("kind"))).alias("added")))
     some = first.where("size(_seen) > 0").drop("_seen").join(added, "_row", "left")
     none = first.where("size(_seen) = 0").drop("_seen").withColumn("added", F.lit(None).cast(SPAN))
@@ -167,15 +189,18 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by its kind in brackets (overlapping spans by the first
     one's) and n_chars, where there is such a column, counted anew."""
     cols = docs.columns
-    found = find_pii(docs, carry=[c for c in cols if c != "doc_id"])
-    # spans merged where they overlap: (start, end, kind)
-    merged = ("aggregate(spans, cast(array() as array<struct<start: int, end: int, kind: string>>), (acc, x) -> "
-              "if(size(acc) > 0 and x.start < element_at(acc, -1).end, "
-              "concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start AS start, greatest(x.end, element_at(acc, -1).end) AS end, element_at(acc, -1).kind AS kind))), "
-              "array_append(acc, struct(x.start AS start, x.end AS end, x.kind AS kind))))")
-    masked = let("s_", merged, "concat(array_join(transform(s_, (x, i) -> concat(substring(text, if(i = 0, 0, s_[i - 1].end) + 1, x.start - if(i = 0, 0, s_[i - 1].end)), '[', upper(x.kind), ']')), ''), "
-                 "substring(text, element_at(s_, -1).end + 1))")
-    out = found.withColumn("text", F.expr(f"if(size(spans) = 0, text, {masked})"))
+    found = find_pii(docs, carry=cols)
+    # a span that starts where no earlier one reaches begins a cluster of overlapping ones; places are the spans' numbers
+    heads = "filter(transform(spans, (x_, i_) -> if(i_ = 0 or x_.start >= ends_[i_ - 1], i_, null)), v_ -> v_ is not null)"
+    clusters = ("transform(heads_, (h_, k_) -> struct(spans[h_].start AS start, if(k_ + 1 < size(heads_), ends_[heads_[k_ + 1] - 1], ends_[size(ends_) - 1]) AS end, "
+                "spans[h_].kind AS kind))")
+    between = ("concat(transform(all_, (c_, k_) -> struct(if(k_ = 0, 0, all_[k_ - 1].end) AS start, c_.start AS end)), "
+               "array(struct(all_[size(all_) - 1].end AS start, length(row.text) AS end)))")
+    masked = let("ends_", running_max("transform(spans, x_ -> x_.end)"), let("heads_", heads, let("all_", clusters, let(
+        "kept_", pieces("row.text", between), "array_join(transform(kept_, (t_, k_) -> concat(t_, if(k_ < size(all_), concat('[', upper(all_[k_].kind), ']'), ''))), '')"))))
+    new = {"text": F.expr(f"if(size(spans) = 0, row.text, {masked})")}
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*cols)
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.size("spans") == 0, F.col("row.n_chars")).otherwise(F.length("new_text")).cast(kind)
+    out = found.withColumn("new_text", new["text"])
+    return out.select(*(F.col("new_text").alias(c) if c == "text" else new["n_chars"].alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in cols))

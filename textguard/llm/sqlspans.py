@@ -32,6 +32,25 @@ def running(values: str, block: int = 256) -> str:
     return let("vals_", values, f"if(size(vals_) = 0, vals_, {let('parts_', blocks, joined)})")
 
 
+def running_max(values: str, block: int = 256) -> str:
+    """Running maxima of an array of ints of 0 and more, block by block."""
+    def tops(array: str) -> str:
+        return f"aggregate({array}, cast(array() as array<int>), (acc_, v_) -> array_append(acc_, greatest(v_, coalesce(try_element_at(acc_, -1), 0))))"
+    blocks = f"transform(sequence(0, (size(vals_) - 1) div {block}), c_ -> {tops(f'slice(vals_, c_ * {block} + 1, {block})')})"
+    joined = let("tops_", tops("transform(parts_, x_ -> element_at(x_, -1))"),
+                 "flatten(transform(parts_, (x_, i_) -> transform(x_, v_ -> if(i_ = 0, v_, greatest(v_, tops_[i_ - 1])))))")
+    return let("vals_", values, f"if(size(vals_) = 0, vals_, {let('parts_', blocks, joined)})")
+
+
+def pieces(text: str, cuts: str) -> str:
+    """The pieces of a text between ascending places (an array of structs with start and end, code points, end exclusive), the last one to the
+    end of the text. ``substring`` walks a text from its start, so a piece is read from the blocks it lies in."""
+    between = let("b_", "x_.start div width_", "if(x_.end <= x_.start, '', substring(if((x_.end - 1) div width_ = b_, blocks_[b_], "
+                  "array_join(slice(blocks_, b_ + 1, (x_.end - 1) div width_ - b_ + 1), '')), x_.start - b_ * width_ + 1, x_.end - x_.start))")
+    blocks = f"transform(sequence(0, length({text}) div width_), k_ -> substring({text}, k_ * width_ + 1, width_))"
+    return let("width_", f"greatest(4096, cast(sqrt(length({text})) * 16 as int))", let("blocks_", blocks, f"transform({cuts}, x_ -> {between})"))
+
+
 def matches(text: str, regex: str, body: str) -> str:
     """Array with ``body`` for every match; body may use m_ (the match), s_ and e_ (its place), before_ and
     after_ (the pieces of text around it)."""
