@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import mix64, prefix_hash, range_hash, slices, small_batches, staged, utf8, words
+from textguard.llm.common import mix64, named, slices, small_batches, staged, utf8, word_hash, words
 from textguard.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -57,7 +57,7 @@ def shingles(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarra
     start, end, row = words(data, bounds)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    w = range_hash(prefix_hash(data), start, end)
+    w = word_hash(data, start, end)
     n_rows = len(bounds) - 1
     count = np.bincount(row, minlength=n_rows)
     first = np.cumsum(count) - count
@@ -405,8 +405,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
 def keep_one(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     """The rows of ``docs``, all columns, without the later members of near-duplicate groups."""
     verdict = near_duplicates(docs, size, percent)
-    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    lost = named(docs, "_gone")
+    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias(lost)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(lost), "left_anti")
 
 
 # DuckDB twin of near_duplicates() over the table documents (all pairs that share a shingle; small tables only).

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import prefix_hash, range_hash, slices, small_batches, utf8
+from textguard.llm.common import prefix_hash, range_hash, slices, small_batches, utf8, word_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -172,7 +172,7 @@ def encode(v: Pieces, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     cut[begin] = True
     start = np.flatnonzero(cut)
     length = np.diff(np.append(start, len(buf)))
-    key = range_hash(prefix_hash(buf), start, start + length)
+    key = word_hash(buf, start, start + length)
     _, first, which = np.unique(key, return_index=True, return_inverse=True)
     w_start, w_len = start[first], length[first]
     w_count, w_at = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
