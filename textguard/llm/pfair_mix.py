@@ -125,8 +125,10 @@ def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_ROWS
         order: list[str] | None = None) -> DataFrame:
     """``docs`` with mix_source, mix_block (of the source), mix_slot and mix_place (the row's place in the mixture's slots).
 
-    order: the columns whose seeded hash orders a source's rows (doc_id, and text where there is one)."""
+    order: the columns whose seeded hash orders a source's rows (doc_id, and text where there is one). Columns of ``docs`` named
+    like one of the four are replaced."""
     spark = docs.sparkSession
+    docs = docs.drop("mix_source", "mix_block", "mix_slot", "mix_place")
     s, h, part, before, n, slot = (named(docs, c) for c in ("_s", "_h", "_part", "_before", "_n", "_slot"))
     counts = _counts(docs, null_name)
     total, other = sum(counts.values()), sum(c for k, c in counts.items() if k not in weights)
@@ -154,5 +156,6 @@ def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_ROWS
 
 def reorder(docs: DataFrame, weights: dict[str, float] | None = None, **how) -> DataFrame:
     """``docs``, all rows and columns, written out in the order of the mixture."""
-    cols = docs.columns
-    return mix(docs, weights or tempered(docs), **how).repartitionByRange("mix_place").sortWithinPartitions("mix_place").select(*cols)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "source")  # so no column can clash
+    how = {"order": [f"row.{c}" for c in ("doc_id", "text") if c in docs.columns], **how}
+    return mix(packed, weights or tempered(docs), **how).repartitionByRange("mix_place").sortWithinPartitions("mix_place").select("row.*")
