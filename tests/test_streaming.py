@@ -1,6 +1,8 @@
 """Streaming jobs against their batch equivalents (availableNow triggers, temp folders)."""
 
+import datetime
 import os
+import random
 import tempfile
 import uuid
 
@@ -75,3 +77,51 @@ def test_newest_events_over_batches_and_a_retry(spark):
     want = ev.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(50)
     assert sorted(r["event_id"] for r in W.read_newest_events(spark, out).collect()) == sorted(r["event_id"] for r in want.collect())
     assert sorted(os.listdir(out)) == ["slot0", "slot1"]
+
+
+TURN_FLAGS = ", ".join(f"{f} boolean" for f in W.FLAGS)
+
+
+def _minutes(n):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=n)
+
+
+def _replay(files, ttl, delay):
+    """Batches in turn: rows at or behind the watermark of the batch before are late, then spells whose time is up end."""
+    state, out, mark, newest = {}, [], None, None
+    for rows in [*files, []]:  # a last batch without rows lets the final watermark act
+        late, mark = mark, None if newest is None else newest - delay
+        for conv, turn, minute, flagged in rows:
+            if late is None or minute > late:
+                s = state.setdefault(conv, [None, 0, 0, minute, None])
+                s[1], s[2], s[3] = s[1] + 1, s[2] + flagged, max(s[3], minute)
+                if s[0] is None or turn >= s[0]:
+                    s[0], s[4] = turn, flagged
+            newest = minute if newest is None else max(newest, minute)
+        for conv in [c for c, s in state.items() if mark is not None and s[3] + ttl <= mark]:
+            out.append((conv, *state.pop(conv)))
+    return sorted(out), len(state)
+
+
+def test_conversation_spells_expire_and_state_stays_small(spark):
+    rng = random.Random(4)
+    files = []
+    for k in range(8):  # a file covers 100 minutes; conversations pause, some turns come two files late
+        rows = [(c, 10 * k + t, 100 * k + rng.randint(0, 99) - 200 * (rng.random() < 0.1), rng.random() < 0.3)
+                for c in range(40) if rng.random() < 0.5 for t in range(rng.randint(1, 4))]
+        files.append(rows)
+    files.append([(999, 0, 5000, False)])
+    src = tempfile.mkdtemp(prefix="tg-turns-")
+    for rows in files:
+        data = [(c, t, _minutes(m), f, False, False, False, False) for c, t, m, f in rows]
+        spark.createDataFrame(data, "conv_id long, turn long, ts timestamp, " + TURN_FLAGS).coalesce(1).write.mode("append").parquet(src)
+    n_w4 = _name("w4s")
+    with W.rocksdb_state(spark):
+        stream = W.read_stream(spark, src, "conv_id long, turn long, ts timestamp, " + TURN_FLAGS, max_files=1)
+        q = W.start(W.conversation_sessions(stream, "45 minutes 30 seconds", "20 minutes"), n_w4, "append", "memory")
+        _drain(q)
+    want, left = _replay(files, 45.5, 20)
+    got = sorted((r.conv_id, r.last_turn, r.turns, r.flagged_turns, (r.last_ts - datetime.datetime(2024, 1, 1)).total_seconds() / 60, r.is_flagged)
+                 for r in spark.table(n_w4).collect())
+    assert got == want and len(want) > 40 and left == 1
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8  # the one open conversation: its row and its timer

@@ -12,6 +12,7 @@ character classes.
 from __future__ import annotations
 
 from textguard.functions import lexicons as L
+from textguard.sources.planted import sparse_turns_sql
 
 WS = (r"\t\n\x0B\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
@@ -471,10 +472,10 @@ def pipeline_ctes(planted_sql: str) -> str:
     messages), ``evts`` (security events) and ``convs`` (conversation roll-up)."""
     turns = (f"turns AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL "
              f"SELECT doc_id, 0::BIGINT, 'user', text FROM {planted_sql} UNION ALL "
-             f"SELECT doc_id, 1::BIGINT, 'assistant', text FROM {planted_sql})")
-    pairs = ("pairs AS (SELECT t.conv_id, t.turn, t.role, t.text, n.role AS next_role, n.text AS next_text, "
-             "CASE WHEN n.role = 'assistant' THEN n.text END AS reply FROM turns t LEFT JOIN turns n "
-             "ON n.conv_id = t.conv_id AND n.turn = t.turn + 1 WHERE t.role = 'user')")
+             f"SELECT doc_id, 1::BIGINT, 'assistant', text FROM {planted_sql} UNION ALL SELECT * FROM {sparse_turns_sql()})")
+    pairs = ("follow AS (SELECT *, lead(turn) OVER w AS next_turn, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text "
+             "FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), "
+             "pairs AS (SELECT *, CASE WHEN next_role = 'assistant' THEN next_text END AS reply FROM follow WHERE role = 'user')")
     chains = [
         namespaced(prompt_ctes("pairs").strip(), "p"),
         namespaced(response_ctes("pairs").strip(), "q"),
@@ -482,7 +483,7 @@ def pipeline_ctes(planted_sql: str) -> str:
         namespaced(output_filter_ctes("pairs", "reply").strip(), "o"),
         namespaced(response_ctes("pairs", "reply").strip(), "r"),
     ]
-    ex = """ex AS (SELECT x.conv_id, x.turn, x.text, x.reply,
+    ex = """ex AS (SELECT x.conv_id, x.turn, x.next_turn, x.text, x.reply,
     p.pa_flagged AS refused, p.pa_pii, p.pa_jb_score, p.pa_expl,
     q.ra_tox AS ptox, q.ra_score AS ptox_score, q.ra_expl AS ptox_expl,
     (len(v.mspans) > 0 OR len(v.api_keys) > 0 OR len(v.passwords) > 0) AS pii_found,
@@ -510,8 +511,8 @@ ex2 AS (SELECT *, CASE WHEN pii_found THEN (CASE WHEN pa_expl IS NULL THEN 'PII
     CAST(NULL AS VARCHAR) AS sanitization_strategy, map_types
   FROM ex2 WHERE NOT refused
   UNION ALL
-  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn + 1 AS VARCHAR), conv_id, turn + 1, 'ASSISTANT', {final},
-    {ts_of('conv_id', 'turn + 1')}, of_flagged OR r_flagged, CAST(NULL AS DOUBLE),
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(next_turn AS VARCHAR), conv_id, next_turn, 'ASSISTANT', {final},
+    {ts_of('conv_id', 'next_turn')}, of_flagged OR r_flagged, CAST(NULL AS DOUBLE),
     CASE WHEN tox_det THEN tox_score WHEN r_tox THEN r_score END, FALSE, coalesce(of_expl, r_expl),
     CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0, CASE WHEN any_det THEN reply END, bias_det, bias_score, jb_det,
     jb_score, any_det, CASE WHEN any_det THEN of_sev END, of_strategy, []::VARCHAR[]

@@ -1,8 +1,8 @@
 """Guarded chat pipeline (P1-P5, J3, J4, S3-S5, A14) over a table of conversation turns.
 
-Input: ``turns(conv_id, turn, role, text)`` where ``turn`` is the 0-based position in the
-conversation (dense, as in the conversations table). The reply a user turn got is the
-turn right after it when that turn is an assistant turn.
+Input: ``turns(conv_id, turn, role, text)`` where ``turn`` orders the turns of a conversation; numbers
+may have gaps. The reply a user turn got is the turn right after it when that turn is an assistant
+turn; it is stored under that turn's own number and time.
 
 Plan shape: one equi-join on the composite key (conv_id, turn) pairs each turn with the
 next; hashing on both columns spreads even a conversation that holds a third of all rows
@@ -21,8 +21,6 @@ from textguard.functions.text import truncate_with_ellipsis
 from textguard.operators import outfilter as OF
 from textguard.operators import pii as P
 from textguard.operators import screen as S
-from textguard.sources.planted import planted_df
-from textguard.sources.tables import read_table
 
 EPOCH_2024 = 1704067200  # 2024-01-01 00:00:00 UTC
 USER_BUCKETS = 100       # derived owner: user_id = conv_id mod 100
@@ -37,25 +35,12 @@ def derived_user(conv_id: Column) -> Column:
     return F.pmod(conv_id, F.lit(USER_BUCKETS)).cast("bigint")
 
 
-def pipeline_turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations plus each planted text as a two-turn conversation (user, then the
-    same text as the assistant reply), so every rule meets the pipeline."""
-    conv = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    pl = planted_df(spark)
-    planted = (pl.select(F.col("doc_id").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"),
-                         F.lit("user").alias("role"), "text")
-               .unionByName(pl.select(F.col("doc_id").alias("conv_id"), F.lit(1).cast("bigint").alias("turn"),
-                                      F.lit("assistant").alias("role"), "text")))
-    # no spreading here: the pairing join hash-partitions the turns on (conv_id, turn) anyway
-    return conv.unionByName(planted)
-
-
 #: Turn numbers that one task orders at once when turns are paired.
 TURN_BLOCK = 4096
 
 
 def pair_turns(turns: DataFrame) -> DataFrame:
-    """Every turn with the role and text of the turn after it in order (NULL at the end); numbers may
+    """Every turn with the number, role and text of the turn after it in order (NULL at the end); numbers may
     have gaps. Only numbers are ordered, in blocks, so a very long conversation is not one task's window; a
     block's last number gets its successor from the conversation's next block. Texts meet on (conv_id,
     turn), which spreads such a conversation over all partitions."""
@@ -65,7 +50,8 @@ def pair_turns(turns: DataFrame) -> DataFrame:
     far = heads.select("conv_id", "_blk", F.lead("_head").over(Window.partitionBy("conv_id").orderBy("_blk")).alias("_far"))
     link = near.join(far, ["conv_id", "_blk"], "left").select("conv_id", F.col("turn").alias("_before"), F.coalesce("_near", "_far").alias("turn"))
     nxt = turns.select("conv_id", "turn", F.col("role").alias("next_role"), F.col("text").alias("next_text"))
-    nxt = link.where(F.col("turn").isNotNull()).join(nxt, ["conv_id", "turn"]).select("conv_id", F.col("_before").alias("turn"), "next_role", "next_text")
+    nxt = link.where(F.col("turn").isNotNull()).join(nxt, ["conv_id", "turn"]).select(
+        "conv_id", F.col("_before").alias("turn"), F.col("turn").alias("next_turn"), "next_role", "next_text")
     return turns.join(nxt, ["conv_id", "turn"], "left")
 
 
@@ -96,13 +82,6 @@ def _prompt_expl() -> Column:
                   .otherwise(F.concat(e, F.lit(L.EXPL_SEP), F.lit(L.EXPL_PII_MASKED)))).otherwise(e)
 
 
-MESSAGE_COLUMNS = ["id", "conversation_id", "turn", "role", "content", "created_at", "is_flagged", "jailbreak_score",
-                   "toxicity_score", "pii_detected", "explanation", "original_content", "masked_content",
-                   "n_mappings", "pii_mappings", "filtered_content", "bias_detected", "bias_score",
-                   "jailbreak_detected_in_output", "jailbreak_score_in_output", "filter_analysis",
-                   "sanitization_strategy"]
-
-
 def stored_messages(ex: DataFrame) -> DataFrame:
     """S3 + S4: the message rows the pipeline stores (none for refused prompts)."""
     ok = ex.filter(~F.col("refused"))
@@ -132,10 +111,10 @@ def stored_messages(ex: DataFrame) -> DataFrame:
     of, rt = F.col("of"), F.col("rtox")
     any_det = of["is_flagged"] | of["toxicity_detected"] | of["bias_detected"] | of["jailbreak_detected"]
     reply = ok.filter(F.col("reply").isNotNull()).select(
-        F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") + 1).cast("string")).alias("id"),
-        F.col("conv_id").alias("conversation_id"), (F.col("turn") + 1).alias("turn"), F.lit("ASSISTANT").alias("role"),
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("next_turn").cast("string")).alias("id"),
+        F.col("conv_id").alias("conversation_id"), F.col("next_turn").alias("turn"), F.lit("ASSISTANT").alias("role"),
         OF.final_text(F.col("reply"), of).alias("content"),
-        message_time(F.col("conv_id"), F.col("turn") + 1).alias("created_at"),
+        message_time(F.col("conv_id"), F.col("next_turn")).alias("created_at"),
         (of["is_flagged"] | rt["is_flagged"]).alias("is_flagged"),
         F.lit(None).cast("double").alias("jailbreak_score"),
         F.when(of["toxicity_detected"], of["toxicity_score"])

@@ -16,7 +16,7 @@ from textguard.plans import oracle_sql as O
 from textguard.plans import tables as T
 from textguard.plans.catalog import register
 from textguard.plans.q_outfilter import DOCS_SQL, docs_with_planted
-from textguard.plans.q_pipeline import TS_FMT, conversations, messages, pipe_with
+from textguard.plans.q_pipeline import TS_FMT, contract_turns, conversations, messages, pipe_with
 from textguard.plans.q_stats import ELOG, event_log, oracle
 from textguard.sources.tables import read_table, spread_for_cpu
 
@@ -87,7 +87,7 @@ def schema_evolve(spark: SparkSession, sf: str) -> DataFrame:
     them), as rows of the first message schema, merged with the stored messages into the
     second schema; added flags default to FALSE."""
     m = messages(spark, sf)
-    raw = read_table(spark, sf, "conversations")
+    raw = contract_turns(spark, sf)
     legacy = (raw.join(m.select(F.col("conversation_id").alias("conv_id"), "turn"), ["conv_id", "turn"], "left_anti")
                  .select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
                          F.upper("role").alias("role"), F.col("text").alias("content"), F.lit("v1").alias("schema")))
@@ -102,7 +102,7 @@ oracle("schema_evolve", W + """
 SELECT CAST(c.conv_id AS VARCHAR) || '-' || CAST(c.turn AS VARCHAR) AS id, upper(c.role) AS role, c.text AS content,
   'v1' AS schema, FALSE AS bias_detected, CAST(NULL AS DOUBLE) AS bias_score, FALSE AS jailbreak_detected_in_output,
   CAST(NULL AS VARCHAR) AS sanitization_strategy, CAST(NULL AS VARCHAR) AS original_content
-FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM msgs m WHERE m.conversation_id = c.conv_id AND m.turn = c.turn)
+FROM turns c WHERE NOT EXISTS (SELECT 1 FROM msgs m WHERE m.conversation_id = c.conv_id AND m.turn = c.turn)
 UNION ALL SELECT id, role, content, 'v2', coalesce(bias_detected, FALSE), bias_score, coalesce(jailbreak_detected_in_output, FALSE),
   sanitization_strategy, CAST(NULL AS VARCHAR) FROM msgs""")
 

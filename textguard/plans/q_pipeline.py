@@ -13,7 +13,8 @@ from textguard.plans import oracle_sql as O
 from textguard.plans import pipeline as PL
 from textguard.plans.catalog import register
 from textguard.session import ensure_checkpoint_dir
-from textguard.sources.planted import planted_values_sql
+from textguard.sources.planted import planted_turns, planted_values_sql
+from textguard.sources.tables import read_table
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
 
@@ -26,6 +27,11 @@ def pipe_with() -> str:
 _WRITTEN: dict[tuple, str] = {}
 
 
+def contract_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations and the planted ones, so every rule meets the pipeline."""
+    return read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted_turns(spark))
+
+
 def _state(spark: SparkSession, sf: str) -> tuple:
     """What identifies the content of the conversations table: its rows, files and newest change (no column is read)."""
     t = spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet")
@@ -40,7 +46,7 @@ def exchanges(spark: SparkSession, sf: str) -> DataFrame:
     path = _WRITTEN.get(key)
     if path is None:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/audit-{uuid.uuid4().hex}"
-        PL.guarded_exchanges(PL.pipeline_turns(spark, sf)).write.parquet(path)
+        PL.guarded_exchanges(contract_turns(spark, sf)).write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(path)
 
@@ -58,23 +64,19 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return PL.security_events(exchanges(spark, sf))
 
 
-TURN_PAIRS_SQL = ("WITH turns AS (SELECT conv_id, turn, role, text FROM conversations)\n"
-                  "SELECT t.conv_id, t.turn, t.role, n.role AS next_role, n.text AS next_text, "
-                  "(t.role = 'user' AND coalesce(n.role = 'assistant', FALSE)) AS is_exchange "
-                  "FROM turns t LEFT JOIN turns n ON n.conv_id = t.conv_id AND n.turn = t.turn + 1")
-
-
-@register("turn_pairs", TURN_PAIRS_SQL)
+@register("turn_pairs")
 def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each turn with the turn after it; an exchange is a user turn answered by the assistant."""
-    from textguard.sources.tables import read_table
-    turns = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    p = PL.pair_turns(turns)
-    return p.select("conv_id", "turn", "role", "next_role", "next_text",
+    p = PL.pair_turns(contract_turns(spark, sf))
+    return p.select("conv_id", "turn", "role", F.col("next_turn").cast("string").alias("next_turn"), "next_role", "next_text",
                     ((F.col("role") == "user") & F.coalesce(F.col("next_role") == "assistant", F.lit(False)))
                     .alias("is_exchange"))
 
 
+TURN_PAIRS_SQL_TAIL = """
+SELECT conv_id, turn, role, CAST(next_turn AS VARCHAR) AS next_turn, next_role, next_text, (role = 'user' AND coalesce(next_role = 'assistant', FALSE)) AS is_exchange FROM follow"""
+
+
 MSG_SELECT = ("id, conversation_id, turn, role, content, " + O.tstr("created_at") + " AS created_at, is_flagged, "
               "jailbreak_score, toxicity_score, pii_detected, explanation, original_content, masked_content, n_mappings, "
               "filtered_content, bias_detected, bias_score, jailbreak_detected_in_output, jailbreak_score_in_output, "
@@ -152,7 +154,7 @@ WHERE role = 'USER'"""
 @register("basic_messages")
 def basic_messages(spark: SparkSession, sf: str) -> DataFrame:
     """P5: the simple pipeline - prompt screen and lexicon screens only, per exchange."""
-    ex = PL.basic_exchanges(PL.pipeline_turns(spark, sf))
+    ex = PL.basic_exchanges(contract_turns(spark, sf))
     return ex.select("conv_id", "turn", F.col("pa.is_flagged").alias("prompt_flagged"),
                      F.col("pa.jailbreak_score").alias("jailbreak_score"), F.col("pa.pii_detected").alias("pii_detected"),
                      F.col("ptox.toxicity_detected").alias("prompt_toxic"),
@@ -169,6 +171,7 @@ FROM ex2"""
 def _finish_oracles():
     from textguard.plans.catalog import ORACLES
     w = pipe_with()
+    ORACLES["turn_pairs"] = w + TURN_PAIRS_SQL_TAIL
     ORACLES["guarded_messages"] = w + "SELECT " + MSG_SELECT + " FROM msgs"
     ORACLES["security_events_emit"] = w + "SELECT " + EVT_SELECT + " FROM evts"
     ORACLES["conversation_rollup"] = w + "SELECT " + CONV_SELECT + " FROM convs"

@@ -23,7 +23,7 @@ ELOG = """, elog AS (SELECT event_id AS id, ts AS timestamp, event_type AS type,
 LOGS = """, logs AS (
   SELECT 'prompt_analysis' AS type, conv_id, turn, text AS content, refused AS is_flagged, refused AS jailbreak_detected,
          pa_pii AS pii_detected, CAST(NULL AS BOOLEAN) AS toxicity_detected, pa_jb_score AS score FROM ex2
-  UNION ALL SELECT 'response_analysis', conv_id, turn + 1, reply, r_flagged, NULL, NULL, r_tox, r_score FROM ex2
+  UNION ALL SELECT 'response_analysis', conv_id, next_turn, reply, r_flagged, NULL, NULL, r_tox, r_score FROM ex2
     WHERE reply IS NOT NULL
   UNION ALL SELECT type, source_conv_id, turn, message, is_flagged, NULL, NULL, NULL, NULL FROM evts)"""
 MSG_ASOF = "(SELECT max(created_at) FROM msgs)"

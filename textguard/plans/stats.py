@@ -53,7 +53,7 @@ def security_logs(ex: DataFrame, events: DataFrame) -> DataFrame:
                        F.col("pa.pii_detected").alias("pii_detected"),
                        F.col("pa.jailbreak_score").alias("score"))
     response = ex.filter(F.col("reply").isNotNull()).select(
-        F.lit("response_analysis").alias("type"), F.col("conv_id"), (F.col("turn") + 1).alias("turn"),
+        F.lit("response_analysis").alias("type"), F.col("conv_id"), F.col("next_turn").alias("turn"),
         F.col("reply").alias("content"), F.col("rtox.is_flagged").alias("is_flagged"),
         F.col("rtox.toxicity_detected").alias("toxicity_detected"), F.col("rtox.toxicity_score").alias("score"))
     evs = events.select(F.col("type"), F.col("source_conv_id").alias("conv_id"), "turn",

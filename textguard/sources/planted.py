@@ -56,6 +56,15 @@ PLANTED_TEXTS = [
     (-44, "Server 192.168.0.1 and zip 10001-2345 near 5 plus 3"),
 ]
 
+# FIXED VALUES: a conversation whose turn numbers have gaps, as (conv_id, turn, role, text).
+SPARSE_TURNS = [
+    (-100, 0, "user", "Hello, is anyone there?"),
+    (-100, 5, "assistant", "Yes. Go to hell."),
+    (-100, 9, "user", "Mail jane.roe@corp.io now"),
+    (-100, 12, "assistant", "Done."),
+    (-100, 40, "user", "Thanks."),
+]
+
 PLANTED_SCHEMA = "doc_id bigint, text string"
 
 
@@ -71,3 +80,15 @@ def planted_values_sql(id_col: str = "doc_id", text_col: str = "text") -> str:
         return "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({i}::BIGINT, {lit(t)})" for i, t in PLANTED_TEXTS)
     return f"(SELECT * FROM (VALUES {rows}) AS v({id_col}, {text_col}))"
+
+
+def planted_turns(spark: SparkSession) -> DataFrame:
+    """Each planted text as a conversation of two turns (user, then the same text as the reply), and the sparse one."""
+    rows = [(i, k, role, t) for i, t in PLANTED_TEXTS for k, role in enumerate(("user", "assistant"))]
+    return spark.createDataFrame(rows + SPARSE_TURNS, "conv_id bigint, turn bigint, role string, text string").coalesce(1)
+
+
+def sparse_turns_sql() -> str:
+    """The sparse conversation as a DuckDB VALUES relation."""
+    rows = ", ".join(f"({c}::BIGINT, {n}::BIGINT, '{role}', '{text}')" for c, n, role, text in SPARSE_TURNS)
+    return f"(SELECT * FROM (VALUES {rows}) AS v(conv_id, turn, role, text))"

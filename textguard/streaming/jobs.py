@@ -10,9 +10,13 @@ Late data: rows older than the watermark are dropped (the reference defines none
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from textguard.operators import outfilter as OF
 from textguard.operators import pii as P
@@ -34,10 +38,10 @@ def read_stream(spark: SparkSession, path: str, schema: str, max_files: int | No
     return r.parquet(path)
 
 
-def guard_turns(turns: DataFrame) -> DataFrame:
+def guard_turns(turns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Score turns as they arrive - stateless, so it is the batch column logic as is.
     User turns get the prompt screen, prompt toxicity and masking; assistant turns get the
-    output filter and the legacy response screen."""
+    output filter and the legacy response screen. ``keep`` names further columns to pass on."""
     t = S.with_screen_views(turns, "text")
     t = S.with_prompt_analysis(t, "text", "pa", staged=True)
     t = S.with_response_analysis(t, "text", "tox", staged=True).drop(*S.SCREEN_TMP)
@@ -45,7 +49,7 @@ def guard_turns(turns: DataFrame) -> DataFrame:
     t = OF.with_output_filter(t, "text", "of")
     is_user = F.col("role") == "user"
     return t.select(
-        "conv_id", "turn", "role",
+        "conv_id", "turn", "role", *keep,
         F.when(is_user, F.col("pa.is_flagged")).otherwise(F.col("of.is_flagged") | F.col("tox.is_flagged")).alias("is_flagged"),
         F.when(is_user, F.col("pa.jailbreak_detected")).otherwise(F.lit(False)).alias("jailbreak_detected"),
         F.when(is_user, F.col("priv.pii_detected") | F.col("priv.secrets_detected")).otherwise(F.lit(False)).alias("pii_detected"),
@@ -68,6 +72,17 @@ def activity_windows(events: DataFrame, watermark: str = "10 minutes", size: str
                           "active_users", "errors"))
 
 
+def closed_activity(events: DataFrame, watermark: str = "10 minutes", size: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """W2 in append mode: active users and error events per sliding window, once the window has closed. Users are counted
+    exactly by two aggregates in a row (window and user, then window); both drop their state with the watermark."""
+    per_user = (events.withWatermark("ts", watermark)
+                      .groupBy(F.window("ts", size, slide).alias("w"), "user_id")
+                      .agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count(F.lit(1)).alias("events")))
+    return (per_user.groupBy("w")
+                    .agg(F.count("user_id").alias("active_users"), F.sum("errors").alias("errors"), F.sum("events").alias("events"))
+                    .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "active_users", "errors", "events"))
+
+
 def daily_threats(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Flagged (error) events per day, emitted once the day has closed."""
     return (events.withWatermark("ts", watermark)
@@ -87,6 +102,73 @@ def conversation_state(scored_turns: DataFrame) -> DataFrame:
                         .select("conv_id", "last_turn", "turns", "flagged_turns", "latest.*"))
 
 
+FLAGS = ("is_flagged", "pii_detected", "toxicity_detected", "bias_detected", "jailbreak_detected_in_output")
+SESSION_SCHEMA = ("conv_id bigint, last_turn bigint, turns bigint, flagged_turns bigint, last_ts timestamp, "
+                  + ", ".join(f"{f} boolean" for f in FLAGS))
+
+
+class SessionState(StatefulProcessor):
+    """State of one conversation: the flags of its highest turn and running totals, one row. A timer ``ttl_ms`` after its newest
+    turn emits the row and clears the state, so state lasts as long as a conversation is active."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.row = handle.getValueState("row", "last_turn long, turns long, flagged long, last_us long, " + ", ".join(f"{f} boolean" for f in FLAGS))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last_turn, turns, flagged, last_us, flags = None, 0, 0, None, ()
+        if self.row.exists():
+            last_turn, turns, flagged, last_us, *flags = self.row.get()
+            self.handle.deleteTimer(self._expiry(last_us))
+        for pdf in rows:
+            turns, flagged = turns + len(pdf), flagged + int(pdf["is_flagged"].fillna(False).astype(bool).sum())
+            top = pdf.loc[pdf["turn"].idxmax()]
+            if last_turn is None or top["turn"] >= last_turn:
+                last_turn, flags = int(top["turn"]), [None if pd.isna(top[f]) else bool(top[f]) for f in FLAGS]
+            newest = int(pdf["us"].max())
+            last_us = newest if last_us is None else max(last_us, newest)
+        self.row.update((last_turn, turns, flagged, last_us, *flags))
+        self.handle.registerTimer(self._expiry(last_us))
+        return iter(())
+
+    def _expiry(self, last_us: int) -> int:
+        return last_us // 1000 + self.ttl_ms
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last_turn, turns, flagged, last_us, *flags = self.row.get()
+        self.row.clear()
+        yield pd.DataFrame({"conv_id": [key[0]], "last_turn": [last_turn], "turns": [turns], "flagged_turns": [flagged],
+                            "last_ts": [pd.Timestamp(last_us, unit="us")], **{f: [v] for f, v in zip(FLAGS, flags)}})
+
+    def close(self) -> None:
+        pass
+
+
+def conversation_sessions(scored_turns: DataFrame, ttl: str = "30 minutes", watermark: str = "10 minutes") -> DataFrame:
+    """W4 with expiry: a row per conversation and spell of activity, emitted when the watermark is ``ttl`` past its newest
+    turn (column ts); a turn after that opens a new spell, a turn behind the watermark is dropped. Needs the RocksDB
+    state store (``rocksdb_state``)."""
+    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    rows = scored_turns.select("conv_id", "turn", "ts", *FLAGS, F.unix_micros("ts").alias("us")).withWatermark("ts", watermark)
+    return rows.groupBy("conv_id").transformWithStateInPandas(SessionState(ttl_ms), outputStructType=SESSION_SCHEMA, outputMode="Append",
+                                                              timeMode="EventTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB (state with timers needs it)."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def newest_events_sink(spark: SparkSession, table_dir: str, cap: int = 500):
     """``foreachBatch`` function keeping the newest ``cap`` events in a table: each
     micro-batch is merged with what the batch before it stored and cut to the newest ``cap``
