@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textguard.functions import lexicons as L
 from textguard.operators import outfilter as OF
+from textguard.operators import textmodel as TM
 from textguard.plans import oracle_sql as O
 from textguard.plans.catalog import register
 from textguard.sources.planted import planted_df, planted_values_sql
@@ -147,26 +149,51 @@ def sanitized_text(spark: SparkSession, sf: str) -> DataFrame:
                      F.when(F.col("text").isNotNull(), OF.final_text(F.col("text"), v)).alias("final_text"))
 
 
-# Stand-in model scores: two thirds of the rows have a toxicity probability, half have bias probabilities,
-# both derived from doc_id and rounded to hundredths; the others fall back to the rules.
-_P = "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(abs(doc_id) * 37 % 101 AS DOUBLE) / 100 END"
-_BP = ("CASE WHEN doc_id % 2 = 0 THEN NULL ELSE {0}(CAST(abs(doc_id) * 13 % 101 AS DOUBLE) / 100, "
-       "CAST(abs(doc_id) * 29 % 101 AS DOUBLE) / 100, CAST(abs(doc_id) * 53 % 101 AS DOUBLE) / 100) END")
-MODEL_SQL = (f"WITH src AS (SELECT *, {_P} AS tp, {_BP.format('list_value')} AS bp FROM {DOCS_SQL}), "
-             f"{O.output_filter_ctes('src', tox_p='tp', bias_p='bp')}\nSELECT " + ", ".join([
-                 "doc_id", "of_flagged AS is_flagged", "tox_det AS toxicity_detected", "tox_score AS toxicity_score", "tox_sev AS toxicity_severity",
-                 "bias_det AS bias_detected", "array_to_string(bias_types, ', ') AS bias_types", "bias_score AS bias_score", "of_sev AS severity",
+# Toxicity: a model fitted on the table labels. Bias: one model a label, taught by the rules' own verdicts, since no table
+# holds bias labels; a label that no rule found has no terms, and a row without a known term keeps the rules.
+_TERMS_SQL = f"src0 AS {DOCS_SQL}, terms AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\\pL+')) AS term FROM src0)"
+_RULES_SQL = O.namespaced(O.output_filter_ctes("src0").strip(), "rule")
+
+
+def _bias_label_sql(label: str) -> str:
+    return f"SELECT doc_id, CAST(list_contains(bias_types, '{label}') AS INT) AS y FROM rule_of6"
+
+
+MODEL_SQL = ("WITH " + ",\n".join([_TERMS_SQL, _RULES_SQL, TM.oracle_ctes("tox", "SELECT doc_id, toxic AS y FROM labels"),
+                                   *(TM.oracle_ctes(x, _bias_label_sql(x)) for x in L.BIAS_MODEL_LABELS)]) + """,
+src AS (SELECT s.*, t.p AS tp, CASE WHEN """ + " OR ".join(f"{x}.p IS NOT NULL" for x in L.BIAS_MODEL_LABELS) + " THEN list_value("
+             + ", ".join(f"coalesce({x}.p, 0.0)" for x in L.BIAS_MODEL_LABELS) + """) END AS bp FROM src0 s
+  LEFT JOIN tox_score t USING (doc_id) """ + " ".join(f"LEFT JOIN {x}_score {x} USING (doc_id)" for x in L.BIAS_MODEL_LABELS) + "),\n"
+             + O.output_filter_ctes("src", tox_p="tp", bias_p="bp").strip() + "\nSELECT " + ", ".join([
+                 "doc_id", "round(tp, 4) AS toxicity_probability", "round(bp[1], 4) AS bias_probability", "of_flagged AS is_flagged", "tox_det AS toxicity_detected",
+                 "round(tox_score, 4) AS toxicity_score", "tox_sev AS toxicity_severity",
+                 "bias_det AS bias_detected", "array_to_string(bias_types, ', ') AS bias_types", "round(bias_score, 4) AS bias_score", "of_sev AS severity",
                  "of_expl AS explanation", "of_strategy AS sanitization_strategy", "of_filtered AS filtered_response"]) + " FROM of6")
 
 
+def model_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, tp, bp): probabilities of the fitted models for every document with a known term."""
+    docs = docs_with_planted(spark, sf)
+    words = TM.terms(docs)
+    rules = OF.with_bias(docs, "text").select("doc_id", F.col("bias.types").alias("types"))
+    tox = TM.fit(words, read_table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("y"))).score(words).withColumnRenamed("p", "tp")
+    out = tox
+    for x in L.BIAS_MODEL_LABELS:
+        taught = rules.select("doc_id", F.array_contains("types", x).cast("int").alias("y"))
+        out = out.join(TM.fit(words, taught).score(words).withColumnRenamed("p", x), "doc_id", "full")
+    some = F.greatest(*(F.col(x).isNotNull() for x in L.BIAS_MODEL_LABELS))
+    return out.select("doc_id", "tp", F.when(some, F.array(*(F.coalesce(x, F.lit(0.0)) for x in L.BIAS_MODEL_LABELS))).alias("bp"))
+
+
 @register("model_filter_verdicts", MODEL_SQL)
 def model_filter_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """M7 (with M2, M6): verdict and sanitised text where a model scored the row, rules elsewhere."""
-    d = docs_with_planted(spark, sf).withColumn("tp", F.expr(_P)).withColumn("bp", F.expr(_BP.format("array")))
+    d = docs_with_planted(spark, sf).join(model_scores(spark, sf), "doc_id", "left")
     df = OF.with_output_filter(d, "text", toxicity_model="tp", bias_model="bp")
     v = F.col("verdict")
-    return df.select("doc_id", v["is_flagged"].alias("is_flagged"), v["toxicity_detected"].alias("toxicity_detected"),
-                     v["toxicity_score"].alias("toxicity_score"), v["toxicity"]["severity"].alias("toxicity_severity"),
+    return df.select("doc_id", F.round("tp", 4).alias("toxicity_probability"), F.round(F.get("bp", F.lit(0)), 4).alias("bias_probability"),
+                     v["is_flagged"].alias("is_flagged"), v["toxicity_detected"].alias("toxicity_detected"),
+                     F.round(v["toxicity_score"], 4).alias("toxicity_score"), v["toxicity"]["severity"].alias("toxicity_severity"),
                      v["bias_detected"].alias("bias_detected"), F.array_join(v["bias"]["types"], ", ").alias("bias_types"),
-                     v["bias_score"].alias("bias_score"), v["severity"].alias("severity"), v["explanation"].alias("explanation"),
+                     F.round(v["bias_score"], 4).alias("bias_score"), v["severity"].alias("severity"), v["explanation"].alias("explanation"),
                      v["sanitization_strategy"].alias("sanitization_strategy"), v["filtered_response"].alias("filtered_response"))
