@@ -8,11 +8,12 @@ text is ever grouped with another.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import lexicons as L
 from textguard.functions.sqltext import ident, sql_str
+from textguard.operators.ordered import DEFAULT_BLOCK, blocked_latest, blocked_previous
 
 MSPAN = "STRUCT<type:STRING,start:INT,end:INT,confs:ARRAY<DOUBLE>>"
 TOKEN_ARRAY = "array<struct<label:string,conf:double,start:int,end:int>>"
@@ -136,3 +137,36 @@ def tokens_from_rule_spans(text: str, spans: str) -> Column:
                 f"array(named_struct('label', 'O', 'conf', 1.0D, 'start', s.end, 'end', s.end + 1)))")
     special = "array(named_struct('label', 'O', 'conf', 1.0D, 'start', 0, 'end', 0))"
     return F.expr(f"concat({special}, flatten(transform({sp}, s -> {per_span})), {special})")
+
+
+# ---------------------------------------------------------------- M3, M4 over a table of tokens
+
+def spans_of_tokens(tokens: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """M3 over a table (doc_id, idx, label, conf, start, end) of a tagger's tokens, one row each: (doc_id, first, type, start, end,
+    conf_sum, n_tokens), ``first`` the idx of a span's first token. The same rules as ``decode_bio_sql``, stated over
+    neighbours: between special or 'O' tokens, tokens before the first 'B-' are ignored; from there on a token opens a span
+    if it is a 'B-', of another type than the token before it, or starts behind that one's end, else it extends the
+    span. A document's tokens are ordered in blocks, so a long document is not one task's window."""
+    label = F.col("label")
+    tagged = F.instr(label, "-") > 0
+    t = tokens.select("doc_id", "idx", "conf", "start", "end",
+                      (((F.col("start") == 0) & (F.col("end") == 0)) | (label == "O")).alias("out"),
+                      (tagged & (F.substring_index(label, "-", 1) == "B")).alias("begins"),
+                      F.lower(F.when(tagged, label.substr(F.instr(label, "-") + 1, F.length(label))).otherwise(label)).alias("type"))
+    t = blocked_previous(t, "doc_id", "idx", ["type", "end", "out"], block)
+    t = blocked_latest(t, "doc_id", "idx", {"last_b": F.col("begins") & ~F.col("out"), "last_out": F.col("out")}, block)
+    inside = t.where(~F.col("out") & (F.col("last_b") > F.coalesce("last_out", F.lit(-1 << 62))))
+    opens = F.col("begins") | F.coalesce("prev_out", F.lit(True)) | (F.col("prev_type") != F.col("type")) | (F.col("start") > F.col("prev_end"))
+    inside = blocked_latest(inside.withColumn("opens", opens), "doc_id", "idx", {"first": F.col("opens")}, block)
+    return inside.groupBy("doc_id", "first").agg(F.min_by("type", "idx").alias("type"), F.min_by("start", "idx").alias("start"),
+                                                 F.max_by("end", "idx").alias("end"), F.sum("conf").alias("conf_sum"), F.count(F.lit(1)).alias("n_tokens"))
+
+
+def merged_token_spans(spans: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """M4 over ``spans_of_tokens`` of a tagger whose spans end in the order in which they start: neighbours of one type
+    at most MODEL_SPAN_MERGE_GAP characters apart are one span, their confidences pooled."""
+    s = blocked_previous(spans, "doc_id", "first", ["type", "end"], block)
+    opens = F.col("prev_type").isNull() | (F.col("prev_type") != F.col("type")) | (F.col("start") > F.col("prev_end") + L.MODEL_SPAN_MERGE_GAP)
+    s = blocked_latest(s.withColumn("opens", opens), "doc_id", "first", {"group": F.col("opens")}, block)
+    return s.groupBy("doc_id", "group").agg(F.min_by("type", "first").alias("type"), F.min_by("start", "first").alias("start"), F.max("end").alias("end"),
+                                            F.sum("conf_sum").alias("conf_sum"), F.sum("n_tokens").alias("n_tokens"))

@@ -9,7 +9,7 @@ than one block of one key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK = 4096
@@ -33,6 +33,32 @@ def blocked_running_sum(df: DataFrame, key: str, order: str, value: str, out: st
             .drop("_blk", "_in_blk", "_blk_off"))
 
 
+def blocked_previous(df: DataFrame, key: str, order: str, values: list[str], block: int = DEFAULT_BLOCK) -> DataFrame:
+    """``df`` with ``prev_<v>``: the values of the row before in ``order`` (an integer, unique per key; gaps allowed), null at the
+    start of a key. A block's first row gets them from a table of the blocks' last rows."""
+    d = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
+    last = F.struct(*values)
+    ends = d.groupBy(key, "_blk").agg(F.max_by(last, order).alias("_last"))
+    ahead = ends.select(key, "_blk", F.lag("_last").over(Window.partitionBy(key).orderBy("_blk")).alias("_ahead"))
+    near = F.lag(last).over(Window.partitionBy(key, "_blk").orderBy(order))
+    d = d.withColumn("_near", near).join(ahead, [key, "_blk"], "left")
+    prev = F.coalesce("_near", "_ahead")
+    return d.withColumns({f"prev_{v}": prev[v] for v in values}).drop("_blk", "_near", "_ahead")
+
+
+def blocked_latest(df: DataFrame, key: str, order: str, marks: dict[str, Column], block: int = DEFAULT_BLOCK) -> DataFrame:
+    """``df`` with a column for each mark (name: condition): the ``order`` of the newest row so far, itself included, for which the
+    condition holds; null where there is none yet."""
+    d = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
+    at = {m: F.when(c, F.col(order)) for m, c in marks.items()}
+    tops = d.groupBy(key, "_blk").agg(*(F.max(c).alias(f"_top_{m}") for m, c in at.items()))
+    before = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = tops.select(key, "_blk", *(F.max(f"_top_{m}").over(before).alias(f"_ahead_{m}") for m in marks))
+    inside = Window.partitionBy(key, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({f"_in_{m}": F.max(c).over(inside) for m, c in at.items()}).join(ahead, [key, "_blk"], "left")
+    return d.withColumns({m: F.coalesce(f"_in_{m}", f"_ahead_{m}") for m in marks}).drop("_blk", *(f"_{w}_{m}" for w in ("in", "ahead") for m in marks))
+
+
 def nearest_rank_percentiles(df: DataFrame, group: str, value: str, percents: list[float],
                              num_partitions: int | None = None) -> DataFrame:
     """A13 nearest-rank percentile per group: the value at 0-based index
