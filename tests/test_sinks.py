@@ -5,7 +5,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from textguard.plans import pipeline as PL
-from textguard.plans.sinks import read_audit_table, read_conversations, write_audit_tables
+from textguard.plans.sinks import compact_conversations, read_audit_table, read_conversations, write_audit_tables
 
 
 def test_write_and_read_audit_tables(spark):
@@ -58,3 +58,45 @@ def test_security_log_json_round_trip(spark):
     assert back.count() == logs.count()
     g = back.agg(F.count_if(F.col("jailbreak_detected")).alias("jb"), F.count_if(F.col("is_flagged")).alias("fl")).first()
     assert g["jb"] == 1 and g["fl"] >= 3
+
+
+def _exchanges(spark, conversations, turn):
+    """Exchanges of one turn each, with the columns that the conversations' state is made of."""
+    flag = "struct<is_flagged: boolean, jailbreak_detected: boolean>"
+    rows = [(c, turn, f"text {c} {turn}", c % 7 == 6, (False, (c + turn) % 5 == 0), (c % 3 == turn % 3, c % 4 == 0, False, turn % 2 == 0), (c % 5 == 0,), (False, False))
+            for c in conversations]
+    return spark.createDataFrame(rows, f"conv_id long, turn long, text string, refused boolean, pa {flag}, of struct<is_flagged: boolean, "
+                                       "toxicity_detected: boolean, bias_detected: boolean, jailbreak_detected: boolean>, rtox struct<is_flagged: boolean>, "
+                                       "priv struct<pii_detected: boolean, secrets_detected: boolean>")
+
+
+def test_rollup_state_merges_in_any_grouping(spark):
+    out = tempfile.mkdtemp(prefix="tg-state-")
+    batches = [_exchanges(spark, range(k, 40, k + 1), 2 * k) for k in range(5)]
+    parts = [PL.conversation_partials(b) for b in batches]
+    every = batches[0]
+    for b in batches[1:]:
+        every = every.unionByName(b)
+    want = sorted(map(str, PL.conversation_rollup(every).collect()))
+    left = PL.merged_partials(parts[3].unionByName(parts[0]))
+    right = PL.merged_partials(parts[4].unionByName(parts[2]).unionByName(parts[1]))
+    assert sorted(map(str, PL.finished_rollup(PL.merged_partials(right.unionByName(left))).collect())) == want
+    for k, p in enumerate(parts):
+        p.write.mode("overwrite").parquet(f"{out}/parts/batch={k}")
+        if k in (1, 3):
+            compact_conversations(spark, out, k)
+            compact_conversations(spark, out, k)  # a retry
+    got = read_conversations(spark, out)
+    assert sorted(map(str, got.collect())) == want
+    # the newest base and the batch after it are all that is read
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "(upto#" in plan and "= 3)" in plan and "(batch#" in plan and "> 3)" in plan and plan.count("PartitionFilters: [isnotnull(") == 2
+
+
+def test_a_batch_reads_only_its_own_exchanges(spark):
+    """A batch can be written where no folder of an earlier batch is left."""
+    turns = spark.createDataFrame([(2, 2, "user", "hello"), (2, 3, "assistant", "fine")], "conv_id long, turn long, role string, text string")
+    out = tempfile.mkdtemp(prefix="tg-audit-")
+    paths = write_audit_tables(PL.guarded_exchanges(turns), out, 7)
+    assert [r.exchanges for r in read_conversations(spark, paths["conversations"]).collect()] == [1]
+    assert {f.rsplit("batch=", 1)[1].split("/")[0] for f in spark.read.parquet(paths["exchanges"]).inputFiles()} == {"7"}

@@ -202,40 +202,43 @@ def security_events(ex: DataFrame) -> DataFrame:
         F.col("e.jailbreak_score").alias("jailbreak_score"), F.col("e.toxicity_score").alias("toxicity_score"))
 
 
+ROLLUP_FLAGS = ("is_flagged", "jailbreak_detected", "pii_detected", "toxicity_detected", "bias_detected", "jailbreak_detected_in_output")
+
+
+def conversation_partials(ex: DataFrame) -> DataFrame:
+    """A14 as mergeable state: what some exchanges tell about their conversations, one row each. ``latest`` are the flags of
+    the highest turn, ``first_text`` is the text of the lowest."""
+    ok = ex.filter(~F.col("refused"))
+    of, rt = F.col("of"), F.col("rtox")
+    values = (F.col("pa.is_flagged") | of["is_flagged"] | rt["is_flagged"], F.col("pa.jailbreak_detected"), _pii_found(ok),
+              of["toxicity_detected"] | rt["is_flagged"], of["bias_detected"], of["jailbreak_detected"])
+    flags = F.struct(*(v.alias(n) for n, v in zip(ROLLUP_FLAGS, values)))
+    return merged_partials(ok.select(
+        F.col("conv_id").alias("id"), F.col("turn").alias("last_turn"), flags.alias("latest"), F.col("turn").alias("first_turn"), F.col("text").alias("first_text"),
+        flags["is_flagged"].alias("any_flagged"), flags["toxicity_detected"].alias("any_toxicity"), F.lit(1).cast("bigint").alias("exchanges")))
+
+
+def merged_partials(partials: DataFrame) -> DataFrame:
+    """One row a conversation from rows about disjoint parts of it; merging in any order and grouping gives the same."""
+    return partials.groupBy("id").agg(
+        F.max("last_turn").alias("last_turn"), F.max_by("latest", "last_turn").alias("latest"), F.min("first_turn").alias("first_turn"),
+        F.min_by("first_text", "first_turn").alias("first_text"), F.bool_or("any_flagged").alias("any_flagged"),
+        F.bool_or("any_toxicity").alias("any_toxicity"), F.sum("exchanges").alias("exchanges"))
+
+
+def finished_rollup(partials: DataFrame) -> DataFrame:
+    """The roll-up that merged partials stand for."""
+    return partials.select(
+        "id", truncate_with_ellipsis(F.col("first_text"), L.TRUNC_TITLE).alias("title"), derived_user(F.col("id")).alias("user_id"),
+        message_time(F.col("id"), F.col("first_turn")).alias("created_at"), *(F.col("latest")[f].alias(f) for f in ROLLUP_FLAGS),
+        F.coalesce("any_flagged", F.lit(False)).alias("any_flagged"), F.coalesce("any_toxicity", F.lit(False)).alias("any_toxicity"), "exchanges")
+
+
 def conversation_rollup(ex: DataFrame) -> DataFrame:
     """A14 + S10: one row per conversation that stored anything. Flags are those of the
     last exchange (last write wins, ``max_by`` over turn); ``any_*`` are the OR over all
     exchanges. Title and creation time come from the first stored user turn."""
-    ok = ex.filter(~F.col("refused"))
-    of, rt = F.col("of"), F.col("rtox")
-    flags = F.struct(
-        (F.col("pa.is_flagged") | of["is_flagged"] | rt["is_flagged"]).alias("is_flagged"),
-        F.col("pa.jailbreak_detected").alias("jailbreak_detected"),
-        _pii_found(ok).alias("pii_detected"),
-        (of["toxicity_detected"] | rt["is_flagged"]).alias("toxicity_detected"),
-        of["bias_detected"].alias("bias_detected"),
-        of["jailbreak_detected"].alias("jailbreak_detected_in_output"),
-    )
-    g = ok.withColumn("_flags", flags).groupBy("conv_id").agg(
-        F.max_by("_flags", "turn").alias("f"),
-        F.min_by("text", "turn").alias("first_text"),
-        F.min("turn").alias("first_turn"),
-        F.max(F.col("_flags.is_flagged").cast("int")).alias("any_flagged"),
-        F.max(F.col("_flags.toxicity_detected").cast("int")).alias("any_toxicity"),
-        F.count(F.lit(1)).alias("exchanges"),
-    )
-    return g.select(
-        F.col("conv_id").alias("id"),
-        truncate_with_ellipsis(F.col("first_text"), L.TRUNC_TITLE).alias("title"),
-        derived_user(F.col("conv_id")).alias("user_id"),
-        message_time(F.col("conv_id"), F.col("first_turn")).alias("created_at"),
-        F.col("f.is_flagged").alias("is_flagged"), F.col("f.jailbreak_detected").alias("jailbreak_detected"),
-        F.col("f.pii_detected").alias("pii_detected"), F.col("f.toxicity_detected").alias("toxicity_detected"),
-        F.col("f.bias_detected").alias("bias_detected"),
-        F.col("f.jailbreak_detected_in_output").alias("jailbreak_detected_in_output"),
-        (F.col("any_flagged") == 1).alias("any_flagged"), (F.col("any_toxicity") == 1).alias("any_toxicity"),
-        F.col("exchanges").cast("bigint").alias("exchanges"),
-    )
+    return finished_rollup(conversation_partials(ex))
 
 
 def refused_turns(ex: DataFrame) -> DataFrame:

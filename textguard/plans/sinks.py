@@ -2,9 +2,10 @@
 events and the conversation roll-up are derived from the written exchanges.
 
 Every table has a folder per batch, which a retry of the batch overwrites, so a retry leaves no
-second copy. Messages and events are further partitioned by day, so dashboards over a time range
-prune files. A batch's roll-up covers its conversations over all batches; readers take the
-newest roll-up of a conversation."""
+second copy, and a batch reads nothing but its own exchanges. Messages and events are further
+partitioned by day, so dashboards over a time range prune files. The roll-up is kept as mergeable
+state: a batch writes what it tells about its conversations, readers merge the batches' rows, and
+``compact_conversations`` merges those of closed batches into one base, in a folder of its own."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ def _by_day(df: DataFrame, ts: str) -> DataFrame:
 
 
 def write_audit_tables(ex: DataFrame, out_dir: str, batch: int = 0) -> dict[str, str]:
-    """Write messages (S3/S4), security events (S5) and the conversation roll-up of one batch of
+    """Write messages (S3/S4), security events (S5) and the conversations' state of one batch of
     guarded exchanges; batches are numbered in order of arrival. Returns the table paths."""
     spark = ex.sparkSession
     paths = {n: f"{out_dir.rstrip('/')}/{n}" for n in ("exchanges", "messages", "security_events", "conversations")}
@@ -30,23 +31,42 @@ def write_audit_tables(ex: DataFrame, out_dir: str, batch: int = 0) -> dict[str,
                                   .withColumn("filter_analysis", F.to_json("filter_analysis"))
     _by_day(msgs, "created_at").write.mode("overwrite").partitionBy("day").parquet(at["messages"])
     _by_day(PL.security_events(own), "timestamp").write.mode("overwrite").partitionBy("day").parquet(at["security_events"])
-    every = spark.read.schema(ex.schema).parquet(*(f"{paths['exchanges']}/batch={b}" for b in _batches(spark, paths["exchanges"])))
-    touched = own.select("conv_id").distinct()
-    PL.conversation_rollup(every.join(touched, "conv_id", "left_semi")).write.mode("overwrite").parquet(at["conversations"])
+    PL.conversation_partials(own).write.mode("overwrite").parquet(f"{paths['conversations']}/parts/batch={int(batch)}")
     return paths
 
 
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the batches under ``path`` (one small row each)."""
-    return sorted(r[0] for r in spark.read.parquet(path).select(F.col("batch").cast("long")).distinct().collect())
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _partials(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The rows of the newest base and of the batches after it, up to ``upto``. Only folder names decide what is read."""
+    parts = spark.read.parquet(f"{path.rstrip('/')}/parts")
+    if upto is not None:
+        parts = parts.where(F.col("batch") <= upto)
+    bases = f"{path.rstrip('/')}/bases"
+    if not _exists(spark, bases):
+        return parts.drop("batch")
+    base = spark.read.parquet(bases)
+    if upto is not None:
+        base = base.where(F.col("upto") <= upto)
+    newest = base.agg(F.max("upto")).first()[0]
+    if newest is None:
+        return parts.drop("batch")
+    return base.where(F.col("upto") == newest).drop("upto").unionByName(parts.where(F.col("batch") > newest).drop("batch"))
+
+
+def compact_conversations(spark: SparkSession, path: str, upto: int) -> None:
+    """Merge the conversations' state of all batches up to ``upto``, which must not be retried any more, into one base. A retry
+    of the compaction overwrites its folder."""
+    merged = PL.merged_partials(_partials(spark, path, upto))
+    merged.write.mode("overwrite").parquet(f"{path.rstrip('/')}/bases/upto={int(upto)}")
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """The newest roll-up row of every conversation."""
-    rows = spark.read.parquet(path)
-    cols = [c for c in rows.columns if c != "batch"]
-    newest = rows.groupBy("id").agg(F.max_by(F.struct(*cols), "batch").alias("r"))
-    return newest.select("r.*")
+    """The roll-up row of every conversation over all batches."""
+    return PL.finished_rollup(PL.merged_partials(_partials(spark, path)))
 
 
 def read_audit_table(spark: SparkSession, path: str) -> DataFrame:
