@@ -241,3 +241,6 @@ RECENT_SCAN = 200
 HEALTH_BANDS = [(80, "green", "Excellent"), (60, "yellow", "Good")]
 HEALTH_ELSE = ("red", "Needs Attention")
 USER_ROLES = ["USER", "ADMIN", "MODERATOR"]
+
+# Beginnings of a stored reply that stands for a filtered one (FIXED VALUES).
+FILTERED_REPLY_PREFIXES = ["[REDACTED", "[RESPONSE BLOCKED", "[Content censored"]

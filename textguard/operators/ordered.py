@@ -95,3 +95,16 @@ def nearest_rank_percentiles(df: DataFrame, group: str, value: str, percents: li
     picked = ranked.join(placed, ["g", "_part"]).where((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("c"))).select("g", "p", "v")
     empty = src.groupBy("g").agg(F.count("v").alias("_n")).where("_n = 0").select("g", wanted, F.lit(0.0).alias("v"))
     return picked.unionByName(empty).select(F.col("g").alias(group), "p", F.col("v").alias(value))
+
+
+def blocked_highest_before(df: DataFrame, key: str, order: str, value: str, out: str, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """``df`` with ``out``: the highest ``value`` among the rows of ``key`` with a strictly lower ``order`` (an integer; ties and
+    gaps allowed), null where there is none. Rows of one block are windowed together; a block's predecessors come as
+    one number from a table of one row a block."""
+    d = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
+    tops = d.groupBy(key, "_blk").agg(F.max(value).alias("_top"))
+    before = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = tops.select(key, "_blk", F.max("_top").over(before).alias("_ahead"))
+    inside = Window.partitionBy(key, "_blk").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_near", F.max(value).over(inside)).join(ahead, [key, "_blk"], "left")
+    return d.withColumn(out, F.greatest("_near", "_ahead")).drop("_blk", "_near", "_ahead")

@@ -92,15 +92,40 @@ def bias_from_probabilities(probs: Column, text: Column | None = None) -> Column
 
 # ---------------------------------------------------------------- M8 score once per distinct text
 
+#: A text hash that holds more than one row in so many is hot; there can be no more hot hashes than this.
+HOT_SHARE = 16_384
+
+
+def text_hash(text: Column) -> Column:
+    """32 bytes that stand for a text; a null reads as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def score_distinct(df: DataFrame, text: str, key: str, scorer: Callable[[DataFrame, str], DataFrame],
-                   out_cols: list[str]) -> DataFrame:
-    """M8: score each distinct text once and join the result back by text hash.
-
-    Exact copies are common in crawled corpora; a text that repeats across a third of all
-    rows is scored once. The join back is an equi-join on the hash: the hot hash meets a
-    single scored row, which adaptive execution splits as a skewed join (the small side is
-    replicated to the split tasks) instead of sending every copy to one task."""
-    hashed = df.withColumn("_th", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    distinct = hashed.select("_th", text).dropDuplicates(["_th"])
-    scored = scorer(distinct, text).select("_th", *out_cols)
-    return hashed.select(key, "_th").join(scored, "_th").drop("_th")
+                   out_cols: list[str], hot_share: int = HOT_SHARE) -> DataFrame:
+    """M8: score each distinct text once and join the result back to every row: (``key``, *out_cols).
+
+    Hashes are counted first, with one representative key each, in fixed-width rows that are combined before their
+    shuffle; texts then move once, to the representatives only. The scores return by hash. A hash that holds more than
+    1 / ``hot_share`` of all rows goes by broadcast - there are fewer than ``hot_share`` of them, whatever the table's size - and the
+    others by a shuffled join, in which no hash is larger than that share; so no copy count makes one task long, with or
+    without adaptive execution. A null text is scored as an empty one; keys may repeat; a row without a key is scored too."""
+    def clean(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit(""))
+    hashed = df.select(F.col(key), text_hash(F.col(text)).alias("_th"))
+    counts = hashed.groupBy("_th").agg(F.min(key).alias("_rep"), F.count(F.lit(1)).alias("_n"))
+    texts = df.select(F.col(key).alias("_rep"), clean(text).alias(text))
+    # representatives by key; where a key repeats, its rows are told apart by their hash
+    first = texts.join(counts, "_rep").where(text_hash(F.col(text)) == F.col("_th")).dropDuplicates(["_rep", "_th"])
+    no_key = counts.where(F.col("_rep").isNull()).select("_th", "_n")
+    keyless = (df.where(F.col(key).isNull()).select(clean(text).alias(text)).withColumn("_th", text_hash(F.col(text))).dropDuplicates(["_th"]).join(no_key, "_th"))
+    distinct = first.select("_th", "_n", text).unionByName(keyless.select("_th", "_n", text))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    is_hot = F.col("_n") * hot_share > total
+
+    def scored(which: Column) -> DataFrame:
+        return scorer(distinct.where(which), text).select("_th", *out_cols)
+    marked = hashed.join(F.broadcast(counts.where(is_hot).select("_th", F.lit(True).alias("_hot"))), "_th", "left")
+    by_broadcast = marked.where(F.col("_hot")).join(F.broadcast(scored(is_hot)), "_th")
+    by_shuffle = marked.where(F.col("_hot").isNull()).join(scored(~is_hot), "_th")
+    return by_broadcast.select(key, *out_cols).unionByName(by_shuffle.select(key, *out_cols))

@@ -22,4 +22,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from textguard.plans import flagship, q_detect, q_more, q_outfilter, q_pipeline, q_screen, q_stats, q_stream, q_tokens  # noqa: F401
+    from textguard.plans import flagship, q_branches, q_context, q_detect, q_more, q_outfilter, q_pipeline, q_screen, q_stats, q_stream, q_tokens  # noqa: F401

@@ -89,12 +89,15 @@ def sev_name(r: str) -> str:
             + " ELSE NULL END)")
 
 
-def output_filter_ctes(src: str, text: str = "text", tox_p: str | None = None, bias_p: str | None = None) -> str:
+def output_filter_ctes(src: str, text: str = "text", tox_p: str | None = None, bias_p: str | None = None,
+                       strategies: dict | None = None, include_age: bool = False) -> str:
     """CTE chain ``of1`` .. ``of3`` over relation ``src`` adding the output-filter columns:
     tox_kws, tox_phs, tox_sent, tox_tenths, tox_det, tox_score, tox_sev, bias_types, bias_n,
     bias_det, bias_score, bias_sev, jb_hits, jb_n, jb_det, jb_score, jb_sev, of_flagged,
     of_sev, of_expl, of_strategy, of_filtered. ``tox_p`` and ``bias_p`` name columns with a model's
-    probability and probabilities (M7); rows where they are NULL are judged by the rules."""
+    probability and probabilities (M7); rows where they are NULL are judged by the rules.
+    ``strategies`` replaces strategies per detector, ``include_age`` adds the age patterns (D21)."""
+    strat = {**L.DEFAULT_SANITIZATION, **(strategies or {})}
     mt, mb, blank = (f"{tox_p} IS NOT NULL" if tox_p else "FALSE"), (f"{bias_p} IS NOT NULL" if bias_p else "FALSE"), f"length({py_strip('_t')}) = 0"
     p = f"(CASE WHEN {blank} THEN 0.0::DOUBLE ELSE greatest(0.0, least(1.0, {tox_p or 0.0})) END)"
     labels = L.BIAS_MODEL_LABELS
@@ -105,7 +108,7 @@ def output_filter_ctes(src: str, text: str = "text", tox_p: str | None = None, b
     m_bsev = "CASE " + " ".join(f"WHEN list_max({bp}) >= {t} THEN {q(n)}" for t, n in L.BIAS_MODEL_SEVERITY) + " END"
     views = ["_low", "_pnorm"]
     bias_firsts = []
-    for btype, pats in L.BIAS_PATTERNS:
+    for btype, pats in [*L.BIAS_PATTERNS, *([("age", L.AGE_BIAS_PATTERNS)] if include_age else [])]:
         whens = " ".join(f"WHEN regexp_matches(_low, {q(ci(p))}) THEN {q(p)}" for p in pats)
         bias_firsts.append((btype, f"(CASE {whens} ELSE NULL END)"))
     bias_types = "list_concat(" + ", ".join(
@@ -139,8 +142,8 @@ of5 AS (SELECT *,
     (tox_det OR bias_det OR jb_det) AS of_flagged,
     {sev_name(f"greatest({sev_rank('tox_sev')}, {sev_rank('bias_sev')}, {sev_rank('jb_sev')})")} AS of_sev,
     {kwfold_select('_t')},
-    (CASE WHEN jb_det THEN '{L.DEFAULT_SANITIZATION['jailbreak']}' WHEN tox_det THEN '{L.DEFAULT_SANITIZATION['toxicity']}'
-          WHEN bias_det THEN '{L.DEFAULT_SANITIZATION['bias']}' ELSE NULL END) AS of_strategy
+    (CASE WHEN jb_det THEN {q(strat['jailbreak'])} WHEN tox_det THEN {q(strat['toxicity'])}
+          WHEN bias_det THEN {q(strat['bias'])} ELSE NULL END) AS of_strategy
   FROM of4),
 of6 AS (SELECT *,
     CASE WHEN of_flagged THEN concat_ws({q(L.EXPL_SEP)},
@@ -248,13 +251,21 @@ def sig_overlap(a: str, b: str) -> str:
     return f"({ov} > 0 AND ({ov} * 10 > ({b}.e - {b}.s) * 3 OR {ov} * 10 > ({a}.e - {a}.s) * 3))"
 
 
-def resolve_spans(rule_spans: str) -> str:
+def resolve_spans(rule_spans: str, model: str | None = None) -> str:
     first = f"list_filter(acc, lambda x: {sig_overlap('x', 'e')})[1]"
     pe, pf = type_priority("e.t"), type_priority(f"({first}).t")
     wins = f"({pe} > {pf} OR ({pe} = {pf} AND e.c > ({first}).c))"
     body = (f"CASE WHEN len(list_filter(acc, lambda x: {sig_overlap('x', 'e')})) = 0 THEN list_append(acc, e) "
             f"WHEN {wins} THEN list_append(list_filter(acc, lambda x: x <> {first}), e) ELSE acc END")
-    return f"list_sort(list_reduce({rule_spans}, lambda acc, e: {body}, []::{SPAN_T}[]))"
+    return f"list_sort(list_reduce({rule_spans}, lambda acc, e: {body}, {model or f'[]::{SPAN_T}[]'}))"
+
+
+def dedupe_model_spans(spans: str) -> str:
+    """One span a (start, end, type), at its first place, with its highest confidence."""
+    same = "y.s = x.s AND y.e = x.e AND y.t = x.t"
+    best = f"list_max(list_transform(list_filter({spans}, lambda y: {same}), lambda y: y.c))"
+    firsts = f"list_filter({spans}, lambda x, i: len(list_filter({spans}[1:i - 1], lambda y: {same})) = 0)"
+    return f"list_transform({firsts}, lambda x: struct_pack(s := x.s, e := x.e, t := x.t, v := x.v, c := {best}))"
 
 
 def default_strategy(t: str) -> str:
@@ -298,6 +309,11 @@ def splice(text: str, ms: str) -> str:
     return f"list_reduce(list_reverse({ms}), lambda acc, x: substr(acc, 1, x.s) || x.mask || substr(acc, x.e + 1), {text})"
 
 
+def ordered_distinct(values: str) -> str:
+    """The values of a list, each at its first place."""
+    return f"list_filter({values}, lambda v, i: list_position({values}, v) = i)"
+
+
 def mapping_texts(ms: str) -> str:
     """Entries ``k=>original|type|strategy`` where the leftmost span wins per placeholder."""
     first = f"list_filter({ms}, lambda y: y.mask = k)[1]"
@@ -335,7 +351,7 @@ pv2 AS (SELECT *, {resolve_spans('rule_spans')} AS spans FROM pv1),
 pv3 AS (SELECT *, {with_masks('spans')} AS mspans, {api_keys('_pt')} AS api_keys, {passwords('_pt')} AS passwords
         FROM pv2),
 pv4 AS (SELECT *, {splice('_pt', 'mspans')} AS pii_masked, {mapping_texts('mspans')} AS map_texts,
-    list_transform(list_distinct(list_transform(mspans, lambda x: x.mask)),
+    list_transform({ordered_distinct('list_reverse(list_transform(mspans, lambda x: x.mask))')},
                    lambda k: list_filter(mspans, lambda y: y.mask = k)[1].t) AS map_types FROM pv3),
 pv5 AS (SELECT *,
     list_reduce(list_prepend(list_reduce(list_prepend(pii_masked, api_keys), lambda a, k: replace(a, k, {q(L.API_KEY_MASK)})),

@@ -11,7 +11,7 @@ from textguard.functions.text import truncate_with_ellipsis
 from textguard.operators.ordered import nearest_rank_percentiles
 from textguard.plans import stats as ST
 from textguard.plans.catalog import ORACLES, register
-from textguard.plans.oracle_sql import q, tstr
+from textguard.plans.oracle_sql import ordered_distinct, q, tstr
 from textguard.plans.q_pipeline import TS_FMT, conversations, events, exchanges, messages, pipe_with
 from textguard.sources.tables import read_table
 
@@ -591,17 +591,14 @@ FROM msgs WHERE {PRIV_WHERE} ORDER BY created_at DESC, id DESC LIMIT 50""")
 
 @register("pii_types_per_row")
 def pii_types_per_row(spark: SparkSession, sf: str) -> DataFrame:
-    """distinct PII types in each privacy-log row's mapping (sorted)."""
+    """distinct PII types in each privacy-log row's mapping, in the order in which the mapping names them."""
     m = _privacy_rows(messages(spark, sf))
-    types = F.sort_array(F.array_distinct(F.transform(F.map_values("pii_mappings"), lambda v: v["type"])))
+    types = F.array_distinct(F.transform(F.map_values("pii_mappings"), lambda v: v["type"]))
     return m.select("id", F.coalesce(F.array_join(types, ", "), F.lit("")).alias("pii_types"))
 
 
 oracle("pii_types_per_row", W + f"""
-SELECT id, array_to_string(list_sort(list_distinct(map_types)), ', ') AS pii_types FROM msgs WHERE {PRIV_WHERE}""")
-
-
-PLACEHOLDER_PREFIXES = ["[REDACTED", "[RESPONSE BLOCKED", "[Content censored"]
+SELECT id, array_to_string({ordered_distinct('map_types')}, ', ') AS pii_types FROM msgs WHERE {PRIV_WHERE}""")
 
 
 def _filter_rows(m: DataFrame) -> DataFrame:

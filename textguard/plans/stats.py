@@ -89,3 +89,19 @@ def module_counts(convs: DataFrame) -> DataFrame:
 def unpivot_counts(one_row: DataFrame, names: list[str], name_col: str = "name", value_col: str = "value") -> DataFrame:
     """Wide single-row counts to (name, value) rows."""
     return one_row.unpivot([], names, name_col, value_col)
+
+
+def original_response(filtered: Column, content: Column, analysed: Column) -> Column:
+    """the reply before filtering - ``filtered`` where it holds a text; else ``content``, but where that only stands for a
+    filtered reply, the original kept with the analysis (``analysed``), if any."""
+    stands_in = F.lit(False)
+    for prefix in L.FILTERED_REPLY_PREFIXES:
+        stands_in = stands_in | F.startswith(content, F.lit(prefix))
+    return (F.when(filtered.isNotNull() & (filtered != ""), filtered)
+            .when(F.coalesce(stands_in, F.lit(False)), F.coalesce(analysed, content)).otherwise(content))
+
+
+def client_time(raw: Column, as_of: Column) -> Column:
+    """the time a client shows for an event - a 'Z' behind an explicit offset is dropped; a missing, empty or unreadable
+    time is ``as_of``."""
+    return F.coalesce(F.try_to_timestamp(F.regexp_replace(raw, "([+-]\\d{2}:\\d{2})Z$", "$1")), as_of)
