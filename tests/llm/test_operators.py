@@ -315,7 +315,8 @@ def test_loser_tree_merges_with_prefix_lengths():
 
 
 # --- 8
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("hot_share", [2, 16_384])
+def test_warc_round_trip(spark, tmp_path, hot_share):
     big = "é😀<p>" * 30_000
     pages = [(1, "u\r\nx", "WARC/1.1\r\n\r\n" * 20), (2, None, None), (3, "", ""), (None, "z", big), (5, "q", big), (6, "q", "x" * 50), (7, "q", "x" * 50),
              (8, "q", "y" * 100), (8, "q", "y" * 100), (9, "q", "y" * 100)]
@@ -327,9 +328,16 @@ def test_warc_round_trip(spark, tmp_path):
         first = min(ids) if ids and len(raw) >= 100 else i
         want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "response" if first == i else "revisit", None if first == i else first))
     path = str(tmp_path / "warc")
-    warc_segments.write_warc(df, path)
+    warc_segments.write_warc(df, path, hot_share=hot_share)
     assert rows(warc_segments.read_warc(spark, path)) == sorted(want, key=str)
-    kinds = Counter(f["WARC-Type"] for p in (tmp_path / "warc").glob("part-*") for f, _ in warc_segments.parse(gzip.decompress(p.read_bytes())))
+    heads = [f for p in (tmp_path / "warc").glob("part-*") for f, _ in warc_segments.parse(gzip.decompress(p.read_bytes()))]
+    kinds = Counter(f["WARC-Type"] for f in heads)
+    by_id = {f["WARC-Record-ID"]: f for f in heads}
+    assert len(by_id) == len(heads) and all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["WARC-Date"]) for f in heads)
+    for f in heads:
+        if f["WARC-Type"] == "revisit":
+            origin = by_id[f["WARC-Refers-To"]]
+            assert (origin["WARC-Type"], origin["X-Page-Id"], origin["WARC-Payload-Digest"]) == ("response", f["X-Refers-To-Page"], f["WARC-Payload-Digest"])
     assert kinds["continuation"] >= 3 and kinds["revisit"] == 2
 
 

@@ -1,10 +1,12 @@
 """Operator 8 - WARC archives with segmented records, written and read back by Spark.
 
 Writing: pages are deduplicated by the SHA-256 of their payload (payloads under ``MIN_PAYLOAD`` bytes
-are always responses). A response's block is an HTTP message with a chunked body; a block over
+are always responses). Payloads of a digest that holds a large share of all rows are not gathered: its response
+goes to them by broadcast (at most ``HOT_SHARE`` digests). A response's block is an HTTP message with a chunked body; a block over
 ``SEGMENT_BYTES`` is cut into a first record and continuation records that name the first as their
-origin, the last one with the total length. A revisit has no body and refers to its response.
-Records leave through Spark's text writer with the WARC record end as line separator, gzipped.
+origin, the last one with the total length. A revisit has no body and names the record of its response. All records of
+one call bear one date, since pages hold none.
+Records leave through Spark's text writer with the WARC record end as line separator, gzipped, a file as one member.
 
 Reading: files are parsed record by record by their Content-Length. Whole records are decoded where
 they are read; segments alone are shuffled, grouped by origin, ordered by segment number, and
@@ -18,6 +20,7 @@ an empty table gives an empty archive and no rows.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 from collections.abc import Iterator
 
@@ -30,6 +33,8 @@ from textguard.llm.common import small_batches, staged_path
 MIN_PAYLOAD = 100
 #: Code points of a segment and of an HTTP chunk; records of a file, which bound a file's size.
 SEGMENT_CHARS, CHUNK_CHARS, FILE_RECORDS = 32_768, 4096, 512
+#: A digest that holds more than one row in so many is hot.
+HOT_SHARE = 16_384
 END = "\r\n\r\n"
 
 OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -60,17 +65,21 @@ def dechunked(body: bytes) -> bytes:
         at = end + 4 + n
 
 
-def records(page: int | None, row: int, url: str | None, html: str, kind: str, refers_to: int | None) -> Iterator[str]:
+def record_id(row: int, segment: int = 1) -> str:
+    return f"<urn:page:{row}>" if segment == 1 else f"<urn:page:{row}:{segment}>"
+
+
+def records(page: int | None, row: int, url: str | None, html: str, kind: str, refers_to: int | None, refers_row: int | None, date: str) -> Iterator[str]:
     """The records of one page without their end marks."""
-    rid = f"<urn:page:{row}>"
+    rid = record_id(row)
     shown = "" if page is None else page
     digest = hashlib.sha256(html.encode()).hexdigest()
     # a line break in a URL would end the header field
-    fields = {"WARC-Record-ID": rid, "WARC-Target-URI": "".join(c for c in url or "" if c >= " "), "X-Page-Id": shown,
+    fields = {"WARC-Record-ID": rid, "WARC-Date": date, "WARC-Target-URI": "".join(c for c in url or "" if c >= " "), "X-Page-Id": shown,
               "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http; msgtype=response"}
     if kind == "revisit":
         yield _record("revisit", {**fields, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                                  "X-Refers-To-Page": refers_to, "X-Payload-Length": len(html.encode())}, "HTTP/1.1 200 OK\r\n\r\n")
+                                  "WARC-Refers-To": record_id(refers_row), "WARC-Refers-To-Date": date, "X-Refers-To-Page": refers_to, "X-Payload-Length": len(html.encode())}, "HTTP/1.1 200 OK\r\n\r\n")
         return
     block = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(html)
     parts = [block[i:i + SEGMENT_CHARS] for i in range(0, len(block), SEGMENT_CHARS)]
@@ -80,26 +89,37 @@ def records(page: int | None, row: int, url: str | None, html: str, kind: str, r
     yield _record("response", {**fields, "WARC-Segment-Number": 1}, parts[0])
     for k, part in enumerate(parts[1:], 2):
         total = len(block.encode()) if k == len(parts) else None
-        yield _record("continuation", {"WARC-Record-ID": f"<urn:page:{row}:{k}>", "WARC-Segment-Origin-ID": rid, "WARC-Segment-Number": k,
+        yield _record("continuation", {"WARC-Record-ID": record_id(row, k), "WARC-Date": date, "WARC-Segment-Origin-ID": rid, "WARC-Segment-Number": k,
                                        "WARC-Segment-Total-Length": total}, part)
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
-    """Write ``pages`` (page_id, url, html) as gzipped WARC files under ``path``."""
+def write_warc(pages: DataFrame, path: str, date: datetime.datetime | None = None, hot_share: int = HOT_SHARE) -> None:
+    """Write ``pages`` (page_id, url, html) as gzipped WARC files under ``path``; ``date`` (UTC, default now) is their WARC-Date."""
+    stamp = (date or datetime.datetime.now(datetime.UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
     p = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                      F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.unhex(F.sha2("html", 256))).withColumn("big", F.octet_length("html") >= MIN_PAYLOAD)
+    p = p.withColumn("row", F.monotonically_increasing_id())
     # only digests that occur more than once have revisits; the sides are short rows
-    first = p.where("big").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    p = p.join(first, "digest", "left").withColumn("row", F.monotonically_increasing_id())
+    first = (p.where("big").groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("row", "page_id").alias("first_row"), F.count("*").alias("n"))
+             .where("n > 1 and first is not null"))
+    # the share of the largest digests has fewer than hot_share members at any size
+    hot = F.col("n") * hot_share > pages.agg(F.count(F.lit(1))).scalar()
+    common = first.where(hot).select("digest", F.col("first").alias("hot_first"), F.col("first_row").alias("hot_row"))
+    rare = first.where(~hot).select(F.col("digest").alias("key"), "first", "first_row")
+    p = p.join(F.broadcast(common), "digest", "left")
+    # rows of a hot digest are done; in the second join they scatter over keys that match nothing
+    key = F.when(F.col("hot_first").isNotNull(), F.unhex(F.hex("row"))).otherwise(F.col("digest"))
+    p = p.withColumn("key", key).join(rare, "key", "left").withColumns({"first": F.coalesce("hot_first", "first"), "first_row": F.coalesce("hot_row", "first_row")})
     revisit = F.col("big") & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    p = p.select("page_id", "row", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"))
+    p = p.select("page_id", "row", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"),
+                 F.when(revisit, F.col("first_row")).alias("refers_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, held = [], 0
             for r in b.to_pylist():
-                for x in records(r["page_id"], r["row"], r["url"], r["html"], r["kind"], r["refers_to"]):
+                for x in records(r["page_id"], r["row"], r["url"], r["html"], r["kind"], r["refers_to"], r["refers_row"], stamp):
                     out.append(x)
                     held += len(x)
                 if held > 4 << 20:
