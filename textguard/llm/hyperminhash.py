@@ -321,20 +321,21 @@ def _blocks(rows: DataFrame, blocks: str) -> DataFrame:
                            "side": F.when(F.col("block") <= F.col("other"), 0).otherwise(1)}).drop("block", "other")
 
 
-def _stragglers(rest: DataFrame) -> DataFrame:
-    """Block pairs of clusters (cluster, node, comp, ...): the largest component of a cluster is only compared
-    with the other nodes, never with itself."""
-    size = rest.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
-    main = size.groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")) \
-        .select("cluster", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).alias("few"),
-                F.ceil(F.col("top.c") / BLOCK).alias("many")).where("few > 0")
-    at = rest.join(main, "cluster")
+def _stragglers(rest: DataFrame, group: str, payload: str, width: int) -> DataFrame:
+    """Pairs of blocks (p, q), of ``width`` nodes each, within the groups of rows (group, node, comp, n, payload): the
+    largest component of a group is only compared with the other nodes, never with itself, so a node of it is copied
+    once for each block of others and not to every block of its group."""
+    size = rest.groupBy(group, "comp").agg(F.count("*").alias("c"))
+    main = size.groupBy(group).agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")) \
+        .select(group, F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / width).alias("few"),
+                F.ceil(F.col("top.c") / width).alias("many")).where("few > 0")
+    at = rest.join(main, group)
     loose, core = at.where(F.col("comp") != F.col("main")), at.where(F.col("comp") == F.col("main"))
     one = F.lit(1).cast("long")
     zero = F.lit(0).cast("long")
     met = loose.withColumn("p", F.pmod(F.xxhash64("node"), F.col("few"))).withColumn("q", F.explode(F.sequence(-F.col("many"), -one))).withColumn("side", F.lit(0))
     core = core.withColumn("q", -1 - F.pmod(F.xxhash64("node"), F.col("many"))).withColumn("p", F.explode(F.sequence(zero, F.col("few") - 1))).withColumn("side", F.lit(1))
-    keep = ["cluster", "node", "comp", "n", "items", "p", "q", "side"]
+    keep = [group, "node", "comp", "n", payload, "p", "q", "side"]
     return _blocks(loose, "few").select(*keep).unionByName(met.select(*keep)).unionByName(core.select(*keep))
 
 
@@ -367,10 +368,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
 
     # buckets whose nodes are not yet tied together: their registers tell what else may be near
     labelled = member.select("key", "node").join(tied, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = (labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
-             .where(F.col("lo") != F.col("hi")).select("key", F.ceil(F.col("m") / WIDE_BLOCK).alias("blocks")))
-    rest = labelled.join(mixed, "key").join(regs, "node")
-    glue = staged(_blocks(rest, "blocks").select("key", "p", "q", "side", "node", "comp", "regs", "n")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    rest = staged(labelled.join(mixed, "key"), "hmh-mixed").join(regs, "node")
+    glue = staged(_stragglers(rest, "key", "regs", WIDE_BLOCK).select("key", "p", "q", "side", "node", "comp", "regs", "n")
                   .groupBy("key", "p", "q").applyInArrow(_maybe_near(percent), "a binary, b binary").distinct(), "hmh-glue")
     if not glue.isEmpty():
         tied = components(star.unionByName(glue))
@@ -388,7 +388,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     unsure = of.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("cluster")
     members = staged(of.join(unsure, "cluster").join(sets, "node"), "hmh-unsure")
     if not members.isEmpty():
-        late = staged(_stragglers(members).groupBy("cluster", "p", "q").applyInArrow(_linked(percent), "a binary, b binary"), "hmh-late")
+        late = staged(_stragglers(members, "cluster", "items", BLOCK).groupBy("cluster", "p", "q").applyInArrow(_linked(percent), "a binary, b binary"), "hmh-late")
         if not late.isEmpty():
             comp = components(links.unionByName(late))
 
