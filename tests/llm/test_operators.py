@@ -301,6 +301,19 @@ def test_suffix_dedup_equals_brute_force(spark, limits):
     assert rows(suffix_dedup.remove_repeats(docs_of(spark, pairs), 100, **limits)) == brute_repeats(pairs, 100)
 
 
+def test_suffix_dedup_deals_a_frequent_beginning_to_several_ranges(spark, monkeypatch):
+    r = random.Random(5)
+    shared = ["".join(r.choices("ab", (30, 1), k=400)) for _ in range(12)]  # most suffixes begin with aaaaaaaa
+    pairs = [(i, f"{words(200 + i, 30)} {''.join(r.sample(shared, 3))} {words(300 + i, 9)}") for i in range(60)]
+    seen = []
+    split = suffix_dedup._splitters
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "_splitters", lambda hits, ranges: seen.append(split(hits, ranges)) or seen[-1])
+    assert rows(suffix_dedup.remove_repeats(docs_of(spark, pairs), 100, batch_bytes=2000)) == brute_repeats(pairs, 100)
+    edges, times, own, n = suffix_dedup._ranges(seen[0])
+    assert times.max() > 1 and n == len(edges) + 1 + times[times > 1].sum() and own[times > 1].min() == len(edges) + 1
+
+
 def test_loser_tree_merges_with_prefix_lengths():
     r = random.Random(3)
     strings = [["".join(r.choice("ab") for _ in range(r.randint(1, 12))).encode() for _ in range(r.randint(0, 30))] for _ in range(5)]

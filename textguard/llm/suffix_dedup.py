@@ -12,7 +12,10 @@ bytes before it that its windows reach (its left side).
    batch move the small side only.
 2. Grams are counted over all batches.
 3. Each batch sorts its suffixes (equal ones become one row) and writes them as a front-coded
-   run, cut at the splitters: shared prefix length, rest, left side.
+   run, cut at the splitters: shared prefix length, rest, left side. The splitters are quantiles of
+   the repeated suffixes' first eight bytes over all batches, one for each range; where one beginning
+   fills m ranges, its suffixes are dealt to m ranges by a checksum of their first ``GRAM`` bytes,
+   which equal windows share.
 4. A task per range merges the runs with a loser tree that keeps every contender's common
    prefix with the last winner: contenders with different lengths are ordered without looking
    at their bytes, equal ones are compared from that length on. The order's prefix lengths, and
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +51,8 @@ GRAM = 64
 _PLACE = np.uint64((1 << 31) - 1)
 BATCH_BYTES = 2 << 20
 RANGE_BYTES = 16 << 20
-#: Splitters are drawn from at most so many batches and suffixes of each.
-SPLIT_BATCHES, SPLIT_EACH = 64, 128
+#: One in so many named places of every batch tells its first bytes; the splitters are quantiles of those that repeat.
+HEAD_SHARE = 16
 HOT_ROWS = 20_000
 
 _BATCH = pa.schema([("b", pa.int64()), ("blob", pa.binary())])
@@ -124,14 +128,16 @@ def places(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def _grams(length: int):
-    schema = pa.schema([("g", pa.int64()), ("b", pa.int64()), ("many", pa.bool_())])
+    schema = pa.schema([("g", pa.int64()), ("b", pa.int64()), ("many", pa.bool_()), ("head", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for b, blob in zip(rb.column(0).to_pylist(), rb.column(1)):
                 _, data, bounds = _unpack(blob.as_py())
-                g, n = np.unique(places(data, bounds, length)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), b)), pa.array(n > 1)], schema=schema)
+                place, gram, _, _ = places(data, bounds, length)
+                g, at, n = np.unique(gram, return_index=True, return_counts=True)
+                head = pa.array((_head(data, place[at]) >> np.uint64(1)).astype(np.int64), mask=(np.arange(len(g)) + b) % HEAD_SHARE != 0)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), b)), pa.array(n > 1), head], schema=schema)
     return run
 
 
@@ -143,15 +149,20 @@ def _head(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sample(length: int, each: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            for blob in rb.column(1):
-                _, data, bounds = _unpack(blob.as_py())
-                at = places(data, bounds, length)[0]
-                at = at[::max(1, len(at) // each)][:each]
-                yield pa.RecordBatch.from_arrays([pa.array((_head(data, at) >> np.uint64(1)).astype(np.int64))], ["head"])
-    return run
+def _splitters(hits: DataFrame, ranges: int) -> np.ndarray:
+    """Up to ranges - 1 quantiles of the beginnings in ``hits`` (heads), sorted; one that fills several ranges is repeated."""
+    at = [i / ranges for i in range(1, ranges)]
+    if not at:
+        return np.zeros(0, np.int64)
+    found = hits.select(F.explode("heads").alias("head")).agg(F.percentile_approx("head", at, 10 * ranges + 1000).alias("q")).first()["q"]
+    return np.array(found or [], np.int64)
+
+
+def _ranges(splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(distinct splitters, how often each stands, first own range of each, number of ranges)."""
+    edges, times = np.unique(splitters, return_counts=True)
+    own = np.where(times > 1, times, 0)
+    return edges, times, len(edges) + 1 + np.cumsum(own) - own, len(edges) + 1 + int(own.sum())
 
 
 # --- sorted runs ---------------------------------------------------------------------------
@@ -201,6 +212,8 @@ _RUN = pa.schema([("range", pa.int32()), ("b", pa.int64()), ("first", pa.int32()
 
 def _runs(length: int, splitters: np.ndarray):
     """Batches with their repeated grams -> run pieces per range, and (range -1) the owners of the rows."""
+    edges, times, own, _ = _ranges(splitters)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for b, blob, hits, hots in zip(rb.column(0).to_pylist(), rb.column(1), rb.column(2), rb.column(3)):
@@ -211,8 +224,8 @@ def _runs(length: int, splitters: np.ndarray):
                 hot = np.isin(gram, hots.values.to_numpy().view(np.uint64))
                 if hot.any():  # every window of a hot gram is a row of its own
                     each = (hi - lo + 1)[hot]
-                    own = np.repeat(lo[hot], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                    place, lo, hi = np.append(place[~hot], own), np.append(lo[~hot], own), np.append(hi[~hot], own)
+                    start = np.repeat(lo[hot], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                    place, lo, hi = np.append(place[~hot], start), np.append(lo[~hot], start), np.append(hi[~hot], start)
                 raw = data.tobytes()
                 number: dict[tuple[bytes, bytes], int] = {}
                 count: list[int] = []
@@ -224,17 +237,24 @@ def _runs(length: int, splitters: np.ndarray):
                     count[k] += 1
                     owner[i] = k
                 order = sorted(number.items())
+                heads = np.array([int.from_bytes(s[:8], "big") >> 1 for (s, _), _ in order], np.int64)
+                part = np.searchsorted(edges, heads, "right")
+                full = np.flatnonzero((part > 0) & (times[part - 1] > 1) & (edges[part - 1] == heads)) if len(edges) else []
+                for i in full:
+                    e = part[i] - 1
+                    part[i] = own[e] + zlib.crc32(order[i][0][0][:GRAM]) % int(times[e])
+                if len(full):
+                    by_range = np.argsort(part, kind="stable")
+                    order, part = [order[i] for i in by_range], part[by_range]
                 rank = np.zeros(max(len(order), 1), np.int32)
                 rank[[k for _, k in order]] = np.arange(len(order))
                 rows = [(s, left, count[k] > 1) for (s, left), k in order]
-                heads = np.array([int.from_bytes(s[:8], "big") >> 1 for s, _, _ in rows], np.int64)
-                cut = np.searchsorted(np.searchsorted(splitters, heads, "right"), np.arange(len(splitters) + 2))
                 owners = zstandard.ZstdCompressor(level=3).compress(place.astype(np.int32).tobytes() + (rank[owner] if len(place) else owner).tobytes())
-                got = [(r, int(cut[r])) for r in range(len(splitters) + 1) if cut[r + 1] > cut[r]]
+                got, first, size = np.unique(part, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([-1] + [r for r, _ in got], pa.int32()), pa.array([b] * (len(got) + 1), pa.int64()),
-                    pa.array([0] + [f for _, f in got], pa.int32()),
-                    pa.array([owners] + [front_coded(rows[f:int(cut[r + 1])]) for r, f in got], pa.binary())], schema=_RUN)
+                    pa.array([-1, *got.tolist()], pa.int32()), pa.array([b] * (len(got) + 1), pa.int64()),
+                    pa.array([0, *first.tolist()], pa.int32()),
+                    pa.array([owners, *(front_coded(rows[f:f + n]) for f, n in zip(first.tolist(), size.tolist()))], pa.binary())], schema=_RUN)
     return run
 
 
@@ -397,19 +417,19 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False,
      .write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").bucketBy(buckets, "b").saveAsTable(name))
     batches = spark.table(name)
 
-    grams = staged(batches.mapInArrow(_grams(length), "g long, b long, many boolean"), "suffix-grams")
+    grams = staged(batches.mapInArrow(_grams(length), "g long, b long, many boolean, head long"), "suffix-grams")
     repeated = grams.groupBy("g").agg(F.count("*").alias("n"), F.max("many").alias("many")).where("n > 1 or many")
     found = grams.join(repeated.select("g", (F.col("n") > hot_rows).alias("hot")), "g")
-    hits = staged(found.groupBy("b").agg(F.collect_list("g").alias("hits"), F.collect_list(F.when(F.col("hot"), F.col("g"))).alias("hots"), F.count("*").alias("n")), "suffix-hits")
+    hits = staged(found.groupBy("b").agg(F.collect_list("g").alias("hits"), F.collect_list(F.when(F.col("hot"), F.col("g"))).alias("hots"),
+                                        F.collect_list("head").alias("heads"), F.count("*").alias("n")), "suffix-hits")
 
     total = hits.agg(F.sum("n")).first()[0] or 0
     ranges = max(buckets, int(total * 1.4 * length // RANGE_BYTES))
-    heads = sorted(r[0] for r in batches.limit(SPLIT_BATCHES).mapInArrow(_sample(length, SPLIT_EACH), "head long").collect())
-    splitters = np.unique(np.array([heads[len(heads) * i // ranges] for i in range(1, ranges)] if heads else [], np.int64))
+    splitters = _splitters(hits, ranges)
 
     joined = batches.join(hits.hint("shuffle_hash"), "b").select("b", "blob", "hits", "hots")
     runs = staged(joined.mapInArrow(_runs(length, splitters), "range int, b long, first int, payload binary"), "suffix-runs", "none")
-    spans = (runs.where("range >= 0").repartition(len(splitters) + 1, "range").groupBy("range")
+    spans = (runs.where("range >= 0").repartition(_ranges(splitters)[3], "range").groupBy("range")
              .applyInArrow(_merge(length), "b long, payload binary"))
     spans = staged(spans, "suffix-spans").groupBy("b").agg(F.collect_list("payload").alias("found"))
     owners = runs.where("range < 0").select("b", F.col("payload").alias("owners"))
