@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textguard.functions.text import uni
+
 
 def sql_str(s: str) -> str:
     """Spark SQL string literal (backslashes and quotes escaped)."""
@@ -41,7 +43,7 @@ def substring_hits_sql(views: list[str], needles) -> str:
 
 
 def _guarded(view: str, pattern: str, flags: str, requires: dict | None) -> str:
-    rx = f"{ident(view)} RLIKE {sql_str(flags + pattern)}"
+    rx = f"{ident(view)} RLIKE {sql_str(flags + uni(pattern))}"
     lits = (requires or {}).get(pattern)
     if not lits:
         return rx

@@ -19,9 +19,29 @@ PY_WS = (r"\t\n\x0B\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 PY_WS_RUN = "[" + PY_WS + "]+"
 
 
+def uni(pattern: str) -> str:
+    """``pattern`` with the classes that Python takes in Unicode written out (Java and RE2 read them as ASCII):
+    ``\\d`` as decimal digits of any script, ``\\s`` and ``\\S`` by ``str.isspace()``."""
+    out, i, inside = [], 0, False
+    while i < len(pattern):
+        step = 2 if pattern[i] == "\\" else 1
+        token = pattern[i:i + step]
+        if token == r"\d":
+            token = r"\p{Nd}"
+        elif token == r"\s":
+            token = PY_WS if inside else "[" + PY_WS + "]"
+        elif token == r"\S" and not inside:
+            token = "[^" + PY_WS + "]"
+        elif token in "[]":
+            inside = token == "["
+        out.append(token)
+        i += step
+    return "".join(out)
+
+
 def ci(pattern: str) -> str:
     """Case-insensitive form of a pattern (Java and RE2 share the inline flag)."""
-    return "(?i)" + pattern
+    return "(?i)" + uni(pattern)
 
 
 def col_(c) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textguard.functions import lexicons as L
 from textguard.functions.prefilters import BIAS_REQUIRES, OUTPUT_JAILBREAK_REQUIRES
 from textguard.functions.sqltext import expr, first_regex_sql, regex_hits_sql, substring_hits_sql
-from textguard.functions.text import ci, col_, punct_normalize, score_tenths, word_count
+from textguard.functions.text import ci, col_, punct_normalize, score_tenths, uni, word_count
 from textguard.operators.scoring import bias_from_probabilities, toxicity_from_probability
 
 STR_ARRAY = "array<string>"
@@ -41,7 +41,7 @@ def substring_hits(views, needles) -> Column:
 def regex_hits(views, patterns, case_insensitive=True) -> Column:
     """Patterns that match any of the given text views (each pattern is a literal regex)."""
     def matches(p):
-        rx = ci(p) if case_insensitive else p
+        rx = ci(p) if case_insensitive else uni(p)
         out = F.lit(False)
         for v in views:
             out = out | v.rlike(rx)

@@ -83,16 +83,17 @@ def _any(conds: list[Column]) -> Column:
     return out
 
 
-def rule_prefilter_sql(text: str, span_type: str) -> str:
-    """A cheap test every match of the rule needs: '@' for e-mail, an ASCII digit for the
-    numeric rules. Most texts fail it, and then the rule's two regex scans are skipped."""
+def rule_prefilter_sql(text: str, span_type: str, pattern: str) -> str:
+    """A cheap test every match of the rule needs: '@' for e-mail, a digit for the numeric rules (an ASCII one where
+    ``pattern`` names 0-9 somewhere). Most texts fail it, and then the rule's two regex scans are skipped."""
     t = ident(text)
-    return f"instr({t}, '@') > 0" if span_type == "email" else f"{t} RLIKE '[0-9]'"
+    digit = "[0-9]" if "[0-9]" in pattern or "[1-9]" in pattern else r"\p{Nd}"
+    return f"instr({t}, '@') > 0" if span_type == "email" else f"{t} RLIKE {sql_str(digit)}"
 
 
 def rule_pii_spans(text: str) -> Column:
     """D1 + D3: validated rule detections of column ``text`` in pattern order, then match order."""
-    per_rule = [f"CASE WHEN {rule_prefilter_sql(text, t)} THEN {regex_spans_sql(text, ci(p), t, c)} "
+    per_rule = [f"CASE WHEN {rule_prefilter_sql(text, t, p)} THEN {regex_spans_sql(text, ci(p), t, c)} "
                 f"ELSE CAST(array() AS {SPAN_ARRAY_SQL}) END" for t, p, c in L.PII_RULES]
     return validate_spans(text, expr("concat(" + ", ".join(per_rule) + ")"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import lexicons as L
-from textguard.functions.text import placeholder_email, trivial_prompt_password, with_normalized
+from textguard.functions.text import ci, placeholder_email, trivial_prompt_password, uni, with_normalized
 from textguard.functions.prefilters import PROMPT_JAILBREAK_REQUIRES
 from textguard.functions.sqltext import expr, regex_hits_sql, substring_hits_sql
 from textguard.operators.outfilter import STR_ARRAY
@@ -38,13 +38,13 @@ def prompt_pii_found() -> Column:
     placeholder is skipped; any password marker in the prompt replaces the type by
     'password' when that password is non-trivial, and by nothing otherwise."""
     t, norm = F.col("_tg_t"), F.col("_tg_norm")
-    pw_rx = "(?i)" + L.PROMPT_PASSWORD_PATTERN
+    pw_rx = ci(L.PROMPT_PASSWORD_PATTERN)
     pw_present = t.rlike(pw_rx)
     pw_ok = ~trivial_prompt_password(F.regexp_extract(t, pw_rx, 1), t)
     parts = []
     for ptype, pat in L.PROMPT_PII_RULES:
-        m_orig = F.regexp_extract(t, pat, 0)
-        m_norm = F.regexp_extract(norm, pat, 0)
+        m_orig = F.regexp_extract(t, uni(pat), 0)
+        m_norm = F.regexp_extract(norm, uni(pat), 0)
         matched = F.when(m_orig != "", m_orig).when(m_norm != "", m_norm)
         skip = placeholder_email(matched, t) if ptype == "email" else F.lit(False)
         parts.append(F.when(matched.isNull() | skip, F.array().cast(STR_ARRAY))

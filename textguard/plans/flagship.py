@@ -20,7 +20,7 @@ def screening_by_lang(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread_for_cpu(read_table(spark, sf, "documents").select("doc_id", "lang", "text"))
     scored = OF.with_toxicity(docs, "text")
     t = F.coalesce(F.col("text"), F.lit(""))
-    has_digit, has_at = t.rlike("[0-9]"), F.instr(t, "@") > 0
+    has_digit, has_at = t.rlike(r"\p{Nd}"), F.instr(t, "@") > 0
     hits = {f"{name}_hits": F.when(has_at if name == "email" else has_digit, F.regexp_count(t, F.lit(ci(p))))
             .otherwise(F.lit(0)) for name, p, _ in L.PII_RULES}
     scored = scored.withColumns(hits)

@@ -12,6 +12,7 @@ character classes.
 from __future__ import annotations
 
 from textguard.functions import lexicons as L
+from textguard.functions.text import ci, uni
 from textguard.sources.planted import sparse_turns_sql
 
 WS = (r"\t\n\x0B\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
@@ -30,8 +31,6 @@ def arr(items) -> str:
     return "[" + ", ".join(q(i) for i in items) + "]::VARCHAR[]"
 
 
-def ci(p: str) -> str:
-    return "(?i)" + p
 
 
 def py_strip(x: str) -> str:
@@ -56,7 +55,7 @@ def substring_hits(views, needles) -> str:
 def regex_hits(views, patterns, case_insensitive=True) -> str:
     parts = []
     for p in patterns:
-        rx = ci(p) if case_insensitive else p
+        rx = ci(p) if case_insensitive else uni(p)
         cond = " OR ".join(f"regexp_matches({v}, {q(rx)})" for v in views)
         parts.append(f"CASE WHEN {cond} THEN [{q(p)}] ELSE []::VARCHAR[] END")
     return "list_concat(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]
@@ -413,13 +412,13 @@ def trivial_prompt_password(pw: str, ctx: str) -> str:
 
 
 def prompt_pii_found(t: str, norm: str) -> str:
-    pw_rx = q("(?i)" + L.PROMPT_PASSWORD_PATTERN)
+    pw_rx = q(ci(L.PROMPT_PASSWORD_PATTERN))
     pw_present = f"regexp_matches({t}, {pw_rx})"
     pw_ok = f"NOT {trivial_prompt_password(f'regexp_extract({t}, {pw_rx}, 1)', t)}"
     parts = []
     for ptype, pat in L.PROMPT_PII_RULES:
-        mo = f"regexp_extract({t}, {q(pat)})"
-        mn = f"regexp_extract({norm}, {q(pat)})"
+        mo = f"regexp_extract({t}, {q(uni(pat))})"
+        mn = f"regexp_extract({norm}, {q(uni(pat))})"
         matched = f"(CASE WHEN {mo} <> '' THEN {mo} WHEN {mn} <> '' THEN {mn} END)"
         skip = placeholder_email(matched, t) if ptype == "email" else "FALSE"
         parts.append(f"CASE WHEN {matched} IS NULL OR coalesce({skip}, FALSE) THEN []::VARCHAR[] "
