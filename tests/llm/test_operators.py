@@ -123,6 +123,8 @@ def test_quality_order_changes_no_verdict(spark):
     cost = [quality_cascade.RuleCost("dear", 1.0, 0.5), quality_cascade.RuleCost("cheap", 0.1, 0.2), quality_cascade.RuleCost("idle", 0.1, 0.0)]
     assert quality_cascade.order_rules(cost) == ["cheap", "dear", "idle"]
     assert sorted(r["doc_id"] for r in quality_cascade.keep_good(df).collect()) == [8, 31]
+    got = {c.name: c for c in quality_cascade.rule_costs(df, fraction=1.0)}  # 8, 31 and 33 pass the base rules
+    assert got["shouting"].rejected == 1 / 3 and got["symbol_heavy"].rejected == 0 and all(c.seconds > 0 for c in got.values())
 
 
 # --- 3
