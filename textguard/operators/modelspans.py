@@ -8,12 +8,13 @@ text is ever grouped with another.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textguard.functions import lexicons as L
 from textguard.functions.sqltext import ident, sql_str
 from textguard.operators.ordered import DEFAULT_BLOCK, blocked_latest, blocked_previous
+from textguard.session import written
 
 MSPAN = "STRUCT<type:STRING,start:INT,end:INT,confs:ARRAY<DOUBLE>>"
 TOKEN_ARRAY = "array<struct<label:string,conf:double,start:int,end:int>>"
@@ -141,25 +142,83 @@ def tokens_from_rule_spans(text: str, spans: str) -> Column:
 
 # ---------------------------------------------------------------- M3, M4 over a table of tokens
 
+#: Tokens of a word: how many of them one bit mask (a non-negative bigint) describes.
+WORD = 62
+
+
 def spans_of_tokens(tokens: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """M3 over a table (doc_id, idx, label, conf, start, end) of a tagger's tokens, one row each: (doc_id, first, type, start, end,
     conf_sum, n_tokens), ``first`` the idx of a span's first token. The same rules as ``decode_bio_sql``, stated over
     neighbours: between special or 'O' tokens, tokens before the first 'B-' are ignored; from there on a token opens a span
     if it is a 'B-', of another type than the token before it, or starts behind that one's end, else it extends the
-    span. A document's tokens are ordered in blocks, so a long document is not one task's window."""
+    span. A document's tokens are ordered in blocks, so a long document is not one task's window.
+
+    Tokens outside move as bits only: a word of ``WORD`` tokens has a mask of those outside and one of the others, built
+    before the shuffle, and tells each of its tokens whether the one before it is outside. The tokens of a block then become pieces of
+    spans; those certainly before a 'B-' are dropped there, and pieces that meet at a border of blocks are joined."""
+    t = tokens.select("doc_id", "idx", "label", "conf", "start", "end", F.floor(F.col("idx") / F.lit(block)).cast("bigint").alias("_blk"))
+    place = F.col("idx") - F.col("_blk") * block
+    word, bit = F.floor(place / WORD).cast("int"), F.expr(f"shiftleft(1L, CAST((idx - _blk * {block}) % {WORD} AS INT))")
+    kept = F.coalesce(~_out(), F.lit(True))
+    words = written(t.groupBy("doc_id", "_blk", word.alias("_word")).agg(F.bit_or(F.when(kept, 0).otherwise(bit)).alias("outs"),
+                                                                         F.bit_or(F.when(kept, bit).otherwise(0)).alias("ins")), "token-words")
+    pieces = written(_pieces(t.where(kept), words, word, bit), "token-pieces")
+    return _stitched(pieces, words, block)
+
+
+def _out() -> Column:
+    """Whether a token is special or 'O'."""
+    return ((F.col("start") == 0) & (F.col("end") == 0)) | (F.col("label") == "O")
+
+
+def _pieces(kept: DataFrame, words: DataFrame, word: Column, bit: Column) -> DataFrame:
+    """The spans inside each block, and what may belong to one: the tokens of a block from one that opens a piece to the next. A
+    block's first token opens one. ``prev_out``: whether the token before the piece is outside, null for a block's first token; ``dead``: no
+    'B-' since the last token outside (of these, the last one of a block only)."""
+    w = Window.partitionBy("doc_id", "_blk").orderBy("_word", F.col("idx").asc_nulls_first())
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     label = F.col("label")
     tagged = F.instr(label, "-") > 0
-    t = tokens.select("doc_id", "idx", "conf", "start", "end",
-                      (((F.col("start") == 0) & (F.col("end") == 0)) | (label == "O")).alias("out"),
-                      (tagged & (F.substring_index(label, "-", 1) == "B")).alias("begins"),
-                      F.lower(F.when(tagged, label.substr(F.instr(label, "-") + 1, F.length(label))).otherwise(label)).alias("type"))
-    t = blocked_previous(t, "doc_id", "idx", ["type", "end", "out"], block)
-    t = blocked_latest(t, "doc_id", "idx", {"last_b": F.col("begins") & ~F.col("out"), "last_out": F.col("out")}, block)
-    inside = t.where(~F.col("out") & (F.col("last_b") > F.coalesce("last_out", F.lit(-1 << 62))))
-    opens = F.col("begins") | F.coalesce("prev_out", F.lit(True)) | (F.col("prev_type") != F.col("type")) | (F.col("start") > F.col("prev_end"))
-    inside = blocked_latest(inside.withColumn("opens", opens), "doc_id", "idx", {"first": F.col("opens")}, block)
-    return inside.groupBy("doc_id", "first").agg(F.min_by("type", "idx").alias("type"), F.min_by("start", "idx").alias("start"),
-                                                 F.max_by("end", "idx").alias("end"), F.sum("conf").alias("conf_sum"), F.count(F.lit(1)).alias("n_tokens"))
+    # only the tokens' own columns are shuffled; a word's masks then stand before its tokens
+    rows = kept.unionByName(words, allowMissingColumns=True).repartition("doc_id", "_blk").withColumns({
+        "_word": F.coalesce("_word", word), "out": _out(), "begins": tagged & (F.substring_index(label, "-", 1) == "B"),
+        "type": F.lower(F.when(tagged, label.substr(F.instr(label, "-") + 1, F.length(label))).otherwise(label))})
+    is_token = F.col("idx").isNotNull()
+    rows = rows.withColumns({
+        "_outs": F.last("outs", ignorenulls=True).over(so_far), "_ins": F.last("ins", ignorenulls=True).over(so_far),
+        "_ahead": F.when(~is_token, F.last(F.col("outs") > F.col("ins"), ignorenulls=True).over(before)),
+        "_near": F.last(F.when(is_token, F.struct("type", "end", "out")), ignorenulls=True).over(before)})
+    rows = rows.withColumn("_ahead", F.last("_ahead", ignorenulls=True).over(so_far)).where(is_token)
+    outs, ins = F.col("_outs").bitwiseAND(bit - 1), F.col("_ins").bitwiseAND(bit - 1)  # the higher mask has the nearer token
+    near = F.col("_near")
+    rows = rows.withColumn("prev_out", F.when((outs > 0) | (ins > 0), outs > ins).otherwise(F.col("_ahead")))
+    opens = (F.col("begins") | F.coalesce("prev_out", F.lit(True)) | near.isNull() | near["out"].isNull() | (near["type"] != F.col("type"))
+             | (F.col("start") > near["end"]))
+    rows = rows.withColumns({"first": F.max(F.when(opens, F.col("idx"))).over(so_far),
+                             "_b": F.max(F.when(F.col("begins") & ~F.col("out"), F.col("idx"))).over(so_far),
+                             "_fresh": F.max(F.when(F.col("prev_out"), F.col("idx"))).over(so_far),
+                             "_top": F.max("idx").over(Window.partitionBy("doc_id", "_blk"))})
+    dead = F.col("_fresh").isNotNull() & (F.col("_fresh") > F.coalesce("_b", F.lit(-1 << 62)))
+    rows = rows.where(~F.col("out")).withColumn("dead", dead).where(~F.col("dead") | (F.col("idx") == F.col("_top")))
+    return rows.groupBy("doc_id", "_blk", "first").agg(
+        F.min_by("type", "idx").alias("type"), F.min_by("start", "idx").alias("start"), F.max_by("end", "idx").alias("end"), F.sum("conf").alias("conf_sum"),
+        F.count(F.lit(1)).alias("n_tokens"), F.max("begins").alias("begins"), F.max("dead").alias("dead"), F.min_by("prev_out", "idx").alias("prev_out"))
+
+
+def _stitched(pieces: DataFrame, words: DataFrame, block: int) -> DataFrame:
+    """Spans of the pieces: those after a 'B-', a block's first one joined to the one before it where it extends that."""
+    ends = words.groupBy("doc_id", "_blk").agg(F.max_by(F.col("outs") > F.col("ins"), "_word").alias("_last"))
+    ahead = ends.select("doc_id", "_blk", F.lag("_last").over(Window.partitionBy("doc_id").orderBy("_blk")).alias("_out_ahead"))
+    p = pieces.join(ahead, ["doc_id", "_blk"], "left").withColumn("_at_border", F.col("prev_out").isNull()).drop("_blk")
+    p = p.withColumn("prev_out", F.coalesce("prev_out", "_out_ahead", F.lit(True))).drop("_out_ahead")
+    p = blocked_previous(p, "doc_id", "first", ["type", "end"], block)
+    p = blocked_latest(p, "doc_id", "first", {"last_b": F.col("begins"), "fresh": F.col("prev_out") | F.col("dead")}, block)
+    p = p.where(F.col("last_b") >= F.coalesce("fresh", F.lit(-1 << 62)))
+    opens = ~F.col("_at_border") | F.col("begins") | F.col("prev_out") | F.col("prev_type").isNull() | (F.col("prev_type") != F.col("type")) | (F.col("start") > F.col("prev_end"))
+    p = blocked_latest(p.withColumn("opens", opens), "doc_id", "first", {"span": F.col("opens")}, block)
+    return p.groupBy("doc_id", F.col("span").alias("first")).agg(
+        F.min_by("type", p["first"]).alias("type"), F.min_by("start", p["first"]).alias("start"), F.max_by("end", p["first"]).alias("end"),
+        F.sum("conf_sum").alias("conf_sum"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def merged_token_spans(spans: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
