@@ -27,3 +27,27 @@ def test_small_models(spark):
     assert p[0] > 0.9 and p[1] < 0.1 and not {900, 901, 902} & set(p)
     assert TM.fit(words, labels.withColumn("y", F.lit(0))).score(words).count() == 0
     assert TM.fit(words, labels.limit(0)).score(words).count() == 0
+
+
+def test_several_labels_in_one_pass(spark):
+    """``fit_all`` and ``score_all`` give what a model a label gives, with repeated rows, null keys and null labels."""
+    rows = [(i % 190, ("you IDIOT there" if i % 4 == 0 else "fine words here") + (" tall" if i % 3 == 0 else "")) for i in range(200)] + [(None, "IDIOT"), (901, "...")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = spark.createDataFrame([(i % 180, None if i % 50 == 7 else int(i % 4 == 0)) for i in range(230)] + [(None, 1)], "doc_id long, y int")
+    two = docs.select("doc_id", F.col("text").contains("tall").cast("int").alias("b"), F.lit(0).alias("c"))
+    sets, words = TM.term_sets(docs), TM.terms(docs)
+    models = TM.fit_all(sets, [(one.withColumnRenamed("y", "a"), ["a"]), (two, ["b", "c"])])
+    got = {r.doc_id: r for r in TM.score_all(sets, models).where("doc_id IS NOT NULL").collect()}
+    for x, labels in (("a", one), ("b", two.withColumnRenamed("b", "y")), ("c", two.withColumnRenamed("c", "y"))):
+        model = TM.fit(words, labels.select("doc_id", "y"))
+        assert sorted(map(tuple, models[x].weights.collect())) == sorted(map(tuple, model.weights.collect()))
+        want = {r.doc_id: r.p for r in model.score(words).where("doc_id IS NOT NULL").collect()}
+        assert want == {k: r[x] for k, r in got.items() if r[x] is not None} and (want or x == "c")
+
+
+def test_texts_are_cut_into_terms_once(spark, sf001, monkeypatch):
+    from textguard.plans import q_outfilter as Q
+    cuts, rules, terms, bias = [], [], TM.term_sets, Q.OF.with_bias
+    monkeypatch.setattr(TM, "term_sets", lambda *a, **k: cuts.append(1) or terms(*a, **k))
+    monkeypatch.setattr(Q.OF, "with_bias", lambda *a, **k: rules.append(1) or bias(*a, **k))
+    assert Q.model_scores(spark, sf001).count() > 0 and len(cuts) == len(rules) == 1

@@ -16,9 +16,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textguard.session import written
+
 PSEUDO, MIN_Z, MIN_DOCS = 2.0, 5.0, 2
 #: Size of a model: the terms with the largest weights.
 MAX_TERMS = 20_000
@@ -26,10 +28,14 @@ MILLION = 1_000_000
 TERM = r"\pL+"
 
 
+def term_sets(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, terms): the distinct runs of letters of every text, lower-cased, as an array."""
+    return df.select(key, F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0))).alias("terms"))
+
+
 def terms(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term): the distinct runs of letters of every text, lower-cased."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))
-    return df.select(key, F.explode_outer(words).alias("term")).where("term IS NOT NULL")
+    return term_sets(df, key, text).select(key, F.explode("terms").alias("term"))
 
 
 @dataclass
@@ -49,8 +55,18 @@ class TextModel:
 def fit(doc_terms: DataFrame, labels: DataFrame, key: str = "doc_id", min_z: float = MIN_Z, min_docs: int = MIN_DOCS,
         max_terms: int = MAX_TERMS) -> TextModel:
     """The model of ``labels`` (key, y: 0 or 1). Labels without a document's terms count in the prior only."""
-    total = labels.agg(F.coalesce(F.sum("y"), F.lit(0)).cast("double").alias("n_pos"), (F.count("y") - F.coalesce(F.sum("y"), F.lit(0))).cast("double").alias("n_neg"))
+    total = labels.agg(*_totals(F.sum("y"), F.count("y")))
     seen = doc_terms.join(labels, key).groupBy("term").agg(F.sum("y").cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
+    return _model(seen, total, min_z, min_docs, max_terms)
+
+
+def _totals(pos: Column, known: Column) -> tuple[Column, Column]:
+    pos = F.coalesce(pos, F.lit(0))
+    return pos.cast("double").alias("n_pos"), (F.coalesce(known, F.lit(0)) - pos).cast("double").alias("n_neg")
+
+
+def _model(seen: DataFrame, total: DataFrame, min_z: float, min_docs: int, max_terms: int) -> TextModel:
+    """The model of the terms' counts (term, pos, n) and those of the labels (n_pos, n_neg; one row)."""
     drawn = PSEUDO * F.col("n") / (F.col("n_pos") + F.col("n_neg"))
     chance = F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))
     rates = (seen.where(F.col("n") >= min_docs).crossJoin(F.broadcast(total))  # total is one row
@@ -62,6 +78,44 @@ def fit(doc_terms: DataFrame, labels: DataFrame, key: str = "doc_id", min_z: flo
     return TextModel(weights, prior)
 
 
+def fit_all(docs: DataFrame, tables: list[tuple[DataFrame, list[str]]], key: str = "doc_id", min_z: float = MIN_Z, min_docs: int = MIN_DOCS,
+            max_terms: int = MAX_TERMS) -> dict[str, TextModel]:
+    """``fit`` for every label of several tables, in one pass over ``docs`` (``term_sets``): each table has ``key`` and its labels' columns
+    (0 or 1), whose names differ. Labels are summed by key and meet a document once, as numbers, before its terms are counted;
+    what is read several times (the sums by key, the counts by term) is written first."""
+    names = [x for _, labels in tables for x in labels]
+    sums = None
+    for k, (table, labels) in enumerate(tables):
+        part = table.groupBy(key).agg(F.count(F.lit(1)).alias(f"rows{k}"), *(F.sum(x).alias(f"pos_{x}") for x in labels), *(F.count(x).alias(f"known_{x}") for x in labels))
+        sums = part if sums is None else sums.join(part, key, "full")
+    sums = written(sums, "label-sums")
+    rows_of = {x: f"rows{k}" for k, (_, labels) in enumerate(tables) for x in labels}
+    counts = (docs.join(sums, key).select(F.explode("terms").alias("term"), *(f"rows{k}" for k in range(len(tables))), *(f"pos_{x}" for x in names))
+              .groupBy("term").agg(*(F.sum(f"rows{k}").alias(f"rows{k}") for k in range(len(tables))), *(F.sum(f"pos_{x}").alias(f"pos_{x}") for x in names)))
+    counts = written(counts.where(F.greatest(*(F.coalesce(f"rows{k}", F.lit(0)) for k in range(len(tables)))) >= max(min_docs, 1)), "term-counts")
+    out = {}
+    for x in names:
+        seen = counts.where(F.col(rows_of[x]) > 0).select("term", F.col(f"pos_{x}").cast("double").alias("pos"), F.col(rows_of[x]).cast("double").alias("n"))
+        total = sums.agg(*_totals(F.sum(f"pos_{x}"), F.sum(f"known_{x}")))
+        out[x] = _model(seen, total, min_z, min_docs, max_terms)
+    return out
+
+
+def score_all(docs: DataFrame, models: dict[str, TextModel], key: str = "doc_id") -> DataFrame:
+    """(key, a probability for each model, null where it knows no term) for every document of ``docs`` (``term_sets``) with a term that some
+    model knows: terms meet the weights of all models in one join."""
+    known = None
+    for k, m in enumerate(models.values()):
+        w = m.weights.select("term", F.lit(k).alias("model"), "weight")
+        known = w if known is None else known.unionByName(w)
+    weights = known.groupBy("term").agg(*(F.sum(F.when(F.col("model") == k, F.col("weight"))).alias(f"w{k}") for k in range(len(models))))
+    sums = (docs.select(key, F.explode("terms").alias("term")).join(F.broadcast(weights), "term")  # at most max_terms a model
+            .groupBy(key).agg(*(F.sum(f"w{k}").alias(f"s{k}") for k in range(len(models)))))
+    for k, m in enumerate(models.values()):
+        sums = sums.crossJoin(F.broadcast(m.prior.withColumnRenamed("prior", f"prior{k}")))  # one row
+    return sums.select(key, *((1 / (1 + F.exp(-(F.col(f"s{k}") + F.col(f"prior{k}")) / MILLION))).alias(x) for k, x in enumerate(models)))
+
+
 def oracle_ctes(name: str, labels: str, min_z: float = MIN_Z, min_docs: int = MIN_DOCS, max_terms: int = MAX_TERMS) -> str:
     """DuckDB CTEs of the same model over a relation ``terms`` (doc_id, term): ``{name}_score`` (doc_id, p)."""
     return f"""{name}_lab AS ({labels}),

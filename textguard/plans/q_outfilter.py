@@ -10,6 +10,7 @@ from textguard.operators import outfilter as OF
 from textguard.operators import textmodel as TM
 from textguard.plans import oracle_sql as O
 from textguard.plans.catalog import register
+from textguard.session import written
 from textguard.sources.planted import planted_df, planted_values_sql
 from textguard.sources.tables import read_table, spread_for_cpu
 
@@ -174,13 +175,10 @@ src AS (SELECT s.*, t.p AS tp, CASE WHEN """ + " OR ".join(f"{x}.p IS NOT NULL"
 def model_scores(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, tp, bp): probabilities of the fitted models for every document with a known term."""
     docs = docs_with_planted(spark, sf)
-    words = TM.terms(docs)
-    rules = OF.with_bias(docs, "text").select("doc_id", F.col("bias.types").alias("types"))
-    tox = TM.fit(words, read_table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("y"))).score(words).withColumnRenamed("p", "tp")
-    out = tox
-    for x in L.BIAS_MODEL_LABELS:
-        taught = rules.select("doc_id", F.array_contains("types", x).cast("int").alias("y"))
-        out = out.join(TM.fit(words, taught).score(words).withColumnRenamed("p", x), "doc_id", "full")
+    sets = written(TM.term_sets(docs), "term-sets")
+    taught = OF.with_bias(docs, "text").select("doc_id", *(F.array_contains("bias.types", x).cast("int").alias(x) for x in L.BIAS_MODEL_LABELS))
+    labels = read_table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("tp"))
+    out = TM.score_all(sets, TM.fit_all(sets, [(labels, ["tp"]), (taught, list(L.BIAS_MODEL_LABELS))]))
     some = F.greatest(*(F.col(x).isNotNull() for x in L.BIAS_MODEL_LABELS))
     return out.select("doc_id", "tp", F.when(some, F.array(*(F.coalesce(x, F.lit(0.0)) for x in L.BIAS_MODEL_LABELS))).alias("bp"))
 
