@@ -125,3 +125,18 @@ def test_conversation_spells_expire_and_state_stays_small(spark):
                  for r in spark.table(n_w4).collect())
     assert got == want and len(want) > 40 and left == 1
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8  # the one open conversation: its row and its timer
+
+
+def test_an_arrival_is_several_files(spark):
+    """W1-W5 contract: every arrival is written by all tasks, as equally many files, one arrival a micro-batch."""
+    from textguard.plans.q_stream import cut_into_files
+    rows = spark.range(0, 4001, 1, 3).select("id", F.when(F.col("id") == 4000, 1).otherwise(F.col("id") % 2 * 2).alias("k"))
+    path, width = cut_into_files(rows, F.col("k"), 3, "test-arrivals")
+    assert width > 1 and len(spark.read.parquet(path).inputFiles()) == 3 * width
+    assert spark.read.parquet(path).where("k = 2").select(F.input_file_name()).distinct().count() == width
+    batches = []
+    q = (W.read_stream(spark, path, "id long, k long", max_files=width).writeStream
+         .foreachBatch(lambda df, n: batches.append([(r.k, r.n) for r in df.groupBy("k").agg(F.count("id").alias("n")).collect()]))
+         .option("checkpointLocation", W.checkpoint_for(spark, _name("arrivals"))).trigger(availableNow=True).start())
+    _drain(q)
+    assert batches == [[(0, 2000)], [(1, 1)], [(2, 2000)]]

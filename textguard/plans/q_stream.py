@@ -1,7 +1,7 @@
 """Contract queries for the streaming jobs.
 
-The contract cuts a table into files in order of arrival, some rows arriving two files late, and runs the job over
-them with one file a micro-batch until all are read; the result is the sink's table. The oracle replays the
+The contract cuts a table into arrivals, each a set of files, some rows arriving two arrivals late, and runs the job over
+them with one arrival a micro-batch until all are read; the result is the sink's table. The oracle replays the
 batches: the watermark of a batch is the newest time of the batches before it less the delay, and a row is
 late if its time (or its window's end) is not behind the watermark of the batch before.
 """
@@ -31,12 +31,17 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_into_files(df: DataFrame, arrival: Column, files: int, name: str) -> str:
-    """Write ``df`` as one file for each value 0..files-1 of ``arrival``, in that order; the file source reads them by age."""
-    path = _folder(df.sparkSession, name)
-    for k in range(files):
-        df.where(arrival == k).coalesce(1).write.mode("append").parquet(path)
-    return path
+def cut_into_files(df: DataFrame, arrival: Column, arrivals: int, name: str) -> tuple[str, int]:
+    """Write the rows of each value 0..arrivals-1 of ``arrival`` in that order, each as the same number of files: (folder, that number). The
+    file source reads files by age, so a batch of so many files is one arrival, and all tasks write and read it. An arrival
+    of few rows is filled up with empty files."""
+    spark = df.sparkSession
+    path, width = _folder(spark, name), spark.sparkContext.defaultParallelism
+    for k in range(arrivals):
+        df.where(arrival == k).repartition(width).write.mode("append").parquet(path)
+        for _ in range((k + 1) * width - len(spark.read.schema(df.schema).parquet(path).inputFiles())):
+            df.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return path, width
 
 
 def drained(df: DataFrame, name: str) -> DataFrame:
@@ -52,8 +57,9 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     n = ev.agg((F.max("event_id") + 1).alias("n"))
     due = F.expr(f"event_id * {EVENT_FILES} div n + if(event_id % 37 = 0, 2, 0)")
     rows = ev.crossJoin(F.broadcast(n)).withColumn("due", F.least(due, F.lit(EVENT_FILES - 1)))  # n is one row
-    path = cut_into_files(rows.select("event_id", "ts", "user_id", "event_type", "value", "props", "due"), F.col("due"), EVENT_FILES, "event-files")
-    return W.read_stream(spark, path, W.EVENT_SCHEMA, max_files=1)
+    rows = rows.select("event_id", "ts", "user_id", "event_type", "value", "props", "due")
+    path, width = cut_into_files(rows, F.col("due"), EVENT_FILES, "event-files")
+    return W.read_stream(spark, path, W.EVENT_SCHEMA, max_files=width)
 
 
 EVENT_BATCHES = (f"n AS (SELECT max(event_id) + 1 AS n FROM events), ev AS (SELECT events.*, least(event_id * {EVENT_FILES} // n.n "
@@ -121,8 +127,8 @@ guarded AS (SELECT t.conv_id, t.turn, t.role, CASE WHEN t.role = 'user' THEN pa_
 def stream_guarded_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Every turn scored as its file arrives."""
     turns = contract_turns(spark, sf)
-    path = cut_into_files(turns, F.pmod("conv_id", F.lit(3)), 3, "turn-files")
-    return drained(W.guard_turns(W.read_stream(spark, path, W.TURN_SCHEMA, max_files=1)), "guarded-turns")
+    path, width = cut_into_files(turns, F.pmod("conv_id", F.lit(3)), 3, "turn-files")
+    return drained(W.guard_turns(W.read_stream(spark, path, W.TURN_SCHEMA, max_files=width)), "guarded-turns")
 
 
 #: Time of a turn in the session contract: 2024-01-01 + conv_id hours + turn x 100 hours, so that spells end inside conversations.
@@ -159,8 +165,8 @@ def stream_conversation_sessions(spark: SparkSession, sf: str) -> DataFrame:
     store = _folder(spark, "scored-turns")
     scored.write.parquet(store)
     scored = spark.read.schema(scored.schema).parquet(store)
-    path = cut_into_files(scored, F.col("due"), TURN_FILES, "scored-turn-files")
+    path, width = cut_into_files(scored, F.col("due"), TURN_FILES, "scored-turn-files")
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scored.schema)
     with W.rocksdb_state(spark):
-        out = drained(W.conversation_sessions(W.read_stream(spark, path, kind, max_files=1), SPELL, TURN_DELAY), "conversation-sessions")
+        out = drained(W.conversation_sessions(W.read_stream(spark, path, kind, max_files=width), SPELL, TURN_DELAY), "conversation-sessions")
     return out.withColumn("last_ts", F.date_format("last_ts", TS_FMT))
