@@ -119,3 +119,25 @@ def aligned(library):
 def test_alignment_equals_all_pairs(spark, library, chunk, block):
     got = sorted(tuple(r)[1:] for r in token_alignment.align(table(spark), A, B, chunk, block).collect())
     assert got == aligned(library)
+
+
+def test_pieces_by_segment():
+    """Operator 13: a sentencepiece file that splits at spaces is encoded once a distinct segment, with the ids of the whole texts."""
+    import random
+
+    import public_tokenizers
+    from textguard.llm import token_alignment as TA
+    a_spec, b_spec = (open(public_tokenizers.path(f), "rb").read() for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    pair, rng = TA.Pair(a_spec, b_spec), random.Random(13)
+    assert TA.splits_at_space(b_spec)
+    asked, encode = [], pair.b.encode
+    pair.pieces.model = type("Counted", (), {"encode": lambda self, words, **kw: asked.extend(words) or encode(words, **kw)})()
+    bits = [" ", "  ", "\n", "\r", "a", "the", "▁", "<s>", "<0x41>", "é", "日本", " ", "\x00", "😀", ";\r\n", "1", "."]
+    for _ in range(300):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(3)]
+        _, na, b, nb = pair.encode(texts)
+        want = [x if t and b"".join(pair.b_bytes[i] for i in x) == (" " + t).encode() else [] for t, x in zip(texts, encode(texts))]
+        assert b.tolist() == [i for x in want for i in x] and nb.tolist() == [len(x) for x in want] and all((na > 0) == (nb > 0))
+    asked.clear()
+    pair.encode(["plenty of words words words"] * 50)
+    assert len(asked) <= 4

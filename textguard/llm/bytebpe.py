@@ -62,6 +62,8 @@ def byte_lengths(tok) -> np.ndarray:
 class Segments:
     """Token ids of segments, remembered in one growing array."""
 
+    pattern = _SEGMENT
+
     def __init__(self, spec: bytes, plain: bool):
         self.tok = tokenizer(spec, plain)
         self._clear()
@@ -74,7 +76,7 @@ class Segments:
         """(index of each segment of the texts, number of segments of each text); valid until the next call."""
         if len(self.index) > REMEMBER or self.start[-1] > REMEMBER_IDS:
             self._clear()
-        words = [_SEGMENT.findall(t) for t in texts]
+        words = [self.pattern.findall(t) for t in texts]
         flat = list(chain.from_iterable(words))
         index, long = self.index, []
         try:
@@ -85,12 +87,15 @@ class Segments:
             long = [w for w in new if len(w) > LONGEST]
             for a in range(0, len(new), 4096):
                 part = new[a:a + 4096]
-                self._add(part, [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)])
+                self._add(part, self._encode(part))
             at = [index[w] for w in flat]
         for w in long:
             del index[w]
         return np.array(at, np.int64), np.fromiter(map(len, words), np.int64, len(words))
 
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+
     def _add(self, words: list[str], ids: list[list[int]]):
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         base = len(self.start) - 1
@@ -110,7 +115,10 @@ class Segments:
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
-        at, each = self.look(texts)
+        return self.gathered(*self.look(texts))
+
+    def gathered(self, at: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``tokens`` of texts that ``look`` gave as ``at`` and ``each``."""
         n = self.start[at + 1] - self.start[at]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(self.start[at] - total[:-1], n) + np.arange(total[-1])]

@@ -27,8 +27,10 @@ texts are plain text. One document is encoded and held whole by one task.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -84,14 +86,69 @@ def merged(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+class Sound(bytebpe.Segments):
+    """Segments that remember, too, whether the bytes of their ids are their own."""
+
+    def __init__(self, spec: bytes):
+        super().__init__(spec, plain=True)
+        self._know(_a_bytes(self.tok))
+
+    def _know(self, bytes_of: list[bytes]):
+        self.bytes_of, self.size_of = bytes_of, np.fromiter(map(len, bytes_of), np.int64, len(bytes_of))
+
+    def _clear(self):
+        super()._clear()
+        self.sound = np.zeros(0, bool)
+
+    def _add(self, words: list[str], ids: list[list[int]]):
+        super()._add(words, ids)
+        flat, own = list(chain.from_iterable(ids)), [w.encode() for w in words]
+        sizes = _sums(self.size_of[np.array(flat, np.int64)], np.fromiter(map(len, ids), np.int64, len(ids)))
+        get = self.bytes_of.__getitem__
+        if b"".join(map(get, flat)) == b"".join(own) and np.array_equal(sizes, np.fromiter(map(len, own), np.int64, len(own))):
+            same = np.ones(len(own), bool)
+        else:
+            same = np.fromiter((b"".join(map(get, x)) == w for w, x in zip(own, ids)), bool, len(own))
+        self.sound = np.concatenate([self.sound, same])
+
+
+class Pieces(Sound):
+    """Segments of a sentencepiece model that ``splits_at_space``: a run of spaces and the run of other characters after it. The
+    first space of a segment is the one that the model adds."""
+
+    pattern = re.compile("\\x20*[^\\x20]+|\\x20+")
+
+    def __init__(self, model):
+        self.model = model
+        self._know(_b_bytes(model))
+        self.space = [model.piece_to_id("▁")]
+        self._clear()
+
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        ids = self.model.encode([w[1:] for w in words], num_threads=1)
+        return [x if len(w) > 1 else self.space for w, x in zip(words, ids)]
+
+
+def splits_at_space(spec: bytes) -> bool:
+    """Whether a sentencepiece file is BPE on unchanged text with a space before it and no piece has a space behind another character,
+    so that merges stay inside a segment and segments can be encoded one by one."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+    m = pb.ModelProto()
+    m.ParseFromString(spec)
+    n, t, pieces = m.normalizer_spec, m.trainer_spec, [p.piece for p in m.pieces]
+    return (t.model_type == pb.TrainerSpec.BPE and not t.treat_whitespace_as_suffix and not n.precompiled_charsmap and n.add_dummy_prefix
+            and not n.remove_extra_whitespaces and n.escape_whitespaces and "▁" in pieces and not any(re.search("[^▁]▁", p) for p in pieces))
+
+
 class Pair:
     """Both tokenizers, with the bytes of every id."""
 
     def __init__(self, a_spec: bytes, b_spec: bytes):
         import sentencepiece
-        self.a = bytebpe.segments(a_spec, plain=True)
+        self.a = Sound(a_spec)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_spec)
-        self.a_bytes, self.b_bytes = _a_bytes(self.a.tok), _b_bytes(self.b)
+        self.pieces = Pieces(self.b) if splits_at_space(b_spec) else None
+        self.a_bytes, self.b_bytes = self.a.bytes_of, _b_bytes(self.b)
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
         self.written = {s: np.array([b"%d%s" % (i, s) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]) for s in (b",", b"|", b";")}
@@ -100,11 +157,19 @@ class Pair:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(A ids, A ids of each text, B ids, B ids of each text); none for texts whose bytes do not come back."""
         spaced = [" " + t if t else "" for t in texts]
-        a, na = self.a.tokens(spaced)
-        b_lists = self.b.encode(texts, num_threads=1)
-        nb = np.array([len(x) for x in b_lists], np.int64)
-        b = np.fromiter((i for x in b_lists for i in x), np.int64, int(nb.sum()))
-        a = a.astype(np.int64)
+        at, each = self.a.look(spaced)
+        a, na = self.a.gathered(at, each)
+        a, sound = a.astype(np.int64), bool(self.a.sound[at].all())
+        if self.pieces:
+            at, each = self.pieces.look(spaced)
+            b, nb = self.pieces.gathered(at, each)
+            b = b.astype(np.int64)
+            if sound and self.pieces.sound[at].all():
+                return a, na, b, nb
+        else:
+            b_lists = self.b.encode(texts, num_threads=1)
+            nb = np.array([len(x) for x in b_lists], np.int64)
+            b = np.fromiter((i for x in b_lists for i in x), np.int64, int(nb.sum()))
         whole = b"".join(t.encode() for t in spaced)
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole == b"".join(map(self.b_bytes.__getitem__, b.tolist())):
             size = np.array([len(t.encode()) for t in spaced], np.int64)
