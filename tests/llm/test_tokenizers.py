@@ -141,3 +141,30 @@ def test_pieces_by_segment():
     asked.clear()
     pair.encode(["plenty of words words words"] * 50)
     assert len(asked) <= 4
+
+
+def test_segments_of_both_files_remembered(library, monkeypatch):
+    """Operator 13: one memory of segments for both files; when it is full, segments met more than once stay and are not encoded anew."""
+    import public_tokenizers
+    import sentencepiece
+    from textguard.llm import token_alignment as TA
+    for module in (TA, bytebpe):
+        monkeypatch.setattr(module, "REMEMBER", 300, raising=False)
+    pair = TA.Pair(*(open(public_tokenizers.path(f), "rb").read() for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+    model = sentencepiece.SentencePieceProcessor(model_file=B)
+    rng, asked = random.Random(7), Counter()
+    pair.pieces.model = type("Counted", (), {"encode": lambda self, words, **kw: asked.update(words) or model.encode(words, **kw)})()
+    often = [f"often{i}" for i in range(40)]
+    bits = [" ", "  ", "\n", "\r", "\r\n", ";\r", "\t", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", " ", " ", "　", "▁", "é", "日本", "<unk>", "<s>",
+            "<|endoftext|>", "the", "1", "'s", "!", "\x00", "x" * 70, "🙂"]
+    for k in range(60):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(8)]
+        texts.append(" ".join(often))
+        texts.append(" ".join(f"new{k}x{i}" for i in range(60)))
+        a, na, b, nb = pair.encode(texts)
+        want_a = [library[True].encode(" " + t, add_special_tokens=False).ids if t else [] for t in texts]
+        want_b = model.encode(texts)
+        whole = [b"".join(pair.b_bytes[i] for i in y) == (" " + t).encode() for t, y in zip(texts, want_b)]
+        assert a.tolist() == [i for x, ok in zip(want_a, whole) if ok for i in x] and na.tolist() == [len(x) * ok for x, ok in zip(want_a, whole)]
+        assert b.tolist() == [i for x, ok in zip(want_b, whole) if ok for i in x] and nb.tolist() == [len(x) * ok for x, ok in zip(want_b, whole)]
+    assert max(asked[w] for w in often[1:]) <= 2

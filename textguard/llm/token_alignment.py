@@ -43,6 +43,9 @@ from textguard.llm.common import small_batches, staged
 #: Steps of a piece of the merge path, bytes of text merged at once, bytes of text of a block.
 PIECE, CHUNK, BLOCK = 1 << 16, 1 << 20, 1 << 24
 
+#: Segments that a worker remembers for both tokenizers, and their ids, the longer segments' included.
+REMEMBER, REMEMBER_IDS = 600_000, 16_000_000
+
 _DOC = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
 
 
@@ -86,47 +89,119 @@ def merged(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-class Sound(bytebpe.Segments):
-    """Segments that remember, too, whether the bytes of their ids are their own."""
+class Ids:
+    """Lists of ids, end to end in one growing array."""
 
-    def __init__(self, spec: bytes):
-        super().__init__(spec, plain=True)
-        self._know(_a_bytes(self.tok))
+    def __init__(self):
+        self.start, self.ids = np.zeros(1, np.int64), np.zeros(1 << 16, np.int32)
 
-    def _know(self, bytes_of: list[bytes]):
-        self.bytes_of, self.size_of = bytes_of, np.fromiter(map(len, bytes_of), np.int64, len(bytes_of))
+    def add(self, ids: np.ndarray, n: np.ndarray):
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
+        end = int(self.start[-1])
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(end - len(self.ids), len(self.ids)), np.int32)])
+        self.ids[end - len(ids):end] = ids
 
-    def _clear(self):
-        super()._clear()
-        self.sound = np.zeros(0, bool)
-
-    def _add(self, words: list[str], ids: list[list[int]]):
-        super()._add(words, ids)
-        flat, own = list(chain.from_iterable(ids)), [w.encode() for w in words]
-        sizes = _sums(self.size_of[np.array(flat, np.int64)], np.fromiter(map(len, ids), np.int64, len(ids)))
-        get = self.bytes_of.__getitem__
-        if b"".join(map(get, flat)) == b"".join(own) and np.array_equal(sizes, np.fromiter(map(len, own), np.int64, len(own))):
-            same = np.ones(len(own), bool)
-        else:
-            same = np.fromiter((b"".join(map(get, x)) == w for w, x in zip(own, ids)), bool, len(own))
-        self.sound = np.concatenate([self.sound, same])
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these lists, number of ids of each)."""
+        n = self.start[at + 1] - self.start[at]
+        total = np.append(0, np.cumsum(n))
+        return self.ids[np.repeat(self.start[at] - total[:-1], n) + np.arange(total[-1])].astype(np.int64), n
+
+
+class Numbers(dict):
+    """Numbers of segments; one that is not known gets the next number and is listed as new."""
+
+    known, new = 0, ()
 
+    def __missing__(self, segment: str) -> int:
+        n = self[segment] = self.known + len(self.new)
+        self.new.append(segment)
+        return n
 
-class Pieces(Sound):
-    """Segments of a sentencepiece model that ``splits_at_space``: a run of spaces and the run of other characters after it. The
-    first space of a segment is the one that the model adds."""
 
-    pattern = re.compile("\\x20*[^\\x20]+|\\x20+")
+class Pieces:
+    """Ids of segments by A and by a sentencepiece model that ``splits_at_space``, with whether the bytes of both are the segment's own.
 
-    def __init__(self, model):
-        self.model = model
-        self._know(_b_bytes(model))
+    A segment is a run of white space and the run of other characters after it. Where the model has pieces with a white space behind another
+    character (";\\r"), runs that begin with that white space do not begin a segment. Texts begin with a space, and the first space of a
+    segment is the one that the model adds. A worker that remembers too many segments goes on with those that it met more than once.
+    """
+
+    def __init__(self, spec: bytes, model):
+        self.tok, self.model = bytebpe.tokenizer(spec, plain=True), model
+        self.a_bytes, self.b_bytes = _a_bytes(self.tok), _b_bytes(model)
+        self.a_len, self.b_len = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
         self.space = [model.piece_to_id("▁")]
+        white = bytebpe.SPACE
+        inner = set(re.findall(f"[{white}]", "".join(model.id_to_piece(i)[1:] for i in range(model.get_piece_size()))))
+        more = f"(?:[{''.join(map(re.escape, sorted(inner)))}][{white}]*[^{white}]*)*" if inner else ""
+        self.pattern = re.compile(f"[{white}]*[^{white}]+{more}|[{white}]+")
         self._clear()
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        ids = self.model.encode([w[1:] for w in words], num_threads=1)
-        return [x if len(w) > 1 else self.space for w, x in zip(words, ids)]
+    def _clear(self):
+        self.index, self.a, self.b = Numbers(), Ids(), Ids()
+        self.sound, self.again = np.zeros(0, bool), np.zeros(0, bool)
+
+    def _renew(self):
+        again = self.again.tolist()
+        kept = {w: i for w, i in self.index.items() if again[i]}
+        at = np.fromiter(kept.values(), np.int64, len(kept))
+        (a, na), (b, nb), sound = self.a.of(at), self.b.of(at), self.sound[at]
+        self._clear()
+        if 4 * len(kept) <= 3 * REMEMBER and 2 * (len(a) + len(b)) <= REMEMBER_IDS:
+            self.a.add(a, na)
+            self.b.add(b, nb)
+            self.index.update(zip(kept, range(len(kept))))
+            self.sound, self.again = sound, np.zeros(len(kept), bool)
+
+    def look(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each segment of the texts, number of segments of each text); valid until the next call."""
+        if len(self.index) > REMEMBER or self.a.start[-1] + self.b.start[-1] > REMEMBER_IDS:
+            self._renew()
+        words = [self.pattern.findall(t) for t in texts]
+        each = np.fromiter(map(len, words), np.int64, len(words))
+        index = self.index
+        index.known, index.new = len(self.sound), []
+        at = np.fromiter(map(index.__getitem__, chain.from_iterable(words)), np.int64, int(each.sum()))
+        self.again[at[at < index.known]] = True
+        for s in range(0, len(index.new), 4096):
+            self._add(index.new[s:s + 4096])
+        # a text that is all one segment may be huge: such segments are not remembered after this call
+        for w in index.new:
+            if len(w) > bytebpe.LONGEST:
+                del index[w]
+        return at, each
+
+    def _add(self, words: list[str]):
+        own = [w.encode() for w in words]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        a, na = self._a_ids(words, size)
+        lists = self.model.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
+        lists = [x if w[0] == " " and len(w) > 1 else self.space if w == " " else x[1:] for w, x in zip(words, lists)]
+        b, nb = _flat(lists)
+        same = np.ones(len(words), bool)
+        for ids, n, long, of in ((a, na, self.a_len, self.a_bytes), (b, nb, self.b_len, self.b_bytes)):
+            flat = ids.tolist()
+            if not (np.array_equal(_sums(long[ids], n), size) and b"".join(map(of.__getitem__, flat)) == b"".join(own)):
+                end = np.cumsum(n).tolist()
+                same &= np.fromiter((b"".join(map(of.__getitem__, flat[s:e])) == w for w, s, e in zip(own, [0, *end], end)), bool, len(own))
+        self.a.add(a, na)
+        self.b.add(b, nb)
+        self.sound, self.again = np.append(self.sound, same), np.append(self.again, np.zeros(len(words), bool))
+
+    def _a_ids(self, words: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of the segments, many short ones laid end to end in one text: its tokens are theirs in order, and divided by their bytes."""
+        laid = []
+        for s in range(0, len(words), 256):
+            part = words[s:s + 256]
+            laid += part if any(len(w) > bytebpe.LONGEST or w[-1].isspace() for w in part) else ["".join(part)]
+        ids, _ = _flat([e.ids for e in self.tok.encode_batch_fast(laid, add_special_tokens=False)])
+        total, end = np.cumsum(self.a_len[ids]), np.cumsum(size)
+        last = np.searchsorted(total, end)
+        if len(ids) and last[-1] == len(ids) - 1 and np.array_equal(total[last], end):
+            return ids, np.diff(last, prepend=-1)
+        return _flat([e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)])
 
 
 def splits_at_space(spec: bytes) -> bool:
@@ -137,7 +212,7 @@ def splits_at_space(spec: bytes) -> bool:
     m.ParseFromString(spec)
     n, t, pieces = m.normalizer_spec, m.trainer_spec, [p.piece for p in m.pieces]
     return (t.model_type == pb.TrainerSpec.BPE and not t.treat_whitespace_as_suffix and not n.precompiled_charsmap and n.add_dummy_prefix
-            and not n.remove_extra_whitespaces and n.escape_whitespaces and "▁" in pieces and not any(re.search("[^▁]▁", p) for p in pieces))
+            and not n.remove_extra_whitespaces and n.escape_whitespaces and "▁" in pieces and not any(re.search("[^▁]▁| ", p) for p in pieces))
 
 
 class Pair:
@@ -145,10 +220,10 @@ class Pair:
 
     def __init__(self, a_spec: bytes, b_spec: bytes):
         import sentencepiece
-        self.a = Sound(a_spec)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_spec)
-        self.pieces = Pieces(self.b) if splits_at_space(b_spec) else None
-        self.a_bytes, self.b_bytes = self.a.bytes_of, _b_bytes(self.b)
+        self.pieces = Pieces(a_spec, self.b) if splits_at_space(b_spec) else None
+        self.a = None if self.pieces else bytebpe.segments(a_spec, plain=True)
+        self.a_bytes, self.b_bytes = (self.pieces.a_bytes, self.pieces.b_bytes) if self.pieces else (_a_bytes(self.a.tok), _b_bytes(self.b))
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
         self.written = {s: np.array([b"%d%s" % (i, s) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]) for s in (b",", b"|", b";")}
@@ -157,19 +232,16 @@ class Pair:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(A ids, A ids of each text, B ids, B ids of each text); none for texts whose bytes do not come back."""
         spaced = [" " + t if t else "" for t in texts]
-        at, each = self.a.look(spaced)
-        a, na = self.a.gathered(at, each)
-        a, sound = a.astype(np.int64), bool(self.a.sound[at].all())
         if self.pieces:
             at, each = self.pieces.look(spaced)
-            b, nb = self.pieces.gathered(at, each)
-            b = b.astype(np.int64)
-            if sound and self.pieces.sound[at].all():
+            (a, na), (b, nb) = self.pieces.a.of(at), self.pieces.b.of(at)
+            na, nb = _sums(na, each), _sums(nb, each)
+            if self.pieces.sound[at].all():
                 return a, na, b, nb
         else:
-            b_lists = self.b.encode(texts, num_threads=1)
-            nb = np.array([len(x) for x in b_lists], np.int64)
-            b = np.fromiter((i for x in b_lists for i in x), np.int64, int(nb.sum()))
+            a, na = self.a.tokens(spaced)
+            a = a.astype(np.int64)
+            b, nb = _flat(self.b.encode(texts, num_threads=1))
         whole = b"".join(t.encode() for t in spaced)
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole == b"".join(map(self.b_bytes.__getitem__, b.tolist())):
             size = np.array([len(t.encode()) for t in spaced], np.int64)
@@ -182,6 +254,11 @@ class Pair:
         return a[np.repeat(keep, na)], na * keep, b[np.repeat(keep, nb)], nb * keep
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
+
+
 def _sums(values: np.ndarray, each: np.ndarray) -> np.ndarray:
     total = np.append(0, np.cumsum(values))
     end = np.cumsum(each)
